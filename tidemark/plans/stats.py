@@ -8,6 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut_lineage
 from .series import null_safe_join
 
 SMALL_GROUP = 1_000_000  # values one task may sort or hash for an exact order statistic
@@ -43,7 +44,8 @@ def quantiles(df: DataFrame, column: str, qs: dict[str, float], keys: Sequence[s
     keys = list(keys)
     data = df.select(*keys, F.col(column).cast("double").alias("_v")).filter("_v is not null")
     if largest_group(data, keys) <= small:
-        return data.groupBy(*keys).agg(*[F.percentile("_v", F.lit(q)).alias(n) for n, q in qs.items()])
+        at_once = F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs.values()]))
+        return data.groupBy(*keys).agg(at_once.alias("_q")).select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(qs)])
     return _narrowed(data, qs, keys, small)
 
 
@@ -65,7 +67,8 @@ def _narrowed(data: DataFrame, qs: dict[str, float], keys: list[str], small: int
         upto = Window.partitionBy(*on).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
         hist = hist.withColumn("_upto", F.col("_below") + F.sum("_c").over(upto))
         hit = (F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_c") <= F.col("_rank"))
-        goals = hist.filter(hit).select(*on, "_frac", "_rank", (F.col("_upto") - F.col("_c")).alias("_below"), "_lo", "_hi", "_c").checkpoint()
+        goals = hist.filter(hit).select(*on, "_frac", "_rank", (F.col("_upto") - F.col("_c")).alias("_below"), "_lo", "_hi", "_c")
+        goals = cut_lineage(goals)
         if int(goals.agg(F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_c")).otherwise(0))).first()[0] or 0) <= small:
             break
     counts = _candidates(data, goals.drop("_c"), keys).groupBy(*on, "_frac", "_rank", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
