@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rolling import lag, lead
 from ..functions.scalars import kolmogorov_p, normal_two_sided
@@ -154,13 +157,14 @@ def tail_fit_moments(df: DataFrame, score: str, q: float = 1e-3, pct: float = 98
     return fit.withColumn("z_q", _quantile_expr(q)).drop("_m1", "_m2").filter("n_peaks >= 2")
 
 
-def tail_fit_likelihood(df: DataFrame, score: str, q: float = 1e-3, pct: float = 98.0, keys: Sequence[str] = (), grid: int = 32, rounds: int = 9,
+def tail_fit_likelihood(df: DataFrame, score: str, q: float = 1e-3, pct: float = 98.0, keys: Sequence[str] = (), grid: int = 256, rounds: int = 4,
                         small: int = SMALL_GROUP) -> DataFrame:
     """Peaks over threshold fitted by maximum likelihood reduced to one unknown.
 
-    For a candidate ``x`` the shape is ``mean(ln(1 + x y))`` and the scale ``shape / x``.  Every round evaluates the likelihood of a
-    grid of candidates on each side of 0 in one aggregation over the peaks and zooms in around the best one.  Only stationary
-    points count (the likelihood is unbounded towards the negative end); the exponential tail ``x = 0`` always competes.
+    For a candidate ``x`` the shape is ``mean(ln(1 + x y))`` and the scale ``shape / x``.  In every round each task adds up both means
+    for a grid of candidates on each side of 0 over its own peaks, only those short sums are shuffled, and the next round zooms in
+    around the best candidate.  Only stationary points count (the likelihood is unbounded towards the negative end); the
+    exponential tail ``x = 0`` always competes.
     """
     keys = list(keys)
     peaks, _ = _peaks(df, score, pct, keys, small)
@@ -170,24 +174,35 @@ def tail_fit_likelihood(df: DataFrame, score: str, q: float = 1e-3, pct: float =
     negative = F.struct(F.lit(-1).alias("side"), (-1.0 / F.col("_hi") + eps).alias("a"), F.lit(-eps).alias("b"))
     positive = F.struct(F.lit(1).alias("side"), F.lit(eps).alias("a"), F.greatest(2 * (F.col("mean") - F.col("_lo")) / F.pow("_lo", F.lit(2)), F.lit(10 * eps)).alias("b"))
     bounds = shape.select(*keys, F.explode(F.array(negative, positive)).alias("s")).select(*keys, "s.*")
-
-    def candidate(i):  # even spacing below 0; geometric above, where the range spans many orders of magnitude
-        step = F.lit(i / (grid - 1))
-        return F.when(F.col("side") < 0, F.col("a") + (F.col("b") - F.col("a")) * step).otherwise(F.col("a") * F.pow(F.col("b") / F.col("a"), step))
+    schema = T.StructType([*peaks.select(*keys).schema, *[T.StructField(n, T.DoubleType()) for n in ("side", "x", "left", "right", "logs", "inverses", "count")]])
+
+    def candidates(side: float, a: float, b: float) -> np.ndarray:
+        # even spacing below 0; geometric above, where the range spans many orders of magnitude
+        return np.linspace(a, b, grid) if side < 0 else np.geomspace(a, b, grid)
+
+    def partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for group, part in pdf.groupby([*keys, "side", "a", "b"], dropna=False):
+                x = candidates(*group[-3:])
+                logs, inverses = np.zeros(grid), np.zeros(grid)
+                for y in np.array_split(part["y"].to_numpy(), -(-len(part) // 1000)):
+                    grown = 1 + x[:, None] * y[None, :]
+                    logs += np.log(grown).sum(axis=1)
+                    inverses += (1 / grown).sum(axis=1)
+                out = pd.DataFrame({"side": float(group[-3]), "x": x, "left": x[np.maximum(np.arange(grid) - 1, 0)], "right": x[np.minimum(np.arange(grid) + 1, grid - 1)],
+                                    "logs": logs, "inverses": inverses, "count": float(len(part))})
+                yield out.assign(**dict(zip(keys, group)))[[f.name for f in schema]]
 
     for _ in range(rounds):
         rows = null_safe_join(peaks.select(*keys, "y"), bounds, keys, "inner") if keys else peaks.select("y").crossJoin(F.broadcast(bounds))
-        grown = [1 + candidate(i) * F.col("y") for i in range(grid)]
-        sums = rows.groupBy(*keys, "side", "a", "b").agg(*[F.avg(F.log(g)).alias(f"g{i}") for i, g in enumerate(grown)], *[F.avg(1 / g).alias(f"u{i}") for i, g in enumerate(grown)])
-        cells = [F.struct(candidate(i).alias("x"), F.col(f"g{i}").alias("gamma"), F.col(f"u{i}").alias("u"), candidate(max(i - 1, 0)).alias("left"),
-                          candidate(min(i + 1, grid - 1)).alias("right")) for i in range(grid)]
-        tried = sums.select(*keys, "side", F.explode(F.array(*cells)).alias("r")).select(*keys, "side", "r.*").withColumn("sigma", F.try_divide(F.col("gamma"), F.col("x")))
-        tried = tried.withColumn("ll", -F.log("sigma") - F.col("gamma") - 1).filter("sigma > 0")
+        tried = rows.mapInPandas(partial_sums, schema).groupBy(*keys, "side", "x", "left", "right").agg(
+            (F.sum("logs") / F.sum("count")).alias("gamma"), (F.sum("inverses") / F.sum("count")).alias("u"))
+        tried = tried.withColumn("sigma", F.try_divide(F.col("gamma"), F.col("x"))).withColumn("ll", -F.log("sigma") - F.col("gamma") - 1).filter("sigma > 0")
         best = tried.groupBy(*keys, "side").agg(F.max_by(F.struct("gamma", "sigma", "u", "left", "right", "ll"), "ll").alias("m")).select(*keys, "side", "m.*")
         best = cut_lineage(best)
         bounds = best.select(*keys, "side", F.col("left").alias("a"), F.col("right").alias("b"))
     stationary = F.abs(F.col("u") * (1 + F.col("gamma")) - 1) < 1e-4
-    flat = shape.select(*keys, F.lit(0).alias("side"), F.lit(0.0).alias("gamma"), F.col("mean").alias("sigma"), (-F.log("mean") - 1).alias("ll"))
+    flat = shape.select(*keys, F.lit(0.0).alias("side"), F.lit(0.0).alias("gamma"), F.col("mean").alias("sigma"), (-F.log("mean") - 1).alias("ll"))
     every = best.filter(stationary).select(*keys, "side", "gamma", "sigma", "ll").unionByName(flat)
     win = every.groupBy(*keys).agg(F.max_by(F.struct("gamma", "sigma", "ll"), F.struct(F.col("ll"), -F.abs("side"))).alias("m"))
     win = win.select(*keys, F.col("m.gamma"), F.col("m.sigma"), F.col("m.ll").alias("mean_ll"))
