@@ -94,14 +94,14 @@ _cross = {f"detail_{i}_zero_crossings": f"len(list_filter(range(1, len(d{i})), l
 @query("sig_09_10_haar_features", f"WITH {HAAR} SELECT s, win, " + ", ".join(f"{r(e, 8)} AS {n}" for n, e in _energy.items()) + ", " + ", ".join(f"CAST({e} AS BIGINT) AS {n}" for n, e in _cross.items()) + " FROM a4")
 def haar(spark, sf):
     w = W.sliding_windows(events(spark, sf), BY_TYPE, 128, 64)
-    f = G.wavelet_features(G.wavelet_coefficients(w, 128, "haar"), keep=["s", "win"])
+    f = G.wavelet_features(w, 128, "haar", keep=["s", "win"])
     return rounded(f, ["s", "win"], list(_energy), list(_cross), 8)
 
 
 @query("sig_09_10_db4_features")
 def db4(spark, sf):
     w = W.sliding_windows(events(spark, sf), BY_TYPE, 100, 10)
-    f = G.wavelet_features(G.wavelet_coefficients(w, 100, "db4"), keep=["s", "win"])
+    f = G.wavelet_features(w, 100, "db4", keep=["s", "win"])
     return rounded(f, ["s", "win"], [c for c in f.columns if c not in ("s", "win")])
 
 

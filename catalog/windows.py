@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rolling as R
 from tidemark.functions import smoothing as S
+from tidemark.functions.expanding import expanding_quantile
 from tidemark.operators import windows as W
-from tidemark.plans.features import carry_last, running_sum, scalar, with_features
+from tidemark.plans.features import running_sum, scalar, with_features
 
-from .base import (ALL, BY_TYPE, BY_USER, EV, ORD, ORD_ALL, ORD_USER, at_least, events, over, query, r, rounded,
+from .base import (ALL, BY_TYPE, EV, ORD, ORD_ALL, at_least, events, over, query, r, rounded,
                    window_query)
 
 LAGS = (1, 5, 10, 30, 60, 120)
@@ -121,6 +122,12 @@ window_query("win_21_cusum_windowed", lambda: R.cusum_windowed("x", 60), {"cusum
              ctes=POSITIVE, source="dev")
 window_query("win_22_cumulative_sum", lambda: {"total": running_sum(F.col("x"), "x"), "_d": R.diff("x"), "moved": running_sum(F.coalesce(F.col("_d"), F.lit(0.0)), "_d")},
              {"total": f"sum(x) OVER w", "moved": "x - first_value(x) OVER w"}, [f"w AS ({ORD} ROWS UNBOUNDED PRECEDING)"])
+EXPAND = f"{EV}, e AS (SELECT *, quantile_cont(x, 0.1) OVER u AS q10, quantile_cont(x, 0.9) OVER u AS q90, count(x) OVER u AS n FROM ev WINDOW u AS ({ORD} ROWS UNBOUNDED PRECEDING))"
+window_query("win_23_expanding_quantiles",
+             lambda: {"q10": expanding_quantile("x", .1, 100), "q90": expanding_quantile("x", .9, 100), "below": scalar(F.when(F.col("x") < F.col("q10"), 1).otherwise(0), "q10"),
+                      "above": scalar(F.when(F.col("x") > F.col("q90"), 1).otherwise(0), "q90")},
+             {"q10": "CASE WHEN n >= 100 THEN q10 END", "q90": "CASE WHEN n >= 100 THEN q90 END"}, [], ctes=EXPAND, source="e",
+             ints={"below": "CASE WHEN n >= 100 AND x < q10 THEN 1 ELSE 0 END", "above": "CASE WHEN n >= 100 AND x > q90 THEN 1 ELSE 0 END"})
 window_query("win_24_rolling_slope", lambda: {"slope": R.rolling_slope("x", 30)},
              {"slope": at_least(30, "w30", "regr_slope(x, n) OVER w30")}, [over(30)],
              ctes=f"{EV}, num AS (SELECT *, CAST(row_number() OVER {o} - 1 AS DOUBLE) AS n FROM ev)", source="num")
@@ -146,12 +153,12 @@ window_query("win_30_position_and_ratios", lambda:
              {"position": "least(greatest((x - min(x) OVER w60) / (max(x) OVER w60 - min(x) OVER w60 + 1e-9), 0.0), 1.0)",
               "to_mean": "x / (avg(x) OVER w60 + 1e-6)", "to_max": "x / (max(x) OVER w60 + 1e-6)"}, [over(60)])
 window_query("win_31_crossovers_macd", lambda:
-             {"_a": R.rolling_mean("x", 60, 6), "_b": R.rolling_mean("x", 300, 30), "_c": R.rolling_mean("x", 50), "_d": R.rolling_mean("x", 500),
+             {"_a": R.rolling_mean("cents", 60, 6), "_b": R.rolling_mean("cents", 300, 30), "_c": R.rolling_mean("x", 50), "_d": R.rolling_mean("x", 500),
               "macd": scalar(F.col("_c") - F.col("_d"), "_c", "_d"),
               "cross": scalar(F.when(F.col("_a") > F.col("_b"), 1).otherwise(0), "_a", "_b")},
              {"macd": f"({at_least(50, 'w50', 'avg(x) OVER w50')}) - ({at_least(500, 'w500', 'avg(x) OVER w500')})"},
              [over(60), over(300), over(50), over(500)],
-             ints={"cross": "CASE WHEN count(x) OVER w300 >= 30 AND avg(x) OVER w60 > avg(x) OVER w300 THEN 1 ELSE 0 END"})
+             ints={"cross": "CASE WHEN count(x) OVER w300 >= 30 AND avg(cents) OVER w60 > avg(cents) OVER w300 THEN 1 ELSE 0 END"})
 STEP = f"{EV}, step AS (SELECT *, coalesce(x - lag(x) OVER {o}, 0) AS d FROM ev)"
 window_query("win_32_rsi", lambda: R.rsi("x", 14),
              {"rsi": at_least(14, "w14", "CASE WHEN avg(greatest(d, 0)) OVER w14 = 0 AND avg(greatest(-d, 0)) OVER w14 = 0 THEN NULL "

@@ -16,42 +16,52 @@ from pyspark.sql import functions as F
 
 from ..plans.features import Feature, running_sum, scalar
 
-NATIVE_QUANTILE_ROWS = 120  # longer frames use the skip-list in pandas instead of a re-sorted frame buffer
+# A sliding frame is re-aggregated for every row, so its cost grows with its length.  Longer windows are evaluated with
+# running updates (skip list, monotone queue, moment updates) in one Arrow pass whose cost does not depend on the length.
+NATIVE_ROWS = 120
 BLOCK_ROWS = 4096
 
 
-def _window(col: str, w: int, m: int | None, agg: Callable[[Column], Column], dtype: str = "double") -> Feature:
+def _moving(col: str, w: int, m: int | None, stat: Callable, back: int | None = None) -> Feature:
+    """``stat(rolling)`` of the pandas rolling object, for long windows."""
+    need = w if m is None else m
+    return Feature(lambda pdf: stat(pdf[col].astype("float64").rolling(w, min_periods=need)), (col,), back=w - 1 if back is None else back, kind="pandas")
+
+
+def _window(col: str, w: int, m: int | None, agg: Callable[[Column], Column], moving: Callable) -> Feature:
+    if w > NATIVE_ROWS:
+        return _moving(col, w, m, moving)
     need = w if m is None else m
 
     def build(laid):
         over = laid.rows(-(w - 1), 0)
         return F.when(F.count(col).over(over) >= need, agg(F.col(col)).over(over))
 
-    return Feature(build, (col,), back=w - 1, dtype=dtype)
+    return Feature(build, (col,), back=w - 1)
 
 
 def rolling_mean(col, w, m=None):
-    return _window(col, w, m, F.avg)
+    return _window(col, w, m, F.avg, lambda r: r.mean())
 
 
 def rolling_std(col, w, m=None):
-    return _window(col, w, m, F.stddev_samp)
+    return _window(col, w, m, F.stddev_samp, lambda r: r.std())
 
 
 def rolling_var(col, w, m=None):
-    return _window(col, w, m, F.var_samp)
+    return _window(col, w, m, F.var_samp, lambda r: r.var())
 
 
 def rolling_min(col, w, m=None):
-    return _window(col, w, m, F.min)
+    return _window(col, w, m, F.min, lambda r: r.min())
 
 
 def rolling_max(col, w, m=None):
-    return _window(col, w, m, F.max)
+    return _window(col, w, m, F.max, lambda r: r.max())
 
 
 def rolling_sum(col, w, m=None):
-    return _window(col, w, m, F.sum)
+    return _window(col, w, m, F.sum, lambda r: r.sum())
 
 
 def rolling_count(col, w):
@@ -59,6 +69,10 @@ def rolling_count(col, w):
 
 
 def rolling_range(col, w, m=None):
+    return _window(col, w, m, None, lambda r: r.max() - r.min()) if w > NATIVE_ROWS else _native_range(col, w, m)
+
+
+def _native_range(col, w, m):
     need = w if m is None else m
 
     def build(laid):
@@ -70,10 +84,7 @@ def rolling_range(col, w, m=None):
 
 def rolling_quantile(col, w, q, m=None):
     """Linear-interpolated quantile of the window."""
-    if w <= NATIVE_QUANTILE_ROWS:
-        return _window(col, w, m, lambda c: F.percentile(c, F.lit(q)))
-    need = w if m is None else m
-    return Feature(lambda pdf: pdf[col].rolling(w, min_periods=need).quantile(q), (col,), back=w - 1, kind="pandas")
+    return _window(col, w, m, lambda c: F.percentile(c, F.lit(q)), lambda r: r.quantile(q))
 
 
 def rolling_median(col, w, m=None):
@@ -81,22 +92,17 @@ def rolling_median(col, w, m=None):
 
 
 def rolling_iqr(col, w, m=None):
-    if w > NATIVE_QUANTILE_ROWS:
-        need = w if m is None else m
-
-        def spread(pdf):
-            roll = pdf[col].rolling(w, min_periods=need)
-            return roll.quantile(0.75) - roll.quantile(0.25)
-
-        return Feature(spread, (col,), back=w - 1, kind="pandas")
-    quartiles = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-    inner = _window(col, w, m, quartiles)
+    if w > NATIVE_ROWS:
+        return _moving(col, w, m, lambda r: r.quantile(0.75) - r.quantile(0.25))
+    inner = _window(col, w, m, lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))), None)
     return Feature(lambda laid: (lambda a: a[1] - a[0])(inner.build(laid)), (col,), back=w - 1)
 
 
 def rolling_skew(col, w, m=None, bias=False):
     """Skewness; ``bias=False`` applies the sample correction, which needs three values."""
     need = w if m is None else m
+    if w > NATIVE_ROWS:
+        return _moving(col, w, m, lambda r: _uncorrect(r.skew(), r.count(), 3) if bias else r.skew())
 
     def build(laid):
         over = laid.rows(-(w - 1), 0)
@@ -111,6 +117,8 @@ def rolling_skew(col, w, m=None, bias=False):
 def rolling_kurt(col, w, m=None, bias=False):
     """Excess kurtosis; ``bias=False`` applies the sample correction, which needs four values."""
     need = w if m is None else m
+    if w > NATIVE_ROWS:
+        return _moving(col, w, m, lambda r: _uncorrect(r.kurt(), r.count(), 4) if bias else r.kurt())
 
     def build(laid):
         over = laid.rows(-(w - 1), 0)
@@ -122,6 +130,14 @@ def rolling_kurt(col, w, m=None, bias=False):
     return Feature(build, (col,), back=w - 1)
 
 
+def _uncorrect(value: pd.Series, n: pd.Series, order: int) -> pd.Series:
+    """Sample-corrected skewness (order 3) or kurtosis (order 4) back to the population form."""
+    n = n.where(n >= order)
+    if order == 3:
+        return value * (n - 2) / np.sqrt(n * (n - 1))
+    return (value * (n - 2) * (n - 3) / (n - 1) - 6) / (n + 1)
+
+
 def centred_mean(col, w, std=False):
     """Mean (or std) over a window centred on the row; an even window has one row more behind than ahead."""
     behind, ahead = w // 2, w - 1 - w // 2
@@ -177,6 +193,14 @@ def rate_of_change(col, k=1):
 def rolling_z(col, w, m=None, eps: float | None = None):
     """(x - mean) / (std + eps); without ``eps`` a zero spread gives NULL."""
     need = w if m is None else m
+    if w > NATIVE_ROWS:
+        def moving(pdf):
+            x = pdf[col].astype("float64")
+            r = x.rolling(w, min_periods=need)
+            sd = r.std()
+            return (x - r.mean()) / (sd.where(sd > 0) if eps is None else sd + eps)
+
+        return Feature(moving, (col,), back=w - 1, kind="pandas")
 
     def build(laid):
         over = laid.rows(-(w - 1), 0)
@@ -256,9 +280,9 @@ def local_extreme(col, low: bool):
 def cusum_windowed(col, w, m=1, positive="cusum_pos", negative="cusum_neg"):
     """Window sums of the deviations above and below the rolling mean."""
     gap = f"_gap_{col}_{w}"
-    mean = rolling_mean(col, w, m)
     return {
-        gap: Feature(lambda laid: F.col(col) - mean.build(laid), (col,), back=w - 1),
+        f"_mean{gap}": rolling_mean(col, w, m),
+        gap: scalar(F.col(col) - F.col(f"_mean{gap}"), f"_mean{gap}"),
         f"_up{gap}": scalar(F.greatest(F.lit(0.0), F.col(gap)), gap),
         f"_down{gap}": scalar(F.greatest(F.lit(0.0), -F.col(gap)), gap),
         positive: rolling_sum(f"_up{gap}", w, 1),
@@ -268,9 +292,10 @@ def cusum_windowed(col, w, m=1, positive="cusum_pos", negative="cusum_neg"):
 
 def cusum_unbounded(col, w, m=1, deviation="positive_dev", out="cusum"):
     """Running total of the positive deviations from the rolling mean."""
-    mean = rolling_mean(col, w, m)
+    mean = f"_mean_for_{deviation}"
     return {
-        deviation: Feature(lambda laid: F.greatest(F.lit(0.0), F.col(col) - mean.build(laid)), (col,), back=w - 1),
+        mean: rolling_mean(col, w, m),
+        deviation: scalar(F.when(F.col(mean).isNotNull(), F.greatest(F.lit(0.0), F.col(col) - F.col(mean))).otherwise(0.0), mean),
         out: running_sum(F.col(deviation), deviation),
     }
 

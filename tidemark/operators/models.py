@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import random
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -24,7 +25,7 @@ from ..plans.series import IDX, SeriesSpec, index_rows, null_safe_join
 from ..plans.stats import SMALL_GROUP, attach_group_stats, one_row, quantiles
 from . import evaluate as E
 from .detect import apply_threshold, percentile_threshold
-from .signals import standardise, wavelet_coefficients, wavelet_features
+from .signals import standardise, wavelet_features
 from .windows import sequences, sliding_windows
 
 # ---- splits ---------------------------------------------------------------------------------------------
@@ -117,13 +118,13 @@ def importance(spark: SparkSession, model: PipelineModel, top: int = 20) -> Data
 def random_search(df: DataFrame, spec: SeriesSpec, features: Sequence[str], grid: Mapping[str, Sequence], tries: int = 10, seed: int = 42,
                   folds: Sequence[tuple[float, float]] | None = None, metric: str = "balanced_anomaly", weighted: bool = True) -> tuple[dict, DataFrame]:
     """Random parameter sets scored by the mean metric over expanding time folds; returns the best set and all results."""
-    rows = temporal_folds(df, spec, folds or even_folds(3)).persist()
-    pick = random.Random(seed)
-    chosen = [{k: pick.choice(list(v)) for k, v in grid.items()} for _ in range(tries)]
+    folds = folds or even_folds(3)
+    rows = temporal_folds(df, spec, folds).persist()
+    every = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     results = []
-    for params in {json.dumps(c, sort_keys=True): c for c in chosen}.values():
+    for params in random.Random(seed).sample(every, min(tries, len(every))):
         values = []
-        for fold in range(len(folds or even_folds(3))):
+        for fold in range(len(folds)):
             part = rows.filter(F.col("fold") == fold)
             train = part.filter("role = 'train'")
             train = class_weights(train, spec.label) if weighted else train
@@ -325,7 +326,7 @@ def compare_wavelets(df: DataFrame, spec: SeriesSpec, wavelets: Sequence[str], s
     windows = cut_lineage(windows)
     out = []
     for name in wavelets:
-        f = wavelet_features(wavelet_coefficients(windows, size, name), keep=["wid", "label", "is_train"])
+        f = wavelet_features(windows, size, name, keep=["wid", "label", "is_train"])
         names = [c for c in f.columns if c not in ("wid", "label", "is_train")]
         f = standardise(f.fillna(0.0), names, train=F.col("is_train"))
         forest = fit_isolation_forest(f.filter("is_train"), names, "wid")

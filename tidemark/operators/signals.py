@@ -79,16 +79,19 @@ def segment_spectrum(df: DataFrame, spec: SeriesSpec, size: int = 4096) -> DataF
 
 # ---- wavelets ----------------------------------------------------------------------------------------
 
+def _transform(block: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    coefficients = block @ matrix
+    noise = 1e-13 * np.abs(block).max(axis=1, keepdims=True)  # a fused product may leave dust where the exact result is 0
+    return np.where(np.abs(coefficients) < noise, 0.0, coefficients)
+
+
 def wavelet_coefficients(windows: DataFrame, size: int, wavelet: str = "db4", levels: int = 4, values: str = "values") -> DataFrame:
     """Adds ``approx`` and ``detail_1`` (coarsest) .. ``detail_<levels>`` arrays to windows of ``size`` values."""
     matrix, lengths = decomposition(wavelet, size, levels)
 
     @F.pandas_udf(DOUBLES)
     def transform(batch: pd.Series) -> pd.Series:
-        block = np.stack(batch.to_numpy())
-        coefficients = block @ matrix
-        noise = 1e-13 * np.abs(block).max(axis=1, keepdims=True)  # a fused product may leave dust where the exact result is 0
-        return pd.Series(list(np.where(np.abs(coefficients) < noise, 0.0, coefficients)))
+        return pd.Series(list(_transform(np.stack(batch.to_numpy()), matrix)))
 
     out, at = windows.withColumn("_all", transform(F.col(values))), 1
     for name, n in zip(["approx", *[f"detail_{i + 1}" for i in range(levels)]], lengths):
@@ -108,30 +111,44 @@ def wavelet_reconstruct(coefficients: DataFrame, size: int, wavelet: str = "db4"
     return coefficients.withColumn(out, rebuild(F.concat("approx", *[f"detail_{i + 1}" for i in range(levels)])))
 
 
-def density_entropy(values: Column, bins: int = 50) -> Column:
-    """``-sum(d log2(d + 1e-10))`` over the density (count / (n * width)) of an equal-width histogram."""
-    span = F.array_max(values) - F.array_min(values)
-    width = F.when(span > 0, span).otherwise(1.0) / bins
-    scale = X.bind(F.size(values) * width, lambda w: F.transform(X.array_histogram(values, bins), lambda c: c / w))
-    return F.aggregate(scale, F.lit(0.0), lambda a, d: a - F.when(d > 0, d * F.log2(d + 1e-10)).otherwise(0.0))
-
-
-def wavelet_features(coefficients: DataFrame, levels: int = 4, keep: Sequence[str] = ()) -> DataFrame:
-    """4 approximation features, 7 per detail level and the energy shares."""
-    def energy(c):
-        return F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v)
-
-    a = F.col("approx")
-    cols = {"approx_energy": energy(a), "approx_mean": X.array_mean(a), "approx_std": X.array_std(a), "approx_entropy": density_entropy(a)}
-    for i in range(1, levels + 1):
-        d = F.col(f"detail_{i}")
-        cols |= {f"detail_{i}_energy": energy(d), f"detail_{i}_mean": X.array_mean(d), f"detail_{i}_std": X.array_std(d), f"detail_{i}_entropy": density_entropy(d),
-                 f"detail_{i}_max": F.aggregate(d, F.lit(0.0), lambda acc, v: F.greatest(acc, F.abs(v))), f"detail_{i}_spikes": X.spikes(d).cast("double"),
-                 f"detail_{i}_zero_crossings": X.zero_crossings(d).cast("double")}
-    out = coefficients.select(*keep, *[c.alias(n) for n, c in cols.items()])
-    total = sum((F.col(f"detail_{i}_energy") for i in range(1, levels + 1)), F.col("approx_energy"))
-    shares = {f"detail_{i}_energy_ratio": F.try_divide(F.col(f"detail_{i}_energy"), total) for i in range(1, levels + 1)}
-    return out.withColumns({**shares, "approx_energy_ratio": F.try_divide(F.col("approx_energy"), total)})
+def feature_names(levels: int = 4) -> list[str]:
+    details = [f"detail_{i}" for i in range(1, levels + 1)]
+    return ([f"approx_{n}" for n in ("energy", "mean", "std", "entropy")]
+            + [f"{d}_{n}" for d in details for n in ("energy", "mean", "std", "entropy", "max", "spikes", "zero_crossings")]
+            + [f"{d}_energy_ratio" for d in details] + ["approx_energy_ratio"])
+
+
+def _density_entropy(part: np.ndarray, bins: int = 50) -> np.ndarray:
+    """``-sum(d log2(d + 1e-10))`` per row over the density of an equal-width histogram."""
+    lo, hi = part.min(axis=1, keepdims=True), part.max(axis=1, keepdims=True)
+    lo, width = np.where(hi > lo, lo, lo - 0.5), np.where(hi > lo, hi - lo, 1.0)
+    cell = np.minimum(bins - 1, np.floor((part - lo) / width * bins)).astype(int) + bins * np.arange(len(part))[:, None]
+    density = np.bincount(cell.ravel(), minlength=bins * len(part)).reshape(len(part), bins) / (part.shape[1] * width / bins)
+    return -np.where(density > 0, density * np.log2(density + 1e-10), 0.0).sum(axis=1)
+
+
+def wavelet_features(windows: DataFrame, size: int, wavelet: str = "db4", levels: int = 4, keep: Sequence[str] = (), values: str = "values") -> DataFrame:
+    """4 approximation features, 7 per detail level and the energy shares of each window, one Arrow batch at a time."""
+    matrix, lengths = decomposition(wavelet, size, levels)
+    names = feature_names(levels)
+
+    @F.pandas_udf(DOUBLES)
+    def describe(batch: pd.Series) -> pd.Series:
+        block = np.stack(batch.to_numpy())
+        parts = np.split(_transform(block, matrix), np.cumsum(lengths)[:-1], axis=1)
+        energy = [(p ** 2).sum(axis=1) for p in parts]
+        total = sum(energy)
+        columns = []
+        for i, p in enumerate(parts):
+            columns += [energy[i], p.mean(axis=1), p.std(axis=1), _density_entropy(p)]
+            if i:
+                crossings = (np.diff(np.sign(p), axis=1) != 0).sum(axis=1)
+                columns += [np.abs(p).max(axis=1), (np.abs(p) > 3 * p.std(axis=1, keepdims=True)).sum(axis=1), crossings]
+        columns += [e / np.where(total > 0, total, 1.0) for e in energy[1:] + energy[:1]]
+        return pd.Series(list(np.column_stack(columns).astype(float)))
+
+    out = windows.select(*keep, describe(F.col(values)).alias("_f"))
+    return out.select(*keep, *[F.col("_f")[i].alias(n) for i, n in enumerate(names)])
 
 
 # ---- angular field, scaling -----------------------------------------------------------------------------

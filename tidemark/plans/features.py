@@ -20,7 +20,8 @@ from .series import CHUNK, HOME, IDX, START, Laid, SeriesSpec, lay_out, null_saf
 
 @dataclass(frozen=True)
 class Feature:
-    """``kind``: native (``build(laid) -> Column``), pandas (``build(pdf) -> array``), sum or last (scans of ``build``)."""
+    """``kind``: native (``build(laid) -> Column``), pandas (``build(pdf) -> array``), frame
+    (``build(laid, name) -> Laid``), or a scan of the expression ``build`` gives: sum, last, next."""
 
     build: Callable
     inputs: tuple[str, ...] = ()
@@ -77,7 +78,7 @@ def _plan(features: Mapping[str, Feature]) -> tuple[list[list[str]], int, int]:
         missing = [i for i in ins if i not in level]
         if missing:
             raise ValueError(f"{name} is declared before its inputs {missing}")
-        if f.kind in ("last", "next") or any(i in edge_only for i in ins):
+        if f.kind in ("last", "next", "frame") or any(i in edge_only for i in ins):
             edge_only.add(name)
         if f.back + f.fwd and any(i in edge_only for i in ins):
             raise ValueError(f"{name} looks at other rows of a carried column; lay the result out again first")
@@ -111,6 +112,8 @@ def _evaluate(df: DataFrame, spec: SeriesSpec, features: Mapping[str, Feature],
         for n in names:
             if features[n].kind == "sum":
                 laid = _running_sum(laid, n, features[n].build(laid))
+            elif features[n].kind == "frame":
+                laid = features[n].build(laid, n)
             elif features[n].kind in ("last", "next"):
                 laid = _carry(laid, n, features[n].build(laid), forward=features[n].kind == "last")
     out = laid.done()
