@@ -1,25 +1,29 @@
-"""Cutting the lineage of iterative jobs with reliable checkpoints that survive the loss of executors."""
+"""Shared folder for checkpoints, and cutting the lineage of iterative jobs with them."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes the frame to the session's checkpoint folder and reads it back.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir`` (or already set on the context).
 
-    The folder is the one named in ``spark.checkpoint.dir``.  Only a local session without one gets a temporary folder; a
-    cluster must name a shared one.
+    Only a local session without one gets a temporary folder; a cluster must name a folder all executors share.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes the frame to the checkpoint folder and goes on from there; survives the loss of executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
