@@ -54,7 +54,8 @@ def _expand(laid: Laid, name: str, col: str, q: float, m: int) -> Laid:
                 out[i] = known[lo] + (known[hi] - known[lo]) * (at - int(at))
         return rows.assign(**{name: out})
 
-    grouped = laid.df.groupBy(*laid.part).cogroup(earlier.groupBy(*laid.part))
+    earlier = earlier.withColumnsRenamed({c: f"_of_{c}" for c in laid.part})  # both sides come from the same rows
+    grouped = laid.df.groupBy(*laid.part).cogroup(earlier.groupBy(*[f"_of_{c}" for c in laid.part]))
     return laid.with_df(grouped.applyInPandas(per_chunk, schema))
 
 

@@ -202,6 +202,7 @@ def isolation_scores(df: DataFrame, forest: list[np.ndarray], features: Sequence
         trees = shared.value
         expected = float(_harmonic_depth(np.array([min(sample, t[0, 4]) for t in trees])).mean())
         for columns in batch:
+            columns = columns if isinstance(columns, tuple) else (columns,)
             x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
             total, at = np.zeros(len(x)), np.arange(len(x))
             for t in trees:
@@ -369,6 +370,7 @@ def score_sequences(df: DataFrame, columns: Sequence[str], predict: Callable[[np
     @F.pandas_udf(T.DoubleType())
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for parts in batches:
+            parts = parts if isinstance(parts, tuple) else (parts,)
             block = np.stack([np.stack(p.to_numpy()) for p in parts], axis=-1)
             yield pd.Series(np.asarray(predict(block), dtype=float).reshape(len(block)))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .series import CHUNK, HOME, IDX, START, Laid, SeriesSpec, lay_out, null_safe_join
+from .series import CHUNK, HOME, IDX, Laid, SeriesSpec, lay_out, null_safe_join
 
 
 @dataclass(frozen=True)
@@ -106,16 +106,15 @@ def _evaluate(df: DataFrame, spec: SeriesSpec, features: Mapping[str, Feature],
         native = {n: features[n].build(laid) for n in names if features[n].kind == "native"}
         if native:
             laid = laid.with_df(laid.df.withColumns(native))
+        scans = {n: features[n] for n in names if features[n].kind in ("sum", "last", "next")}
+        if scans:
+            laid = _scan(laid, scans)
         batch = {n: features[n] for n in names if features[n].kind == "pandas"}
         if batch:
             laid = laid.with_df(_pandas_level(laid, batch))
         for n in names:
-            if features[n].kind == "sum":
-                laid = _running_sum(laid, n, features[n].build(laid))
-            elif features[n].kind == "frame":
+            if features[n].kind == "frame":
                 laid = features[n].build(laid, n)
-            elif features[n].kind in ("last", "next"):
-                laid = _carry(laid, n, features[n].build(laid), forward=features[n].kind == "last")
     out = laid.done()
     return out if index else out.drop(IDX) if IDX not in df.columns else out
 
@@ -135,31 +134,45 @@ def _pandas_level(laid: Laid, batch: Mapping[str, Feature]) -> DataFrame:
     return laid.df.groupBy(*part).applyInPandas(run, schema)
 
 
-def _running_sum(laid: Laid, name: str, expr: Column) -> Laid:
-    upto = laid.rows(Window.unboundedPreceding, 0)
-    if not laid.is_chunked:
-        return laid.with_df(laid.df.withColumn(name, F.sum(expr).over(upto)))
-    keys, everything = list(laid.spec.keys), Window.partitionBy(*laid.part)
-    lead_in = F.coalesce(F.sum(F.when(F.col(HOME) < F.col(CHUNK), expr)).over(everything), F.lit(0))
-    totals = laid.df.filter(laid.own).groupBy(*keys, CHUNK).agg(F.sum(expr).alias("_total"))
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, CHUNK, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
-    df = null_safe_join(laid.df.withColumn(name, F.sum(expr).over(upto) - lead_in), totals, [*keys, CHUNK])
-    return laid.with_df(df.withColumn(name, F.col(name) + F.coalesce("_offset", F.lit(0))).drop("_offset"))
-
-
-def _carry(laid: Laid, name: str, expr: Column, forward: bool) -> Laid:
-    lo, hi = (Window.unboundedPreceding, 0) if forward else (0, Window.unboundedFollowing)
-    pick = F.last if forward else F.first
-    local = pick(expr, ignorenulls=True).over(laid.rows(lo, hi))
+def _scan(laid: Laid, scans: Mapping[str, Feature]) -> Laid:
+    """Unbounded running features of one level.
+
+    Chunked, every chunk is scanned on its own; one table with a row per chunk carries the totals and edge values of all
+    features across chunks and is joined back on the partition key the rows already have.
+    """
+    upto, onward = laid.rows(Window.unboundedPreceding, 0), laid.rows(0, Window.unboundedFollowing)
+    exprs = {n: f.build(laid) for n, f in scans.items()}
+    local = {}
+    for n, f in scans.items():
+        if f.kind == "sum":
+            local[n] = F.sum(exprs[n]).over(upto)
+        elif f.kind == "last":
+            local[n] = F.last(exprs[n], ignorenulls=True).over(upto)
+        else:
+            local[n] = F.first(exprs[n], ignorenulls=True).over(onward)
     if not laid.is_chunked:
-        return laid.with_df(laid.df.withColumn(name, local))
-    keys = list(laid.spec.keys)
-    at = F.when(expr.isNotNull(), F.col(IDX))
-    best = F.max_by(expr, at) if forward else F.min_by(expr, at)
-    edge = laid.df.filter(laid.own).groupBy(*keys, CHUNK).agg(best.alias("_edge"))
-    span = (Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)
-    around = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(*span)
-    edge = edge.select(*keys, CHUNK, pick("_edge", ignorenulls=True).over(around).alias("_carry"))
-    df = null_safe_join(laid.df.withColumn(name, local), edge, [*keys, CHUNK])
-    return laid.with_df(df.withColumn(name, F.coalesce(F.col(name), F.col("_carry"))).drop("_carry"))
+        return laid.with_df(laid.df.withColumns(local))
+
+    keys, whole = list(laid.spec.keys), Window.partitionBy(*laid.part)
+    chunks = Window.partitionBy(*keys).orderBy(CHUNK)
+    before, after = chunks.rowsBetween(Window.unboundedPreceding, -1), chunks.rowsBetween(1, Window.unboundedFollowing)
+    edges, carried, final = [], [], {}
+    for n, f in scans.items():
+        at = F.when(exprs[n].isNotNull(), F.col(IDX)) if f.kind != "sum" else None
+        if f.kind == "sum":
+            lead_in = F.coalesce(F.sum(F.when(F.col(HOME) < F.col(CHUNK), exprs[n])).over(whole), F.lit(0))
+            local[n] = local[n] - lead_in
+            edges.append(F.sum(exprs[n]).alias(f"_edge_{n}"))
+            carried.append(F.coalesce(F.sum(f"_edge_{n}").over(before), F.lit(0)).alias(f"_carry_{n}"))
+            final[n] = F.col(n) + F.coalesce(F.col(f"_carry_{n}"), F.lit(0))
+        elif f.kind == "last":
+            edges.append(F.max_by(exprs[n], at).alias(f"_edge_{n}"))
+            carried.append(F.last(f"_edge_{n}", ignorenulls=True).over(before).alias(f"_carry_{n}"))
+            final[n] = F.coalesce(F.col(n), F.col(f"_carry_{n}"))
+        else:
+            edges.append(F.min_by(exprs[n], at).alias(f"_edge_{n}"))
+            carried.append(F.first(f"_edge_{n}", ignorenulls=True).over(after).alias(f"_carry_{n}"))
+            final[n] = F.coalesce(F.col(n), F.col(f"_carry_{n}"))
+    table = laid.df.filter(laid.own).groupBy(*keys, CHUNK).agg(*edges).select(*keys, CHUNK, *carried)
+    df = null_safe_join(laid.df.withColumns(local), table, [*keys, CHUNK])
+    return laid.with_df(df.withColumns(final).drop(*[f"_carry_{n}" for n in scans]))
