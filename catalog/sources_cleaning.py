@@ -1,5 +1,7 @@
 """SRC, CLN and FLT rows."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as X
@@ -7,7 +9,9 @@ from tidemark.operators import clean as C
 from tidemark.operators import runs as P
 from tidemark.functions import rolling as R
 from tidemark.plans.features import scalar, with_features
+from tidemark.plans.lineage import checkpoint_folder
 from tidemark.plans.series import SeriesSpec, index_rows
+from tidemark.plans.stats import one_row, quantiles
 from tidemark.sources import tables as T
 
 from .base import ALL, BY_TYPE, BY_USER, EV, ORD, ORD_ALL, ORD_USER, events, over, query, r, rounded, table
@@ -188,3 +192,28 @@ def deny_list(spark, sf):
 @query("flt_07_status_text", f"WITH {EV} SELECT event_id, CASE WHEN label = 1 THEN 'Anomaly' ELSE 'Normal' END AS status FROM ev")
 def status(spark, sf):
     return events(spark, sf).select("event_id", X.status(F.col("label")).alias("status"))
+
+
+@query("src_01_02_10_csv_round_trip", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS second, value FROM events")
+def csv_round_trip(spark, sf):
+    df = table(spark, sf, "events").select("event_id", "ts", "value")
+    path = f"{checkpoint_folder(spark)}/csv-{uuid.uuid4().hex}"
+    T.write_table(df, path, "csv")
+    back = T.read_csv(spark, path, df.schema, origin="file")
+    return back.select("event_id", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("second"), "value")
+
+
+@query("src_11_json_summary", f"WITH {EV} SELECT s, CAST(count(*) AS BIGINT) AS n, max(x) AS top FROM ev GROUP BY s")
+def json_summary(spark, sf):
+    path = f"{checkpoint_folder(spark)}/json-{uuid.uuid4().hex}"
+    T.write_summary(events(spark, sf).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("top")), path)
+    return spark.read.schema("s STRING, n BIGINT, top DOUBLE").json(path)
+
+
+@query("src_12_saved_parameters", f"WITH {EV}, p AS (SELECT quantile_cont(x, 0.5) AS med FROM ev) SELECT event_id, {r('x - med')} AS gap FROM ev, p")
+def saved_parameters(spark, sf):
+    """Fitted parameters go to a one-row table and are applied after reading them back."""
+    path = f"{checkpoint_folder(spark)}/params-{uuid.uuid4().hex}"
+    df = events(spark, sf)
+    quantiles(df, "x", {"med": 0.5}).write.parquet(path)
+    return rounded(one_row(df, spark.read.parquet(path).agg(F.max("med").alias("med"))).withColumn("gap", F.col("x") - F.col("med")), ["event_id"], ["gap"])

@@ -39,8 +39,10 @@ def test_long_windows_agree_with_short_code_path(spark, monkeypatch):
     def values():
         f = {n: fn("x", 40, 6) for n, fn in make.items()} | {"bs": R.rolling_skew("x", 40, 6, bias=True), "bk": R.rolling_kurt("x", 40, 6, bias=True)}
         return f, with_features(frame(spark, X), SPEC, f).orderBy("id").collect()
+    monkeypatch.setattr(R, "NATIVE_COSTLY_ROWS", 120)
     f, native = values()
     monkeypatch.setattr(R, "NATIVE_ROWS", 10)
+    monkeypatch.setattr(R, "NATIVE_COSTLY_ROWS", 10)
     _, moving = values()
     for n in f:
         close([r[n] for r in moving], [r[n] for r in native])

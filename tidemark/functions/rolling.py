@@ -18,7 +18,9 @@ from ..plans.features import Feature, running_sum, scalar
 
 # A sliding frame is re-aggregated for every row, so its cost grows with its length.  Longer windows are evaluated with
 # running updates (skip list, monotone queue, moment updates) in one Arrow pass whose cost does not depend on the length.
+# Order statistics and higher moments already pay for that at short lengths.
 NATIVE_ROWS = 120
+NATIVE_COSTLY_ROWS = 16
 BLOCK_ROWS = 4096
 
 
@@ -28,8 +30,8 @@ def _moving(col: str, w: int, m: int | None, stat: Callable, back: int | None =
     return Feature(lambda pdf: stat(pdf[col].astype("float64").rolling(w, min_periods=need)), (col,), back=w - 1 if back is None else back, kind="pandas")
 
 
-def _window(col: str, w: int, m: int | None, agg: Callable[[Column], Column], moving: Callable) -> Feature:
-    if w > NATIVE_ROWS:
+def _window(col: str, w: int, m: int | None, agg: Callable[[Column], Column], moving: Callable, costly: bool = False) -> Feature:
+    if w > (NATIVE_COSTLY_ROWS if costly else NATIVE_ROWS):
         return _moving(col, w, m, moving)
     need = w if m is None else m
 
@@ -84,7 +86,7 @@ def _native_range(col, w, m):
 
 def rolling_quantile(col, w, q, m=None):
     """Linear-interpolated quantile of the window."""
-    return _window(col, w, m, lambda c: F.percentile(c, F.lit(q)), lambda r: r.quantile(q))
+    return _window(col, w, m, lambda c: F.percentile(c, F.lit(q)), lambda r: r.quantile(q), costly=True)
 
 
 def rolling_median(col, w, m=None):
@@ -92,7 +94,7 @@ def rolling_median(col, w, m=None):
 
 
 def rolling_iqr(col, w, m=None):
-    if w > NATIVE_ROWS:
+    if w > NATIVE_COSTLY_ROWS:
         return _moving(col, w, m, lambda r: r.quantile(0.75) - r.quantile(0.25))
     inner = _window(col, w, m, lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))), None)
     return Feature(lambda laid: (lambda a: a[1] - a[0])(inner.build(laid)), (col,), back=w - 1)
@@ -101,7 +103,7 @@ def rolling_iqr(col, w, m=None):
 def rolling_skew(col, w, m=None, bias=False):
     """Skewness; ``bias=False`` applies the sample correction, which needs three values."""
     need = w if m is None else m
-    if w > NATIVE_ROWS:
+    if w > NATIVE_COSTLY_ROWS:
         return _moving(col, w, m, lambda r: _uncorrect(r.skew(), r.count(), 3) if bias else r.skew())
 
     def build(laid):
@@ -117,7 +119,7 @@ def rolling_skew(col, w, m=None, bias=False):
 def rolling_kurt(col, w, m=None, bias=False):
     """Excess kurtosis; ``bias=False`` applies the sample correction, which needs four values."""
     need = w if m is None else m
-    if w > NATIVE_ROWS:
+    if w > NATIVE_COSTLY_ROWS:
         return _moving(col, w, m, lambda r: _uncorrect(r.kurt(), r.count(), 4) if bias else r.kurt())
 
     def build(laid):

@@ -224,7 +224,7 @@ def isolation_scores(df: DataFrame, forest: list[np.ndarray], features: Sequence
 def isolation_outliers(df: DataFrame, features: Sequence[str], key: str, contamination: float = 0.1, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
     """Scores every row and flags the ``contamination`` share with the highest scores."""
     forest = fit_isolation_forest(df, features, key, trees, sample, seed)
-    scored = isolation_scores(df, forest, features, sample)
+    scored = cut_lineage(isolation_scores(df, forest, features, sample))  # read three times below
     return apply_threshold(scored, "isolation", percentile_threshold(scored, "isolation", (1 - contamination) * 100), "outlier")
 
 

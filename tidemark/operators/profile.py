@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.rolling import lag, lead
+from ..functions.rolling import lead
 from ..functions.scalars import bin_index, gamma_value, histogram_bin, normal_quantile
 from ..plans.features import Feature, scalar, with_features
-from ..plans.series import IDX, SeriesSpec, index_rows, micros, null_safe_join
+from ..plans.series import IDX, SeriesSpec, index_rows, lay_out, micros, null_safe_join
 from ..plans.stats import SMALL_GROUP, attach_group_stats, average_ranks, one_row, ordered_prefix, quantiles
 
 
@@ -117,15 +117,30 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def autocorrelation(df: DataFrame, spec: SeriesSpec, lags: int = 50) -> DataFrame:
-    """Autocorrelation at lags 0..``lags`` per series, normalised by the full sum of squares."""
+    """Autocorrelation at lags 0..``lags`` per series, normalised by the full sum of squares.
+
+    Every chunk (with ``lags`` rows of its predecessor) yields ``lags + 1`` partial sums of products, which are then added up.
+    """
     x = spec.value
     rows = attach_group_stats(df.select(*spec.keys, *spec.order, x), spec.keys, [F.avg(x).alias("_mu")])
-    f = {"centred": scalar(F.col(x) - F.col("_mu"), x)}
-    f.update({f"lag{k}": lag("centred", k) for k in range(1, lags + 1)})
-    wide = with_features(rows, spec, f)
-    sums = [F.sum(F.col("centred") * F.col("centred")).alias("s0")] + [F.sum(F.col("centred") * F.col(f"lag{k}")).alias(f"s{k}") for k in range(1, lags + 1)]
-    cells = [F.struct(F.lit(k).alias("lag"), (F.coalesce(F.col(f"s{k}"), F.lit(0.0)) / F.col("s0")).alias("acf")) for k in range(lags + 1)]
-    return wide.groupBy(*spec.keys).agg(*sums).select(*spec.keys, F.explode(F.array(*cells)).alias("r")).select(*spec.keys, "r.*")
+    laid = lay_out(rows, spec, back=lags)
+    own = laid.df.withColumn("_own", laid.own)
+    keys, order = list(spec.keys), spec.order
+    schema = T.StructType([*df.select(*keys).schema, T.StructField("lag", T.IntegerType()), T.StructField("_s", T.DoubleType())])
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        c = np.nan_to_num(pdf[x].to_numpy(dtype=float) - pdf["_mu"].to_numpy())
+        mine = np.where(pdf["_own"].to_numpy(), c, 0.0)
+        sums = [float(mine[k:] @ c[: len(c) - k]) if k < len(c) else 0.0 for k in range(lags + 1)]
+        out = pd.DataFrame({"lag": np.arange(lags + 1, dtype="int32"), "_s": sums})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, "lag", "_s"]]
+
+    sums = own.groupBy(*laid.part).applyInPandas(products, schema).groupBy(*keys, "lag").agg(F.sum("_s").alias("_s"))
+    zero = F.max(F.when(F.col("lag") == 0, F.col("_s"))).over(Window.partitionBy(*keys))  # lags + 1 rows per series
+    return sums.select(*keys, "lag", (F.col("_s") / zero).alias("acf"))
 
 
 def label_transitions(df: DataFrame, spec: SeriesSpec, label: str) -> DataFrame:

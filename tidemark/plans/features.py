@@ -140,7 +140,9 @@ def _scan(laid: Laid, scans: Mapping[str, Feature]) -> Laid:
     Chunked, every chunk is scanned on its own; one table with a row per chunk carries the totals and edge values of all
     features across chunks and is joined back on the partition key the rows already have.
     """
-    upto, onward = laid.rows(Window.unboundedPreceding, 0), laid.rows(0, Window.unboundedFollowing)
+    # looking ahead is done by looking back in reverse order: a frame that is open at its far end is re-read for every row
+    upto = laid.rows(Window.unboundedPreceding, 0)
+    onward = laid.reverse().rowsBetween(Window.unboundedPreceding, 0)
     exprs = {n: f.build(laid) for n, f in scans.items()}
     local = {}
     for n, f in scans.items():
@@ -149,13 +151,13 @@ def _scan(laid: Laid, scans: Mapping[str, Feature]) -> Laid:
         elif f.kind == "last":
             local[n] = F.last(exprs[n], ignorenulls=True).over(upto)
         else:
-            local[n] = F.first(exprs[n], ignorenulls=True).over(onward)
+            local[n] = F.last(exprs[n], ignorenulls=True).over(onward)
     if not laid.is_chunked:
         return laid.with_df(laid.df.withColumns(local))
 
     keys, whole = list(laid.spec.keys), Window.partitionBy(*laid.part)
-    chunks = Window.partitionBy(*keys).orderBy(CHUNK)
-    before, after = chunks.rowsBetween(Window.unboundedPreceding, -1), chunks.rowsBetween(1, Window.unboundedFollowing)
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     edges, carried, final = [], [], {}
     for n, f in scans.items():
         at = F.when(exprs[n].isNotNull(), F.col(IDX)) if f.kind != "sum" else None
@@ -171,7 +173,7 @@ def _scan(laid: Laid, scans: Mapping[str, Feature]) -> Laid:
             final[n] = F.coalesce(F.col(n), F.col(f"_carry_{n}"))
         else:
             edges.append(F.min_by(exprs[n], at).alias(f"_edge_{n}"))
-            carried.append(F.first(f"_edge_{n}", ignorenulls=True).over(after).alias(f"_carry_{n}"))
+            carried.append(F.last(f"_edge_{n}", ignorenulls=True).over(after).alias(f"_carry_{n}"))
             final[n] = F.coalesce(F.col(n), F.col(f"_carry_{n}"))
     table = laid.df.filter(laid.own).groupBy(*keys, CHUNK).agg(*edges).select(*keys, CHUNK, *carried)
     df = null_safe_join(laid.df.withColumns(local), table, [*keys, CHUNK])

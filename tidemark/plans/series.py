@@ -105,6 +105,10 @@ class Laid:
     def ordered(self) -> WindowSpec:
         return Window.partitionBy(*self.part).orderBy(*self.spec.order)
 
+    def reverse(self) -> WindowSpec:
+        """The same rows from the end of the series to its start."""
+        return Window.partitionBy(*self.part).orderBy(*[F.col(c).desc_nulls_last() for c in self.spec.order])
+
     def rows(self, lo: int, hi: int) -> WindowSpec:
         return self.ordered().rowsBetween(lo, hi)
 
