@@ -34,8 +34,9 @@ HASH_RANGE = 4294967296  # 2**32
 
 
 def hash_order(key: Column, seed: int = 0) -> Column:
-    """Pseudo-random order of integer keys; the odd multiplier keeps keys below 2**32 distinct."""
-    return F.pmod(key * F.lit(2654435761) + F.lit(seed * 40503), F.lit(HASH_RANGE)).cast("double")
+    """Pseudo-random order of integer keys of any size; the odd multiplier keeps keys below 2**31 distinct."""
+    low, high = F.pmod(key, F.lit(HASH_RANGE // 2)), F.floor(key / F.lit(HASH_RANGE // 2))
+    return F.pmod(low * F.lit(2654435761) + high * F.lit(97561) + F.lit(seed * 40503), F.lit(HASH_RANGE)).cast("double")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, fractions: Mapping[str, float], seed: int = 0, small: int = SMALL_GROUP) -> DataFrame:
