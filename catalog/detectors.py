@@ -9,7 +9,7 @@ from tidemark.operators import joins as J
 from tidemark.operators import windows as W
 from tidemark.plans.features import scalar, with_features
 
-from .base import ALL, BY_TYPE, EV, ORD, ORD_ALL, at_least, events, over, query, r, rounded
+from .base import BY_TYPE, EV, ORD, events, over, query, r, rounded
 
 o = f"({ORD})"
 

@@ -9,7 +9,7 @@ from tidemark.operators import runs as P2
 from tidemark.operators import windows as W
 from tidemark.plans.series import index_rows
 
-from .base import ALL, BY_TYPE, EV, ORD, ORD_ALL, events, over, query, r, rounded
+from .base import ALL, BY_TYPE, EV, ORD, events, over, query, r, rounded
 from .profiling import SPEED, bin_sql, speeds
 
 o = f"({ORD})"

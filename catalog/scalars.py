@@ -7,7 +7,7 @@ from tidemark.operators import reshape as H
 from tidemark.operators import windows as W
 from tidemark.plans.stats import attach_group_stats
 
-from .base import ALL, BY_TYPE, EV, ORD, events, over, query, r, rounded, table
+from .base import BY_TYPE, EV, ORD, events, over, query, r, rounded, table
 
 o = f"({ORD})"
 

@@ -8,9 +8,9 @@ from tidemark.functions.wavelets import WAVELETS
 from tidemark.operators import detect as D
 from tidemark.operators import models as M
 from tidemark.operators import windows as W
-from tidemark.plans.features import scalar, with_features
+from tidemark.plans.features import with_features
 
-from .base import ALL, BY_TYPE, EV, ORD, ORD_ALL, at_least, events, over, query, r, rounded, table
+from .base import BY_TYPE, EV, ORD, events, over, query, r, rounded, table
 
 o = f"({ORD})"
 HASH = f"{EV}, h AS (SELECT *, CAST((event_id * 2654435761 + 7 * 40503) % 4294967296 AS DOUBLE) AS h FROM ev), q AS (SELECT label AS g, quantile_cont(h, 0.7) AS q7, quantile_cont(h, 0.85) AS q85 FROM h GROUP BY label)"

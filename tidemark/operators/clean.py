@@ -39,10 +39,10 @@ def fill_median(df: DataFrame, columns: Sequence[str], train=None) -> DataFrame:
 
 def fill_along(df: DataFrame, spec: SeriesSpec, columns: Sequence[str], backward: bool = True, rest: float | None = None) -> DataFrame:
     """Carries the last known value forward, then (optionally) the next one backward, then a constant."""
-    f = {f"_ahead_{c}": carry_last(F.col(c), c) for c in columns}
+    f = {f"ahead__{c}": carry_last(F.col(c), c) for c in columns}
     if backward:
-        f.update({f"_behind_{c}": carry_next(F.col(c), c) for c in columns})
-    wide = with_features(df, spec, {k.replace("_ahead_", "ahead__").replace("_behind_", "behind__"): v for k, v in f.items()})
+        f |= {f"behind__{c}": carry_next(F.col(c), c) for c in columns}
+    wide = with_features(df, spec, f)
     tail = [] if rest is None else [F.lit(rest)]
     filled = {c: F.coalesce(F.col(f"ahead__{c}"), *([F.col(f"behind__{c}")] if backward else []), *tail) for c in columns}
     return wide.withColumns(filled).select(*df.columns)

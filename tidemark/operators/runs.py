@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rolling import lag
@@ -10,11 +10,17 @@ from ..plans.features import Feature, running_sum, scalar, with_features
 from ..plans.series import IDX, SeriesSpec
 
 
+def _begins(flag: str) -> Feature:
+    def build(laid):
+        was = F.coalesce(F.lag(flag, 1).over(laid.ordered()), F.lit(0))
+        return F.when((F.col(flag) == 1) & (was != 1), 1).otherwise(0)
+
+    return Feature(build, (flag,), back=1)
+
+
 def mark_runs(df: DataFrame, spec: SeriesSpec, flag: str, out: str = "run_id") -> DataFrame:
     """Numbers the runs of 1s of each series from 1 in column ``run_id`` (meaningful on rows where the flag is 1)."""
-    begins = Feature(lambda s: F.when((F.col(flag) == 1) & (F.coalesce(F.lag(flag, 1).over(s.ordered()), F.lit(0)) != 1), 1)
-                     .otherwise(0), (flag,), back=1)
-    return with_features(df, spec, {"_begins": begins, out: running_sum(F.col("_begins"), "_begins")}, index=True)
+    return with_features(df, spec, {"_begins": _begins(flag), out: running_sum(F.col("_begins"), "_begins")}, index=True)
 
 
 def run_intervals(df: DataFrame, spec: SeriesSpec, flag: str, keep_open_run: bool = True) -> DataFrame:
@@ -22,13 +28,11 @@ def run_intervals(df: DataFrame, spec: SeriesSpec, flag: str, keep_open_run: boo
 
     ``keep_open_run=False`` leaves out a run that reaches the end of its series.
     """
-    f = {"_begins": Feature(lambda s: F.when((F.col(flag) == 1) & (F.coalesce(F.lag(flag, 1).over(s.ordered()), F.lit(0)) != 1), 1)
-                            .otherwise(0), (flag,), back=1),
-         "_final": Feature(lambda s: F.lead(F.lit(1), 1).over(s.ordered()).isNull().cast("int"), (), fwd=1),
-         "run_id": running_sum(F.col("_begins"), "_begins")}
+    f = {"_begins": _begins(flag), "run_id": running_sum(F.col("_begins"), "_begins"),
+         "final": Feature(lambda s: F.lead(F.lit(1), 1).over(s.ordered()).isNull().cast("int"), (), fwd=1)}
     x = F.col(spec.value)
     narrow = df.select(*dict.fromkeys([*spec.keys, *spec.order, spec.value, flag]))
-    rows = with_features(narrow, spec, {**{k.replace("_final", "final"): v for k, v in f.items()}}, index=True)
+    rows = with_features(narrow, spec, f, index=True)
     out = (rows.filter(F.col(flag) == 1).groupBy(*spec.keys, "run_id")
            .agg(F.min(IDX).alias("start_idx"), F.max(IDX).alias("end_idx"), F.min(spec.ts).alias("start_ts"), F.max(spec.ts).alias("end_ts"),
                 F.count(F.lit(1)).alias("n"), F.min(x).alias("min_value"), F.max(x).alias("max_value"), F.avg(x).alias("mean_value"),
