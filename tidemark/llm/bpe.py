@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import ID, TEXT
 
-BLOCK_CHARS, KEPT = 2_000_000, 1_000_000
+BLOCK_CHARS, KEPT = 20_000_000, 1_000_000
+#: Pieces of more bytes, and the pieces of a block that has fewer, are replayed one place at a time.
+LONG_PIECE, FEW_PIECES = 256, 2000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -93,76 +95,192 @@ def replay(pieces: list[bytes], singles: list[int], pairs: dict[tuple[int, int],
     return out
 
 
+class Merges:
+    """Pair ranks as sorted arrays, and the replay over many pieces at once."""
+
+    none = 1 << 30
+
+    def __init__(self, pairs: dict[tuple[int, int], int], singles: list[int], tokens: int):
+        self.width, self.tokens = tokens + 1, tokens
+        keys = np.array([a * self.width + b for a, b in pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], np.array(list(pairs.values()), np.int32)[order]
+        self.singles = np.array(singles, np.int32)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * np.int64(self.width) + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], self.none)
+
+    def replay(self, pieces: list[bytes], parts: int = 64) -> list[bytes]:
+        """Little-endian ids of every piece (not empty), as ``replay`` gives them.
+
+        The index is one array of (rank, place) for each ``parts``-th of the ranks, sorted when its turn comes; what merges add to the
+        part at hand goes to lists by rank. A step takes all places of a rank, one of each piece: a piece's others wait for the next
+        step, so that a pair of a lower rank, should one arise, goes first.
+        """
+        lengths = np.array([len(p) for p in pieces])
+        begins = np.cumsum(lengths + 1) - lengths
+        n = int(lengths.sum() + len(pieces) + 1)
+        token = np.full(n, self.tokens, np.int32)
+        piece = np.repeat(np.arange(len(pieces)), lengths + 1)
+        piece = np.append(piece, len(pieces))[:n]
+        inner = np.arange(lengths.sum()) + np.repeat(begins - (np.cumsum(lengths) - lengths), lengths)
+        token[inner] = self.singles[np.frombuffer(b"".join(pieces), np.uint8)]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank_at = np.append(self.rank(token[:-1], token[1:]), np.int32(self.none))
+        owner = np.zeros(n, np.int64)
+        owner[inner] = np.repeat(np.arange(len(pieces)), lengths)
+        later = [(rank_at, np.arange(n))]
+        step = -(-self.tokens // parts)
+        for top in range(step, self.tokens + step, step):
+            rank, place = (np.concatenate(x) for x in zip(*later))
+            live = rank_at[place] == rank
+            now = live & (rank < top)
+            later = [(rank[live & ~now], place[live & ~now])]
+            rank, place = rank[now], place[now]
+            order = np.lexsort((place, rank))
+            rank, place = rank[order], place[order]
+            cuts = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else []
+            index = {int(rank[c]): [place[c:d]] for c, d in zip(cuts, [*cuts[1:], len(rank)])}
+            waiting = list(index)
+            while waiting:
+                r = heappop(waiting)
+                held = index.pop(r, None)
+                if held is None:
+                    continue
+                at = np.unique(np.concatenate(held)) if len(held) > 1 else held[0]
+                at = at[rank_at[at] == r]
+                if len(at) > 1:
+                    own = owner[at]
+                    lead = np.append(True, own[1:] != own[:-1])
+                    if not lead.all():
+                        index[r] = [at[~lead]]
+                        heappush(waiting, r)
+                        at = at[lead]
+                elif not len(at):
+                    continue
+                gone = after[at]
+                right, left = after[gone], before[at]
+                token[at], token[gone], rank_at[gone] = r, -1, self.none
+                after[at], before[right] = right, at
+                places = np.concatenate((left, at))
+                new = self.rank(token[places], np.concatenate((token[at], token[right])))
+                rank_at[places] = new
+                ok = new < self.none
+                new, places = new[ok], places[ok]
+                soon = new < top
+                if soon.any():
+                    for x, y in zip(new[soon].tolist(), places[soon]):
+                        if x in index:
+                            index[x].append(np.array([y]))
+                        else:
+                            index[x] = [np.array([y])]
+                            heappush(waiting, x)
+                    new, places = new[~soon], places[~soon]
+                later.append((new, places))
+        left = token[inner]
+        alive = left >= 0
+        ids = left[alive].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.add.reduceat(alive, np.cumsum(lengths) - lengths))).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Encoder:
     """Encodes and decodes texts; keeps the pieces and blank-separated stretches it has met, up to ``KEPT`` of each."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.cut = ranks, regex.compile(pattern).findall
+        self.ranks, self.pattern = ranks, regex.compile(pattern).findall
         self.pairs = pair_ranks(ranks)
         self.singles = [ranks[bytes([b])] for b in range(256)]
-        self.bytes_of = {r: t for t, r in ranks.items()}
+        self.merges = Merges(self.pairs, self.singles, max(ranks.values()) + 1)
         self.pieces: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
         self.stretches: dict[str, bytes] = {}
-
-    def learn(self, stretches: list[str]) -> None:
-        """Little-endian ids of stretches not met before."""
-        if len(self.stretches) + len(stretches) > KEPT:
-            self.stretches.clear()
+        size = np.zeros(max(ranks.values()) + 1, np.int64)
+        for t, r in ranks.items():
+            size[r] = len(t)
+        self.size, self.begin = size, np.cumsum(size) - size
+        self.all_bytes = np.frombuffer(b"".join(t for _, t in sorted((r, t) for t, r in ranks.items())), np.uint8)
+
+    def cut(self, stretch: str) -> list[str]:
+        """Pieces of a stretch; letters alone, or with a comma or stop behind them, need no pattern."""
+        word = stretch[1:] if stretch[0] == " " else stretch
+        if word.isalpha():
+            return [stretch]
+        if word[-1:] in (",", ".") and word[:-1].isalpha():
+            return [stretch[:-1], stretch[-1]]
+        return self.pattern(stretch)
+
+    def learn(self, stretches: list[str]) -> list[bytes]:
+        """Little-endian ids of stretches."""
         if len(self.pieces) > KEPT:
             self.pieces.clear()
         cuts = [self.cut(s) for s in stretches]
-        fresh = [p for p in dict.fromkeys(p for c in cuts for p in c) if p not in self.pieces]
-        merged, raw = [], []
-        for p in fresh:
+        pieces = self.pieces
+        merged, raw, odd = [], [], []
+        for p in dict.fromkeys(p for c in cuts for p in c if p not in pieces):
             b = p.encode()
             if (r := self.ranks.get(b)) is not None:
-                self.pieces[p] = r.to_bytes(4, "little")
+                pieces[p] = r.to_bytes(4, "little")
+            elif len(b) > LONG_PIECE:
+                odd.append(p)
             else:
                 merged.append(p)
                 raw.append(b)
-        for p, ids in zip(merged, replay(raw, self.singles, self.pairs)):
-            self.pieces[p] = np.array(ids, "<u4").tobytes()
-        get = self.pieces.__getitem__
-        self.stretches.update(zip(stretches, [b"".join(map(get, c)) for c in cuts]))
+        if len(merged) < FEW_PIECES:
+            odd, merged, raw = odd + merged, [], []
+        if merged:
+            pieces.update(zip(merged, self.merges.replay(raw)))
+        if odd:
+            pieces.update(zip(odd, (np.array(x, "<u4").tobytes() for x in replay([p.encode() for p in odd], self.singles, self.pairs))))
+        return [pieces[c[0]] if len(c) == 1 else b"".join([pieces[p] for p in c]) for c in cuts]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         block, size = [], 0
         for t in texts:
-            block.append(split(t))
+            block.append(t)
             size += len(t)
             if size >= BLOCK_CHARS:
                 yield from self._encode(block)
                 block, size = [], 0
         yield from self._encode(block)
 
-    def _encode(self, block: list[list[str]]) -> Iterator[bytes]:
-        known = self.stretches
-        if fresh := [s for s in dict.fromkeys(s for parts in block for s in parts) if s not in known]:
-            if len(known) + len(fresh) > KEPT:
-                known.clear()
-                fresh = list(dict.fromkeys(s for parts in block for s in parts))
-            self.learn(fresh)
-        get = known.__getitem__
-        for parts in block:
-            yield b"".join(map(get, parts))
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        if len(self.stretches) + len(self.firsts) > KEPT:
+            self.stretches.clear()
+            self.firsts.clear()
+        firsts, rest = set(), set()
+        for t in texts:
+            first, *others = split(t)
+            firsts.add(first)
+            rest.update(others)
+        firsts, rest = [s for s in firsts if s and s not in self.firsts], [s for s in rest if s not in self.stretches]
+        ids = self.learn(firsts + [" " + s for s in rest])
+        self.firsts.update(zip(firsts, ids))
+        self.firsts[""] = b""
+        self.stretches.update(zip(rest, ids[len(firsts):]))
+        get = self.stretches.__getitem__
+        for t in texts:
+            first, *others = split(t)
+            yield self.firsts[first] + b"".join(map(get, others))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        x = np.frombuffer(ids, "<u4")
+        size = self.size[x]
+        at = np.repeat(self.begin[x] - (np.cumsum(size) - size), size)
+        at += np.arange(len(at))
+        return self.all_bytes[at].tobytes()
 
 
 AFTER_WHITE = regex.compile(r"\s ")
 
 
 def split(text: str) -> list[str]:
-    """Stretches whose pieces are those of the whole text. A blank after a character that is not white space always begins a piece; a
-    text with a blank after white space is one stretch."""
-    if not text:
-        return []
-    if AFTER_WHITE.search(text):
-        return [text]
-    first, *rest = text.split(" ")
-    return [*([first] if first else []), *(" " + s for s in rest)]
+    """Stretches whose pieces, each but the first with a blank before it, are those of the whole text: a blank after a character that is
+    not white space always begins a piece. A text with a blank after white space is one stretch."""
+    return [text] if AFTER_WHITE.search(text) else text.split(" ")
 
 
 def tokens(text: Column, path: str, pattern: str, with_ids: bool = False) -> Column:
