@@ -93,9 +93,16 @@ def band_keys(forms: list[str]) -> np.ndarray:
     return key
 
 
-def jaccard(a: str, b: str, k: int = SHINGLE) -> float:
-    x, y = ({f[i:i + k] for i in range(max(1, len(f) - k + 1))} for f in (a, b))
-    return len(x & y) / len(x | y)
+def shingles(f: str, k: int = SHINGLE) -> set[str]:
+    return {f[i:i + k] for i in range(max(1, len(f) - k + 1))}
+
+
+def alike(x: set[str], y: set[str], least: float) -> bool:
+    """Whether two sets' Jaccard similarity is at least ``least``."""
+    if min(len(x), len(y)) < least * max(len(x), len(y)):
+        return False
+    both = len(x & y)
+    return both >= least * (len(x) + len(y) - both)
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -192,25 +199,28 @@ def _texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def _similar(least: float):
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for a, b in batches:
-            yield pa.array([jaccard(x, y) >= least for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+        for leaders, others in batches:
+            out, last, held = [], None, set()
+            for a, b in zip(leaders.to_pylist(), others.to_pylist()):
+                if a != last:
+                    last, held = a, shingles(a)
+                out.append(alike(held, shingles(b), least))
+            yield pa.array(out, pa.bool_())
     return F.arrow_udf(run, "boolean").asNondeterministic()
 
 
 def _complete(least: float):
-    """All links of one group that matter: pairs are compared until the group is one component or none are left."""
+    """Links of the lines of one group that failed their leader: each is compared until the group is one component or none are left."""
     def run(group: pa.Table) -> pa.Table:
-        ids, forms = group["line"].to_pylist(), group["form"].to_pylist()
-        sets = [{f[i:i + SHINGLE] for i in range(max(1, len(f) - SHINGLE + 1))} for f in forms]
-        part, edges = list(range(len(ids))), []
-        for i in range(1, len(ids)):
-            for j in range(i):
-                x, y = sets[i], sets[j]
-                if part[i] == part[j] or min(len(x), len(y)) < least * max(len(x), len(y)) or len(x & y) < least * len(x | y):
-                    continue
-                edges.append((ids[i], ids[j]))
-                old, new = max(part[i], part[j]), min(part[i], part[j])
-                part = [new if p == old else p for p in part]
+        ids, sets, ok = group["line"].to_pylist(), [shingles(f) for f in group["form"].to_pylist()], group["ok"].to_pylist()
+        part = [0 if x else i + 1 for i, x in enumerate(ok)]
+        edges = []
+        for i in (i for i, x in enumerate(ok) if not x):
+            for j in range(len(ids)):
+                if part[i] != part[j] and alike(sets[i], sets[j], least):
+                    edges.append((ids[i], ids[j]))
+                    old, new = max(part[i], part[j]), min(part[i], part[j])
+                    part = [new if p == old else p for p in part]
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
     return run
 
@@ -221,9 +231,12 @@ def links(docs: DataFrame, lines: int, least: float = SIMILARITY) -> DataFrame:
     texts = cut_lineage(_texts(docs, groups.select("line").distinct()))
     pairs = groups.where("line <> leader").select("leader", "line").distinct()
     pairs = pairs.join(texts, "line").join(texts.withColumnsRenamed({"line": "leader", "form": "other"}), "leader")
-    judged = cut_lineage(pairs.select("leader", "line", _similar(least)("form", "other").alias("ok")))
-    open_groups = groups.where("size > 2").join(judged.where("not ok"), ["leader", "line"], "left_semi").select("band").distinct()
-    rest = groups.join(open_groups, "band", "left_semi").join(texts, "line").select("band", "line", "form")
+    judged = cut_lineage(pairs.select("leader", "line", _similar(least)("other", "form").alias("ok")))
+    known = groups.where("size > 2").join(judged, ["leader", "line"], "left").withColumn("ok", F.coalesce("ok", F.lit(True)))
+    # the same lines often meet in several bands: one of these is enough
+    same = known.groupBy("band").agg(F.min("leader").alias("leader"), F.count("*").alias("n"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("lines"), F.min("ok").alias("settled"))
+    open_groups = same.where("not settled").groupBy("leader", "n", "lines").agg(F.min("band").alias("band")).select("band")
+    rest = known.join(open_groups, "band", "left_semi").join(texts, "line").select("band", "line", "form", "ok")
     return judged.where("ok").select(F.col("leader").alias("a"), F.col("line").alias("b")).union(
         rest.groupBy("band").applyInArrow(_complete(least), "a bigint, b bigint"))
 
