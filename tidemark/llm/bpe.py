@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import ID, TEXT
 
-BLOCK_CHARS, KEPT = 20_000_000, 1_000_000
+BLOCK_CHARS, KEPT = 8_000_000, 500_000
 #: Pieces of more bytes, and the pieces of a block that has fewer, are replayed one place at a time.
 LONG_PIECE, FEW_PIECES = 256, 2000
 
@@ -110,7 +110,7 @@ class Merges:
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * np.int64(self.width) + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], self.none)
+        return np.where(self.keys[at] == key, self.ranks[at], np.int32(self.none))
 
     def replay(self, pieces: list[bytes], parts: int = 64) -> list[bytes]:
         """Little-endian ids of every piece (not empty), as ``replay`` gives them.
@@ -123,15 +123,13 @@ class Merges:
         begins = np.cumsum(lengths + 1) - lengths
         n = int(lengths.sum() + len(pieces) + 1)
         token = np.full(n, self.tokens, np.int32)
-        piece = np.repeat(np.arange(len(pieces)), lengths + 1)
-        piece = np.append(piece, len(pieces))[:n]
         inner = np.arange(lengths.sum()) + np.repeat(begins - (np.cumsum(lengths) - lengths), lengths)
         token[inner] = self.singles[np.frombuffer(b"".join(pieces), np.uint8)]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         rank_at = np.append(self.rank(token[:-1], token[1:]), np.int32(self.none))
-        owner = np.zeros(n, np.int64)
-        owner[inner] = np.repeat(np.arange(len(pieces)), lengths)
-        later = [(rank_at, np.arange(n))]
+        owner = np.zeros(n, np.int32)
+        owner[inner] = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+        later = [(rank_at[some := np.flatnonzero(rank_at < self.none)], some.astype(np.int32))]
         step = -(-self.tokens // parts)
         for top in range(step, self.tokens + step, step):
             rank, place = (np.concatenate(x) for x in zip(*later))
@@ -173,9 +171,9 @@ class Merges:
                 if soon.any():
                     for x, y in zip(new[soon].tolist(), places[soon]):
                         if x in index:
-                            index[x].append(np.array([y]))
+                            index[x].append(np.array([y], np.int32))
                         else:
-                            index[x] = [np.array([y])]
+                            index[x] = [np.array([y], np.int32)]
                             heappush(waiting, x)
                     new, places = new[~soon], places[~soon]
                 later.append((new, places))

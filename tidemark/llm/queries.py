@@ -4,14 +4,48 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, line_dedup, quality, simhash
+from . import bpe, chat, decontam, licenses, line_dedup, pii, quality, simhash, toxicity, url_rules
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.detect(docs, pii.fit(docs)).drop("redacted")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: The rules of the url query, and the conversation that tests escaping.
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id bigint, turn int, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    out = chat.format_conversations(turns.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
+    read, loss = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss_spans"))
+    out = out.select("conv_id", read.alias("read"), loss.alias("loss"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+    whole = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select("conv_id", F.size("read").cast("bigint").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"),
+                      F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -30,5 +64,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op5_quality, op7_line_dedup, op9_decontam, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_bpe, op4_url_rules, op5_quality, op6_chat, op7_line_dedup, op8_licenses, op9_decontam, op10_simhash)}
 SQL: dict[str, str] = {}
