@@ -120,6 +120,8 @@ class Index:
 
     def votes(self, q: np.ndarray, own: np.ndarray | None = None, own_toxic: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(vote, nearest entry) of each query; a query that is an example itself (entry, label) doesn't vote on itself."""
+        if not len(self.x):
+            return np.full(len(q), self.share), np.full(len(q), -1)
         best, at = self.nearest(q)
         there = at >= 0
         n, t = np.where(there, self.n[at], 0).astype(float), np.where(there, self.toxic[at], 0.0)
