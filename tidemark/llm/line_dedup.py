@@ -105,6 +105,20 @@ def alike(x: set[str], y: set[str], least: float) -> bool:
     return both >= least * (len(x) + len(y) - both)
 
 
+def sketch(x: set[str]) -> int:
+    """1024 bits of which every shingle sets one: bits of x that y lacks are shingles of x that y lacks, at least so many."""
+    out = 0
+    for h in {hash(s) & 1023 for s in x}:
+        out |= 1 << h
+    return out
+
+
+def far(x: set[str], y: set[str], own: int, other: int, least: float) -> bool:
+    """Whether the sketches alone show that two sets are not alike."""
+    both = least / (1 + least) * (len(x) + len(y))
+    return (own & ~other).bit_count() > len(x) - both or (other & ~own).bit_count() > len(y) - both
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
     """``(doc_id, place, line)`` of every line that takes part, ``place`` counted from 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +227,12 @@ def _complete(least: float):
     """Links of the lines of one group that failed their leader: each is compared until the group is one component or none are left."""
     def run(group: pa.Table) -> pa.Table:
         ids, sets, ok = group["line"].to_pylist(), [shingles(f) for f in group["form"].to_pylist()], group["ok"].to_pylist()
+        marks = [sketch(x) for x in sets]
         part = [0 if x else i + 1 for i, x in enumerate(ok)]
         edges = []
         for i in (i for i, x in enumerate(ok) if not x):
             for j in range(len(ids)):
-                if part[i] != part[j] and alike(sets[i], sets[j], least):
+                if part[i] != part[j] and not far(sets[i], sets[j], marks[i], marks[j], least) and alike(sets[i], sets[j], least):
                     edges.append((ids[i], ids[j]))
                     old, new = max(part[i], part[j]), min(part[i], part[j])
                     part = [new if p == old else p for p in part]
