@@ -128,3 +128,24 @@ def test_monitoring_warnings(spark):
     df = frame(spark, [0, .5, 9]).withColumns({"p": F.lit(.3), "f": F.lit(0)})
     r = D.monitoring_report(df, ["x"], "p", "f", .1).first()
     assert len(r.warnings) == 3 and r.performance_check == "WARNING"
+
+
+def test_one_sided_constant_and_null_data(spark):
+    """Degenerate data give NULL where there is no answer, and NULL values and labels change nothing else."""
+    from tidemark.operators import detect as D, evaluate as E, profile as P
+
+    labelled = spark.createDataFrame([(1.0, 0), (2.0, None), (3.0, 1)], "x double, label int")
+    rows = {r["label"]: r["n"] for r in P.describe(labelled, "x", "label").collect()}
+    assert rows == {None: 3, 0: 1, 1: 1}
+    one_class = spark.createDataFrame([(0.1, 1), (0.4, 1)], "s double, y int")
+    assert E.roc_auc(one_class, "y", "s").first()["roc_auc"] is None
+    assert E.average_precision(one_class.withColumn("y", F.lit(0)), "y", "s").first()["average_precision"] is None
+    holed = spark.createDataFrame([(None,), (1.0,), (2.0,)], "x double")
+    assert [(r["x"], r["p_first"]) for r in P.empirical_cdf(holed, "x").orderBy("x").collect()] == [(1.0, 0.0), (2.0, 1.0)]
+    assert P.normal_qq(holed.withColumn("id", F.monotonically_increasing_id()), "x", "id").count() == 2
+    flat = spark.createDataFrame([(0.0,), (0.0,)], "x double")
+    assert P.shape_metrics(flat, "x").first()["cv"] is None
+    assert P.extreme_value_limits(flat, "x").first()["shape"] is None
+    assert P.extreme_value_limits(flat.limit(1), "x").count() == 1
+    one_side = D.two_sample(holed, ["x"], F.lit(True)).first()
+    assert one_side["ks"] is None and one_side["n1"] == 0

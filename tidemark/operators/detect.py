@@ -92,12 +92,12 @@ def two_sample(df: DataFrame, columns: Sequence[str], second: Column) -> DataFra
     tie = F.col("a") + F.col("b")
     rank = F.col("a_upto") + F.col("b_upto") - tie + (tie + 1) / 2
     out = t.groupBy("feature").agg(
-        F.max("a_all").alias("n1"), F.max("b_all").alias("n2"), F.max(F.abs(F.col("a_upto") / F.col("a_all") - F.col("b_upto") / F.col("b_all"))).alias("ks"),
+        F.max("a_all").alias("n1"), F.max("b_all").alias("n2"), F.max(F.abs(F.try_divide(F.col("a_upto"), F.col("a_all")) - F.try_divide(F.col("b_upto"), F.col("b_all")))).alias("ks"),
         F.sum(F.col("a") * rank).alias("_ranks"), F.sum(F.pow(tie.cast("double"), F.lit(3)) - tie).alias("_ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     out = out.withColumn("u", F.col("_ranks") - n1 * (n1 + 1) / 2)
-    spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
+    spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("_ties"), n * (n - 1))))
     z = F.try_divide(F.greatest(F.abs(F.col("u") - n1 * n2 / 2) - 0.5, F.lit(0.0)), spread)
     return out.withColumn("u_z", z).drop("_ranks", "_ties")
 
@@ -210,11 +210,11 @@ def tail_fit_likelihood(df: DataFrame, score: str, q: float = 1e-3, pct: float =
     return (null_safe_join(base, win, keys) if keys else one_row(base, win)).withColumn("z_q", _quantile_expr(q))
 
 
-def monitoring_report(df: DataFrame, scaled: Sequence[str], score: str, pred: str, expected_rate: float, limit: float = 5.0, check: int = 20) -> DataFrame:
+def monitoring_report(df: DataFrame, scaled: Sequence[str], score: str, pred: str, expected_rate: float, limit: float = 5.0, check: int | None = None) -> DataFrame:
     """One-row health check of a scored batch.
 
-    Warns when the alarm rate is off the training rate by more than half of it, when no score reaches 0.8, and when one of the first
-    ``check`` scaled features leaves ``[-limit, limit]``.
+    Warns when the alarm rate is off the training rate by more than half of it, when no score reaches 0.8, and when a scaled feature
+    (one of the first ``check``, if given) leaves ``[-limit, limit]``.
     """
     watched = list(scaled)[:check]
     row = df.agg(F.count(F.lit(1)).alias("n_samples"), F.avg(pred).alias("anomaly_rate"), F.max(score).alias("max_probability"),

@@ -68,7 +68,7 @@ def roc_auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) ->
     """Area under the ROC curve by trapezoids; each step needs only its own counts, so no second scan."""
     t = operating_points(df, label, score, keys)
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
-    return t.groupBy(*keys).agg((area / (F.max("positives") * F.max("negatives"))).alias("roc_auc"))
+    return t.groupBy(*keys).agg(F.try_divide(area, F.max("positives") * F.max("negatives")).alias("roc_auc"))
 
 
 def precision_recall_curve(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -83,9 +83,9 @@ def average_precision(df: DataFrame, label: str, score: str, keys: Sequence[str]
     """
     t = operating_points(df, label, score, keys)
     before = F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg")
-    here = F.col("tp") / (F.col("tp") + F.col("fp"))
-    earlier = F.when(before == 0, 1.0).otherwise((F.col("tp") - F.col("pos")) / before)
-    gain = F.col("pos") / F.col("positives")
+    here = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))
+    earlier = F.when(before == 0, 1.0).otherwise(F.try_divide(F.col("tp") - F.col("pos"), before))
+    gain = F.try_divide(F.col("pos"), F.col("positives"))
     return t.groupBy(*keys).agg(F.sum(gain * here).alias("average_precision"), F.sum(gain * (here + earlier) / 2).alias("pr_auc"))
 
 

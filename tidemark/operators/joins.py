@@ -48,13 +48,13 @@ def threshold_sweep(df: DataFrame, score: str, thresholds: Sequence[float], labe
     return wide.select(*keys, F.explode(F.array(*cells)).alias("r")).select(*keys, "r.*")
 
 
-def sweep_table(df: DataFrame, score: str, thresholds: DataFrame, limit: int = 1000) -> DataFrame:
-    """``threshold_sweep`` for a table of named thresholds; its size is checked before it reaches the driver."""
-    rows = thresholds.select("name", "threshold").orderBy("threshold", "name").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} thresholds")
-    counted = threshold_sweep(df, score, sorted({r["threshold"] for r in rows}))
-    return thresholds.select("name", "threshold").join(F.broadcast(counted), "threshold")
+def sweep_table(df: DataFrame, score: str, thresholds: DataFrame) -> DataFrame:
+    """Number of scores above each of a table of named thresholds, however many: one running total over distinct scores and thresholds."""
+    counts = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(F.count(F.lit(1)).alias("n"))
+    marks = thresholds.filter("threshold is not null").select(F.col("threshold").cast("double").alias("threshold"), F.lit(0).cast("long").alias("n"))
+    per = counts.unionByName(marks).groupBy("threshold").agg(F.sum("n").alias("n"))
+    above = ordered_prefix(per, "threshold", ["n"], descending=True).select("threshold", (F.col("n_upto") - F.col("n")).alias("n_above"))
+    return thresholds.select("name", F.col("threshold").cast("double").alias("threshold")).join(above, "threshold")
 
 
 def recurrence(df: DataFrame, spec: SeriesSpec, segment: int = 500, share: float = 0.1) -> DataFrame:

@@ -34,12 +34,13 @@ def normalise_by_bin(df: DataFrame, value: str, edges: Sequence[float], include_
 
 
 def describe(df: DataFrame, value: str, label: str | None = None, small: int = SMALL_GROUP) -> DataFrame:
-    """count, mean, std, min, quartiles, max for all rows (``label`` NULL) and for each label value."""
+    """count, mean, std, min, quartiles, max for all rows (``label`` NULL) and for each label value; rows without a label count among
+    all rows only."""
     aggs = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
     quarter = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
     if label is None:
         return one_row(df.agg(*aggs), quantiles(df, value, quarter, small=small))
-    sides = df.select(value, F.explode(F.array(F.lit(None).cast("int"), F.col(label).cast("int"))).alias("label"))
+    sides = df.select(value, F.explode(F.array_distinct(F.array(F.lit(None).cast("int"), F.col(label).cast("int")))).alias("label"))
     return null_safe_join(sides.groupBy("label").agg(*aggs), quantiles(sides, value, quarter, ["label"], small), ["label"])
 
 
@@ -72,7 +73,7 @@ def label_distribution(df: DataFrame, label: str) -> DataFrame:
 
 
 def shape_metrics(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*keys).agg(F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurt"), (F.stddev_samp(value) / F.avg(value)).alias("cv"))
+    return df.groupBy(*keys).agg(F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurt"), F.try_divide(F.stddev_samp(value), F.avg(value)).alias("cv"))
 
 
 def percentile_curve(df: DataFrame, value: str, points: int = 101, small: int = SMALL_GROUP) -> DataFrame:
@@ -140,7 +141,7 @@ def autocorrelation(df: DataFrame, spec: SeriesSpec, lags: int = 50) -> DataFram
 
     sums = own.groupBy(*laid.part).applyInPandas(products, schema).groupBy(*keys, "lag").agg(F.sum("_s").alias("_s"))
     zero = F.max(F.when(F.col("lag") == 0, F.col("_s"))).over(Window.partitionBy(*keys))  # lags + 1 rows per series
-    return sums.select(*keys, "lag", (F.col("_s") / zero).alias("acf"))
+    return sums.select(*keys, "lag", F.try_divide(F.col("_s"), zero).alias("acf"))
 
 
 def label_transitions(df: DataFrame, spec: SeriesSpec, label: str) -> DataFrame:
@@ -167,7 +168,8 @@ def density_grid(df: DataFrame, spec: SeriesSpec, time_bins: int = 100, value_bi
     rows = attach_group_stats(rows, spec.keys, bounds)
 
     def cut(c, lo, hi, k):
-        return F.greatest(F.lit(0), F.ceil((F.col(c) - F.col(lo)) * k / (F.col(hi) - F.col(lo))) - 1).cast("int")
+        place = F.coalesce(F.try_divide((F.col(c) - F.col(lo)) * k, F.col(hi) - F.col(lo)), F.lit(0.0))  # a constant is all in the first bin
+        return F.when(F.col(c).isNotNull(), F.greatest(F.lit(0), F.ceil(place) - 1).cast("int"))
 
     return rows.groupBy(*spec.keys, cut(IDX, "_i0", "_i1", time_bins).alias("time_bin"), cut(spec.value, "_v0", "_v1", value_bins).alias("value_bin")) \
                .agg(F.sum(F.col(spec.label).cast("long")).alias("anomalies"), F.count(F.lit(1)).alias("n"))
@@ -204,8 +206,8 @@ def around_starts(df: DataFrame, spec: SeriesSpec, flag: str, before: int = 60,
     x = F.col(spec.value)
     wide = with_features(rows, spec, f)
     return wide.groupBy(*spec.keys).agg(
-        F.sum("pre").alias("n_pre"), (F.sum(F.col("pre") * x) / F.sum("pre")).alias("mean_pre"), F.min(F.when(F.col("pre") > 0, x)).alias("min_pre"),
-        F.sum("post").alias("n_post"), (F.sum(F.col("post") * x) / F.sum("post")).alias("mean_post"), F.min(F.when(F.col("post") > 0, x)).alias("min_post"))
+        F.sum("pre").alias("n_pre"), F.try_divide(F.sum(F.col("pre") * x), F.sum("pre")).alias("mean_pre"), F.min(F.when(F.col("pre") > 0, x)).alias("min_pre"),
+        F.sum("post").alias("n_post"), F.try_divide(F.sum(F.col("post") * x), F.sum("post")).alias("mean_post"), F.min(F.when(F.col("post") > 0, x)).alias("min_post"))
 
 
 def flag_gaps(df: DataFrame, spec: SeriesSpec, flag: str, above: float = 1.0, below: float | None = None) -> DataFrame:
@@ -274,7 +276,7 @@ def row_positions(df: DataFrame, by: str, tie: str, spread: int | None = None) -
 
 def normal_qq(df: DataFrame, value: str, tie: str) -> DataFrame:
     """Theoretical normal quantile (order-statistic medians) next to each ordered value."""
-    rows = row_positions(df.select(value, tie), value, tie)
+    rows = row_positions(df.select(value, tie).filter(F.col(value).isNotNull()), value, tie)
     i, n = F.col("position"), F.col("total").cast("double")
     top = F.pow(F.lit(0.5), 1.0 / n)
     p = F.when(i == F.col("total"), top).when(i == 1, 1 - top).otherwise((i - 0.3175) / (n + 0.365))
@@ -291,7 +293,7 @@ def normal_fit(df: DataFrame, value: str, points: int = 100) -> DataFrame:
     fit = df.agg(F.avg(value).alias("mu"), F.stddev_samp(value).alias("sigma"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     grid = fit.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / (points - 1)
-    pdf = F.exp(-0.5 * F.pow((F.col("at") - F.col("mu")) / F.col("sigma"), F.lit(2))) / (F.col("sigma") * F.sqrt(2 * F.pi()))
+    pdf = F.try_divide(F.exp(-0.5 * F.pow(F.try_divide(F.col("at") - F.col("mu"), F.col("sigma")), F.lit(2))), F.col("sigma") * F.sqrt(2 * F.pi()))
     return grid.withColumn("at", at).withColumn("pdf", pdf).drop("_lo", "_hi")
 
 
@@ -309,17 +311,17 @@ def extreme_value_limits(df: DataFrame, value: str, low: float = 0.001, high: fl
         return (k + 1) * k * (k - 1) / 3
 
     x = F.col(value)
-    m = t.groupBy(*keys).agg((F.sum(x * c) / F.max(n)).alias("b0"), (F.sum(x * (ones(b) - ones(a - 1))) / F.max(n * (n - 1))).alias("b1"),
-                             (F.sum(x * (twos(b) - twos(a - 1))) / F.max(n * (n - 1) * (n - 2))).alias("b2"))
+    m = t.groupBy(*keys).agg((F.sum(x * c) / F.max(n)).alias("b0"), F.try_divide(F.sum(x * (ones(b) - ones(a - 1))), F.max(n * (n - 1))).alias("b1"),
+                             F.try_divide(F.sum(x * (twos(b) - twos(a - 1))), F.max(n * (n - 1) * (n - 2))).alias("b2"))
     l2 = 2 * F.col("b1") - F.col("b0")
-    m = m.withColumn("t3", (6 * F.col("b2") - 6 * F.col("b1") + F.col("b0")) / l2)
-    z = 2.0 / (3.0 + F.col("t3")) - F.lit(np.log(2) / np.log(3))
+    m = m.withColumn("t3", F.try_divide(6 * F.col("b2") - 6 * F.col("b1") + F.col("b0"), l2))
+    z = F.try_divide(F.lit(2.0), 3.0 + F.col("t3")) - F.lit(np.log(2) / np.log(3))
     m = m.withColumn("shape", 7.8590 * z + 2.9554 * z * z).withColumn("_g", gamma_value(1 + F.col("shape")))
-    m = m.withColumn("scale", l2 * F.col("shape") / ((1 - F.pow(F.lit(2.0), -F.col("shape"))) * F.col("_g")))
-    m = m.withColumn("location", F.col("b0") - F.col("scale") * (1 - F.col("_g")) / F.col("shape"))
+    m = m.withColumn("scale", F.try_divide(l2 * F.col("shape"), (1 - F.pow(F.lit(2.0), -F.col("shape"))) * F.col("_g")))
+    m = m.withColumn("location", F.col("b0") - F.try_divide(F.col("scale") * (1 - F.col("_g")), F.col("shape")))
 
     def tail(p):
-        return F.col("location") + F.col("scale") / F.col("shape") * (1 - F.pow(F.lit(-np.log(p)), F.col("shape")))
+        return F.col("location") + F.try_divide(F.col("scale"), F.col("shape")) * (1 - F.pow(F.lit(-np.log(p)), F.col("shape")))
 
     limits = m.select(*keys, "shape", "scale", "location", tail(low).alias("low_limit"), tail(high).alias("high_limit"))
     rows = null_safe_join(df, limits, keys) if keys else one_row(df, limits)

@@ -122,8 +122,8 @@ def ordered_prefix(table: DataFrame, by: str, sums: Sequence[str], keys: Sequenc
 
 
 def average_ranks(df: DataFrame, column: str, extra: dict[str, Column] | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per distinct value: ``n`` (its count), ``rank`` (average rank) and running totals of ``extra`` counts."""
+    """One row per distinct value that is not NULL: ``n`` (its count), ``rank`` (average rank) and running totals of ``extra`` counts."""
     extra = extra or {}
-    table = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(k) for k, e in extra.items()])
+    table = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(k) for k, e in extra.items()])
     table = ordered_prefix(table, column, ["n", *extra], keys)
     return table.withColumn("rank", F.col("n_upto") - F.col("n") + (F.col("n") + 1) / 2)
