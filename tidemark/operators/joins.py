@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.features import Feature, with_features
 from ..plans.series import IDX, SeriesSpec, index_rows, null_safe_join
+from ..plans.stats import ordered_prefix
 
 
 def interval_context(df: DataFrame, spec: SeriesSpec, intervals: DataFrame, around: int, bucket: int = 4096) -> DataFrame:
