@@ -44,6 +44,37 @@ def test_chunked_equals_whole(spark, group, chunk, cell):
         close([r[n] for r in b], [r[n] for r in a], 1e-8)
 
 
+RECURSIVE = {
+    "ewm": lambda: {"e": S.ewm_mean("x", .05), "slow": S.ewm_mean("x", 1e-5), "adj": S.ewm_mean("x", .001, True), "sd": S.ewm_std("x", .02), "sd_slow": S.ewm_std("x", 1e-4, True),
+                    "twice": S.ewm_mean("slow", .2), "near": R.rolling_mean("twice", 9, 1), **S.derivatives("x", .01)},
+    "kalman": lambda: {"k": S.kalman_level("x"), "slow": S.kalman_level("x", process=1e-10), "quick": S.kalman_level("x", process=1.), "last": R.lag("slow", 3)},
+    "filters": lambda: {"bw": S.butterworth_smooth("x"), "low": S.butterworth_smooth("x", 4, .02), "sg": S.savgol("x", 15), "sg_left": S.savgol("x", 15, pad_left=True)},
+}
+
+
+@pytest.mark.parametrize("group", list(RECURSIVE))
+@pytest.mark.parametrize("keys", [("s",), ()])
+def test_carried_state_over_gaps_and_bursts(spark, group, keys):
+    """Long gaps (also at the start), a burst at one instant, a far level: the cut must not show."""
+    rng = np.random.default_rng(7)
+    t0, rows = dt.datetime(2024, 1, 1), []
+    for name, n in (("a", 900), (None, 130), ("b", 3)):
+        for i in range(n):
+            gap = i < 60 or 200 <= i < 420 or (i > 700 and i % 3)
+            rows.append((name, t0 + dt.timedelta(seconds=min(i, 500) + max(0, i - 600)), len(rows), None if gap and name else float(1e4 + 5 * rng.standard_normal() + i / 50)))
+    df = spark.createDataFrame(rows, "s string, ts timestamp_ntz, id bigint, x double")
+    if not keys:
+        df = df.filter("s = 'a'")
+    f = RECURSIVE[group]()
+    shown = [n for n in f if not n.startswith("_")]
+    a = with_features(df, SPEC, f).orderBy("id").collect()
+    b = with_features(df, replace(SPEC.chunked(70, 9), keys=keys), f).orderBy("id").collect()
+    assert [r.id for r in a] == [r.id for r in b] and len(a[0]) == len(b[0]) == 4 + len(shown)
+    for n in shown:
+        assert any(r[n] is not None for r in a)
+        close([r[n] for r in b], [r[n] for r in a], 1e-9)
+
+
 def test_one_series_without_keys(spark):
     df = events(spark)
     spec = SeriesSpec((), "ts", ("id",), "x").chunked(64, 5)

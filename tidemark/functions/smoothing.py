@@ -1,7 +1,7 @@
 """Recursive and convolution filters: exponential moments, Savitzky-Golay, Butterworth, Kalman, causal decomposition.
 
-Recursive filters forget: after ``memory`` rows the influence of the starting state is below double precision,
-so each chunk warms up on its halo and needs no state from its predecessor.
+Exponential moments and the Kalman level carry their state from chunk to chunk (``recursive``).  Convolutions and the zero-phase
+filter read values carried over missing ones and a halo: after ``memory`` rows a starting state is below double precision.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..plans.features import Feature, scalar
+from .recursive import Ewm, KalmanLevel
 from .rolling import diff
 
 FORGET = math.log(1e-16)
@@ -28,11 +29,11 @@ def memory(alpha: float) -> int:
 
 
 def ewm_mean(col, alpha, adjust=False):
-    return Feature(lambda pdf: pdf[col].ewm(alpha=alpha, adjust=adjust).mean(), (col,), memory(alpha), kind="pandas")
+    return Feature(lambda pdf: pdf[col].ewm(alpha=alpha, adjust=adjust).mean(), (col,), memory(alpha), kind="pandas", carry=Ewm(alpha, adjust))
 
 
 def ewm_std(col, alpha, adjust=False):
-    return Feature(lambda pdf: pdf[col].ewm(alpha=alpha, adjust=adjust).std(), (col,), memory(alpha), kind="pandas")
+    return Feature(lambda pdf: pdf[col].ewm(alpha=alpha, adjust=adjust).std(), (col,), memory(alpha), kind="pandas", carry=Ewm(alpha, adjust, std=True))
 
 
 def ewm_deviation(col, mean):
@@ -61,6 +62,13 @@ def polynomial_weights(w: int, order: int, at: int) -> np.ndarray:
     return np.linalg.pinv(np.vander(t.astype(float), order + 1, increasing=True))[0]
 
 
+def from_first(values: pd.Series, smooth) -> np.ndarray:
+    """Smooths from the first known value on, missing ones replaced by the last known; rows before it stay missing."""
+    x = values.ffill().to_numpy(dtype=float)
+    lead = int(np.isnan(x).sum())
+    return np.concatenate([x[:lead], smooth(x[lead:])])
+
+
 def savgol(col, w, order=3, pad_left=False):
     """Savitzky-Golay smoothing; ends are evaluated on the polynomial of the first/last ``w`` rows.
 
@@ -69,8 +77,7 @@ def savgol(col, w, order=3, pad_left=False):
     """
     half = w // 2
 
-    def build(pdf: pd.DataFrame) -> np.ndarray:
-        x = pdf[col].ffill().to_numpy(dtype=float)
+    def smooth(x: np.ndarray) -> np.ndarray:
         if len(x) <= w:  # a series this short is passed through
             return x
         if pad_left:
@@ -81,7 +88,7 @@ def savgol(col, w, order=3, pad_left=False):
             y[len(x) - 1 - i] = polynomial_weights(w, order, w - 1 - i) @ x[-w:]
         return y[w - 1:] if pad_left else y
 
-    return Feature(build, (col,), back=w, fwd=w, kind="pandas")
+    return Feature(lambda pdf: from_first(pdf[col], smooth), (col,), back=w, fwd=w, kind="pandas", fill=True)
 
 
 def butterworth(order: int, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
@@ -121,32 +128,22 @@ def zero_phase(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
     return _one_pass(b, a, once, steady * once[0])[::-1][pad:-pad]
 
 
-def butterworth_smooth(col, order=4, cutoff=0.1, halo=600):
+def butterworth_smooth(col, order=4, cutoff=0.1):
+    """Zero-phase low-pass; the halo follows from the slowest pole, so it grows as the cutoff falls."""
     b, a = butterworth(order, cutoff)
-    return Feature(lambda pdf: zero_phase(pdf[col].ffill().to_numpy(dtype=float), b, a), (col,), halo, halo, "pandas")
+    halo = max(3 * (order + 1) + 1, math.ceil(FORGET / math.log(np.abs(np.roots(a)).max())))
+    return Feature(lambda pdf: from_first(pdf[col], lambda x: zero_phase(x, b, a)), (col,), halo, halo, "pandas", fill=True)
 
 
-def kalman_level(col, process=1e-5, measurement=0.1, halo=4000):
-    """One-dimensional level filter.  The gain depends only on how many values were seen, so a chunk starts
-    from the gain its row position implies and warms its level up on the halo."""
+def kalman_level(col, process=1e-5, measurement=0.1):
+    """One-dimensional level filter; its gain depends on how many values were seen."""
+    level = KalmanLevel(process, measurement)
+
     def build(pdf: pd.DataFrame) -> np.ndarray:
         x = pdf[col].to_numpy(dtype=float, na_value=np.nan)
-        seen, var = int(pdf["idx"].iloc[0]) if len(pdf) else 0, 1.0
-        for _ in range(min(seen, 20_000)):
-            gain = (var + process) / (var + process + measurement)
-            var = (1 - gain) * (var + process)
-        level = x[0] if len(x) and not math.isnan(x[0]) else 0.0
-        out = np.empty(len(x))
-        for i, v in enumerate(x.tolist()):
-            var += process
-            if v == v:
-                gain = var / (var + measurement)
-                level += gain * (v - level)
-                var *= 1 - gain
-            out[i] = level
-        return out
-
-    return Feature(build, (col, "idx"), halo, kind="pandas")
+        return level.run(x, level.start(x[0] if len(x) else math.nan))
+
+    return Feature(build, (col,), kind="pandas", carry=level)
 
 
 def causal_decompose(col, period, cycles=3, prefix=""):

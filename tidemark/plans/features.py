@@ -3,25 +3,30 @@
 A ``Feature`` says which columns it reads and how many rows before/after the current one it needs.
 ``with_features`` orders features into levels by their inputs, adds up the halo along the longest path, lays
 the series out once, and evaluates each level in one projection; all windows share one shuffle and sort.
+Where a long series is cut into chunks, features with a carried state and values carried over missing ones come first, in a layout of
+their own: they are right on a chunk's own rows, and what reads them is laid out after them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .series import CHUNK, HOME, IDX, Laid, SeriesSpec, lay_out, null_safe_join
+from .series import CHUNK, HOME, IDX, START, Laid, SeriesSpec, chunk_rate, lay_out_at, null_safe_join
 
 
 @dataclass(frozen=True)
 class Feature:
     """``kind``: native (``build(laid) -> Column``), pandas (``build(pdf) -> array``), frame
-    (``build(laid, name) -> Laid``), or a scan of the expression ``build`` gives: sum, last, next."""
+    (``build(laid, name) -> Laid``), or a scan of the expression ``build`` gives: sum, last, next.
+
+    ``carry`` (pandas) is the same computation with a state that passes from chunk to chunk (``functions.recursive``); ``fill``
+    (pandas) says that ``build`` replaces missing values of its only input by the last known one, however far back."""
 
     build: Callable
     inputs: tuple[str, ...] = ()
@@ -30,6 +35,8 @@ class Feature:
     kind: str = "native"
     non_causal: bool = False
     dtype: str = "double"
+    carry: object | None = None
+    fill: bool = False
 
     @property
     def causal(self) -> bool:
@@ -97,8 +104,22 @@ def with_features(df: DataFrame, spec: SeriesSpec, features: Mapping[str, Featur
 
 
 def _evaluate(df: DataFrame, spec: SeriesSpec, features: Mapping[str, Feature], index: bool) -> DataFrame:
+    _plan(features)  # a wrong declaration is refused in every layout
+    rate, rest, given = chunk_rate(df, spec), dict(features), df.columns
+    if rate is not None:
+        rest = _with_filled_inputs(rest)
+        while stage := _first_stage(rest):
+            df = _carried(df, spec, {n: rest[n] for n in stage}, rate)
+            rest = {n: f for n, f in rest.items() if n not in stage}
+    laid = _levels(df, spec, rest, rate, index)
+    filled = [n for n in laid.df.columns if n.startswith(FILLED) and n not in given]
+    out = laid.done().drop(*filled)
+    return out if index or IDX in given else out.drop(IDX)
+
+
+def _levels(df: DataFrame, spec: SeriesSpec, features: Mapping[str, Feature], rate: float | None, index: bool = False) -> Laid:
     levels, back, fwd = _plan(features)
-    laid = lay_out(df, spec, back, fwd)
+    laid = lay_out_at(df, spec, rate, back, fwd)
     if index or any(IDX in f.inputs for f in features.values()) or \
             (laid.is_chunked and any(f.kind in ("last", "next") for f in features.values())):
         laid = laid.with_index()
@@ -115,8 +136,71 @@ def _evaluate(df: DataFrame, spec: SeriesSpec, features: Mapping[str, Feature],
         for n in names:
             if features[n].kind == "frame":
                 laid = features[n].build(laid, n)
-    out = laid.done()
-    return out if index else out.drop(IDX) if IDX not in df.columns else out
+    return laid
+
+
+FILLED = "_filled_"
+
+
+def _with_filled_inputs(features: Mapping[str, Feature]) -> dict[str, Feature]:
+    """Features that fill missing values read a column in which the last known value is carried, as no halo covers every gap."""
+    out: dict[str, Feature] = {}
+    for n, f in features.items():
+        if f.fill:
+            col, = f.inputs
+            number = F.col(col).cast("double")
+            out.setdefault(FILLED + col, carry_last(F.when(~F.isnan(number), number), col))
+            f = replace(f, build=lambda pdf, build=f.build, col=col: build(pdf.assign(**{col: pdf[FILLED + col]})), inputs=(FILLED + col,), fill=False)
+        out[n] = f
+    return out
+
+
+def _first_stage(features: Mapping[str, Feature]) -> set[str]:
+    """Carried features that wait for no other carried feature, with all they read."""
+    def above(name: str) -> set[str]:
+        ins = {i for i in features[name].inputs if i in features and i != name}
+        return ins.union(*map(above, ins))
+
+    carried = {n for n, f in features.items() if f.carry is not None or n.startswith(FILLED)}
+    ready = {n for n in carried if not above(n) & carried}
+    return ready.union(*map(above, ready))
+
+
+def _carried(df: DataFrame, spec: SeriesSpec, stage: Mapping[str, Feature], rate: float) -> DataFrame:
+    """A chunked stage: plain features first, then chunks run from the states that the chunks before them leave.
+
+    The summaries, one short row per chunk, are folded in one group per series.
+    """
+    states = {n: f for n, f in stage.items() if f.carry is not None}
+    plain = {n: f for n, f in stage.items() if n not in states}
+    laid = _levels(df, spec, plain, rate)
+    own = laid.df.filter(laid.own)
+    if not states:
+        return own.drop(CHUNK, HOME, START)
+    keys, order, part = list(spec.keys), spec.order, list(laid.part)
+    inputs = {n: f.inputs[0] for n, f in states.items()}
+    carry = {n: f.carry for n, f in states.items()}
+    kept = [f for f in own.schema.fields if f.name in part]
+    lists = T.StructType(kept + [T.StructField(f"_state_{n}", T.ArrayType(T.DoubleType())) for n in states])
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        row = pdf[part].iloc[:1].reset_index(drop=True)
+        return row.assign(**{f"_state_{n}": [c.summary(pdf[inputs[n]].to_numpy(dtype=float, na_value=float("nan")))] for n, c in carry.items()})
+
+    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(CHUNK).reset_index(drop=True)
+        return pdf.assign(**{f"_state_{n}": c.enter([list(s) for s in pdf[f"_state_{n}"]]) for n, c in carry.items()})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        done = {n: c.run(pdf[inputs[n]].to_numpy(dtype=float, na_value=float("nan")), list(pdf[f"_state_{n}"].iloc[0])) for n, c in carry.items()}
+        return pdf.drop(columns=[f"_state_{n}" for n in carry]).assign(**done)
+
+    narrow = own.select(*dict.fromkeys([*part, *order, *inputs.values()]))
+    entered = narrow.groupBy(*part).applyInPandas(summarise, lists).groupBy(*keys).applyInPandas(enter, lists)
+    schema = T.StructType(own.schema.fields + [T.StructField(n, T.DoubleType()) for n in states])
+    return null_safe_join(own, entered, part).groupBy(*part).applyInPandas(run, schema).drop(CHUNK, HOME, START)
 
 
 def _pandas_level(laid: Laid, batch: Mapping[str, Feature]) -> DataFrame:

@@ -141,12 +141,22 @@ def measure(df: DataFrame, spec: SeriesSpec) -> tuple[int, float]:
     return int(row["n"] or 0), float(row["rate"] or 1.0)
 
 
-def lay_out(df: DataFrame, spec: SeriesSpec, back: int = 0, fwd: int = 0) -> Laid:
-    """Chooses whole or chunked layout (see module docstring) with the given halo."""
+def chunk_rate(df: DataFrame, spec: SeriesSpec) -> float | None:
+    """None if every series is kept whole, else the rate that sets the width of a cell."""
     if spec.mode == "whole" and spec.keys:
-        return Laid(df, spec, False, back, fwd, list(spec.keys))
+        return None
     longest, rate = measure(df, spec)
-    if spec.mode == "auto" and spec.keys and longest <= spec.chunk_rows:
+    return None if spec.mode == "auto" and spec.keys and longest <= spec.chunk_rows else rate
+
+
+def lay_out(df: DataFrame, spec: SeriesSpec, back: int = 0, fwd: int = 0) -> Laid:
+    """Chooses whole or chunked layout (see module docstring) with the given halo."""
+    return lay_out_at(df, spec, chunk_rate(df, spec), back, fwd)
+
+
+def lay_out_at(df: DataFrame, spec: SeriesSpec, rate: float | None, back: int = 0, fwd: int = 0) -> Laid:
+    """The layout for a rate that is already known; stages that keep the rows share one measurement."""
+    if rate is None:
         return Laid(df, spec, False, back, fwd, list(spec.keys))
     return _chunk(df, spec, rate, back, fwd)
 
