@@ -149,3 +149,26 @@ def test_one_sided_constant_and_null_data(spark):
     assert P.extreme_value_limits(flat.limit(1), "x").count() == 1
     one_side = D.two_sample(holed, ["x"], F.lit(True)).first()
     assert one_side["ks"] is None and one_side["n1"] == 0
+
+
+def test_narrowing_settles_infinities_and_crowded_values(spark):
+    """More values than a task may hold lie at infinities, at one value and at the ends of the number range."""
+    x = [float("-inf")] * 30 + [float("inf")] * 25 + [-1.7e308] * 20 + [1.7e308] * 20 + [5e-324 * i for i in range(14)] + [7.0] * 20  # 129 values: ranks are exact
+    got = quantiles(spark.createDataFrame([(v,) for v in x], "v double"), "v", {f"q{i}": i / (len(x) - 1) for i in range(0, len(x), 13)}, small=10).first()
+    assert [got[f"q{i}"] for i in range(0, len(x), 13)] == [sorted(x)[i] for i in range(0, len(x), 13)]
+
+
+def test_scored_rows_are_kept_where_a_feature_is_missing(spark):
+    rows = [(i, None if i == 5 else float(i % 10), int(i % 10 > 6)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, a double, y int")
+    for model in (M.train_boosted(df, ["a"], "y", maxIter=3), M.train_forest(df, ["a"], "y", trees=3)):
+        got = {r.id: r.probability_1 for r in M.score(df, model).collect()}
+        assert len(got) == 80 and got[5] is None and got[9] > .5 > got[1]
+
+
+@pytest.mark.parametrize("n", [40, 5000])
+def test_every_isolation_tree_grows_on_its_sample(spark, n):
+    df = spark.range(n).select("id", F.rand(3).alias("a"), F.rand(4).alias("b"))
+    forest = M.fit_isolation_forest(df, ["a", "b"], "id", trees=12, sample=32)
+    sizes = [t[0, 4] for t in forest]
+    assert len(forest) == 12 and min(sizes) >= min(20, n) and max(sizes) <= 32

@@ -1,4 +1,4 @@
-"""Splits, Spark ML models, isolation forest, local outlier factor, density clusters, scoring with saved artefacts."""
+"""Splits, Spark ML models, isolation forest, local outlier factor, scoring with saved artefacts."""
 
 from __future__ import annotations
 
@@ -93,18 +93,25 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
 
 def train_boosted(df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, **params) -> PipelineModel:
     settings = {"maxIter": 20, "maxDepth": 4, "seed": 42, **params}
-    model = GBTClassifier(featuresCol="_features", labelCol=label, **({"weightCol": weight} if weight else {}), **settings)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip"), model]).fit(df)
+    return _fit(df, features, GBTClassifier(featuresCol="_features", labelCol=label, **({"weightCol": weight} if weight else {}), **settings))
 
 
 def train_forest(df: DataFrame, features: Sequence[str], label: str, trees: int = 100, **params) -> PipelineModel:
-    model = RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=trees, seed=params.pop("seed", 42), **params)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip"), model]).fit(df)
+    return _fit(df, features, RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=trees, seed=params.pop("seed", 42), **params))
+
+
+def _fit(df: DataFrame, features: Sequence[str], model) -> PipelineModel:
+    """Trains on the rows that have all features; the saved pipeline keeps the others (``score`` gives them NULL)."""
+    assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="keep")
+    return Pipeline(stages=[assembler, model]).fit(df.na.drop(subset=list(features)))
 
 
 def score(df: DataFrame, model: PipelineModel, out: str = "probability_1") -> DataFrame:
-    """Adds the probability of the anomaly class."""
-    scored = model.transform(df).withColumn("_p", vector_to_array("probability")[1])
+    """Adds the probability of the anomaly class; NULL where a feature is missing."""
+    known = F.lit(True)
+    for name in model.stages[0].getInputCols():
+        known = known & F.col(name).isNotNull()
+    scored = model.transform(df).withColumn("_p", F.when(known, vector_to_array("probability")[1]))
     return scored.drop("_features", "rawPrediction", "probability", "prediction").withColumnRenamed("_p", out)
 
 
@@ -174,15 +181,12 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], key: str, trees
 
     The forest (at most ``trees * 2 * sample`` nodes) is returned as arrays for broadcasting.
     """
-    n = df.count()
     rows = df.select(key, *[F.col(f).cast("double").alias(f) for f in features]).na.drop()
-    spread = 4.0 * trees * sample / max(n, 1)
-    if spread < 1:  # thin out once so that the per-tree draw touches few rows
-        rows = rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < int(spread * (1 << 30)))
-        n = int(n * spread)
-    rate = min(1.0, 1.3 * sample / max(n, 1))
-    draw = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed + 1)), F.lit(1 << 30)) < int(rate * (1 << 30)))
-    drawn = rows.withColumn("tree", F.explode(draw)).withColumn("_order", F.xxhash64(F.col(key), F.col("tree")))
+    # every row is dealt to one bucket a round, a bucket is a tree's draw: one hash per row as soon as there are as many buckets as trees
+    buckets = max(1, int(rows.count() / (1.3 * sample)))
+    rounds = -(-trees // buckets)
+    draw = F.array(*[F.lit(r * buckets) + F.pmod(F.xxhash64(F.col(key), F.lit(r), F.lit(seed)), F.lit(buckets)) for r in range(rounds)])
+    drawn = rows.withColumn("tree", F.explode(F.transform(draw, lambda t: t.cast("int")))).filter(F.col("tree") < trees).withColumn("_order", F.xxhash64(F.col(key), F.col("tree")))
     names = list(features)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -58,10 +58,11 @@ def _narrowed(data: DataFrame, qs: dict[str, float], keys: list[str], small: int
     goals = goals.withColumn("_frac", at - F.floor(at)).withColumn("_e", ends)
     goals = goals.select(*keys, "_q", "_frac", F.col("_e.e").alias("_end"), F.col("_e.k").alias("_rank"), F.lit(0).cast("long").alias("_below"), "_lo", "_hi")
     on = [*keys, "_q", "_end"]
-    for _ in range(5):
+    while True:  # the lowest and the highest value of a bracket always part, so brackets shrink until they fit
         inside = _candidates(data, goals, keys)
         width = (F.col("_hi") - F.col("_lo")) / bins
-        cell = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / width))).otherwise(0)
+        far = F.when(F.col("_v") == float("-inf"), 0).when(F.col("_v") < 0, 1).when(F.col("_v") < float("inf"), 2).otherwise(3)
+        cell = F.when(width == float("inf"), far).when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / width))).otherwise((F.col("_v") > F.col("_lo")).cast("int"))
         hist = inside.groupBy(*on, "_frac", "_rank", "_below", cell.alias("_cell")).agg(
             F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         upto = Window.partitionBy(*on).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
@@ -76,7 +77,9 @@ def _narrowed(data: DataFrame, qs: dict[str, float], keys: list[str], small: int
     found = counts.withColumn("_upto", F.col("_below") + F.sum("_c").over(upto)).filter(F.col("_upto") > F.col("_rank"))
     found = found.groupBy(*on, "_frac").agg(F.min("_v").alias("_v"))
     low, high = F.max(F.when(F.col("_end") == 0, F.col("_v"))), F.max(F.when(F.col("_end") == 1, F.col("_v")))
-    found = found.groupBy(*keys, "_q").agg((low + (high - low) * F.max("_frac")).alias("_v"))
+    part = F.max("_frac")
+    between = F.when((part == 0) | (low == high), low).when(high - low == float("inf"), low * (1 - part) + high * part).otherwise(low + (high - low) * part)
+    found = found.groupBy(*keys, "_q").agg(between.alias("_v"))
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == n, F.col("_v"))).alias(n) for n in qs])
 
 
@@ -101,7 +104,7 @@ def ordered_prefix(table: DataFrame, by: str, sums: Sequence[str], keys: Sequenc
     """
     keys = list(keys)
     rows = table.count()
-    pieces = min(10_000, -(-rows // bucket_rows))
+    pieces = -(-rows // bucket_rows)
     if pieces > 1:
         cuts = sorted(set(table.approxQuantile(by, [i / pieces for i in range(1, pieces)], 0.2 / pieces)))
         split = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol=by, outputCol="_bucket")
