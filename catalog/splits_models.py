@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rolling as R
 from tidemark.functions.wavelets import WAVELETS
+from tidemark.operators import clusters as C
 from tidemark.operators import detect as D
 from tidemark.operators import models as M
 from tidemark.operators import windows as W
@@ -123,6 +124,26 @@ def lof(spark, sf):
     return rounded(M.local_outlier_factor(featured(spark, sf), ["x", "d1", "sd30"], "event_id", 20), ["event_id"], ["lof"])
 
 
+def clustered(spark, sf):
+    return C.density_clusters(events(spark, sf), ["x", "k"], "event_id", 1.5, 8)
+
+
+# core rows and noise by comparing all pairs; the labels of clusters have a brute-force test
+PAIRS = f"""{EV}, c AS (SELECT a.event_id, any_value(a.x) AS x, any_value(a.k) AS k, count(*) >= 8 AS core FROM ev a JOIN ev b
+  ON (a.x - b.x) * (a.x - b.x) + (a.k - b.k) * (a.k - b.k) <= 2.25 GROUP BY a.event_id),
+reached AS (SELECT DISTINCT a.event_id FROM c a JOIN c b ON b.core AND (a.x - b.x) * (a.x - b.x) + (a.k - b.k) * (a.k - b.k) <= 2.25)"""
+
+
+@query("ml_15_density_core", f"WITH {PAIRS} SELECT event_id, core, event_id NOT IN (SELECT event_id FROM reached) AS noise FROM c")
+def density_core(spark, sf):
+    return clustered(spark, sf).select("event_id", "core", (F.col("cluster") == -1).alias("noise"))
+
+
+@query("ml_15_density_clusters")
+def density_clusters(spark, sf):
+    return rounded(C.cluster_scores(clustered(spark, sf), ["x", "k"]), ["event_id"], ["cluster_score"], ["core", "cluster"])
+
+
 @query("ml_16_compare_wavelets")
 def wavelets(spark, sf):
     return rounded(M.compare_wavelets(events(spark, sf), BY_TYPE, WAVELETS), ["wavelet"], ["roc_auc"])
