@@ -265,10 +265,32 @@ def test_line_dedup(spark, docs, texts, odd):
 def test_group_without_common_leader():
     import pyarrow as pa
     forms = [(hashlib.sha512(b"x").hexdigest() + hashlib.sha512(b"y").hexdigest())[:n] for n in (100, 130, 155)]
-    t = pa.table({"band": [1] * 3, "line": [10, 20, 30], "form": forms, "ok": [True, False, False]})
+    t = pa.table({"band": [1] * 3, "line": [10, 20, 30], "form": forms, "ok": [True, False, False], "part": [0] * 3})
     assert line_dedup._complete(0.8)(t).to_pydict() == {"a": [20], "b": [30]}
 
 
+def test_large_groups_lose_no_link(spark):
+    """Variants of one template, of which many lie just below the similarity asked for: parted groups give the components of whole ones."""
+    rng = random.Random(8)
+    stem = [hashlib.md5(str(i).encode()).hexdigest()[:6] for i in range(20)]
+    lines = []
+    for i in range(400):
+        own = list(stem)
+        for k in rng.sample(range(20), rng.choice((1, 1, 2, 2, 3, 4))):
+            own[k] = hashlib.md5(f"{i % 90}-{k}-{rng.randrange(3)}".encode()).hexdigest()[:6]
+        lines.append(" ".join(own))
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id bigint, text string").repartition(4)
+
+    def found(together):
+        edges = line_dedup.links(rows, len(lines), together=together).collect()
+        nodes = {n: k for k, n in enumerate(sorted({n for e in edges for n in e}))}
+        root = common.roots(len(nodes), np.array([nodes[e["a"]] for e in edges]), np.array([nodes[e["b"]] for e in edges]))
+        return {n: root[k] for n, k in nodes.items()}
+    whole = found(10_000)
+    assert len(whole) > 100 and len(set(whole.values())) > 1
+    assert found(20) == whole and found(3) == whole
+
+
 # 8 licences
 def test_licenses(spark, docs, texts, odd):
     extra = ["MIT License, mit license; cc by-nc 4.0, the Apache License", "gnu gnu general public license version 3", "mit lizenz license", LONG + " GNU General Public License"]

@@ -9,7 +9,9 @@ Every distinct line of a task gives ``BANDS`` band keys of ``ROWS`` min-hashes e
 one at 0.9 with 99.98%. Keys travel as packed arrays in buckets of bounded size. A bucket gives each of its groups a leader and one
 candidate pair per other member, never all pairs; candidates' texts are fetched by a scan that a Bloom filter of fixed size thins (its
 false positives cost time, not results), and pairs are verified exactly. Only a group of which some members fail their leader, and that
-holds three lines or more, is compared further, in one task, with its texts. Lines are known by a 64-bit hash.
+holds three lines or more, is compared further, with its texts: in one task up to ``TOGETHER`` lines; a larger one is first parted by its
+lines' rarest shingles (similar lines share one of them: prefix filtering, which loses no pair), and what is still too large is compared
+in pairs of parts, so no task holds more than two parts. Lines are known by a 64-bit hash.
 
 Null and empty texts have no lines and are returned as they are (null: empty). Repeated rows of one doc_id count as copies of each
 other: their lines share a place, and are kept or dropped alike. An empty table gives an empty result.
@@ -33,6 +35,8 @@ BANDS, ROWS, SEED = 8, 4, 7
 BLANKS = re.compile("[ \t\r\v\f]+")
 #: Packed entries (16 bytes each) of a bucket; bits of the Bloom filter; characters hashed at a time.
 BUCKET_ENTRIES, BLOOM_BITS, BLOCK = 1_000_000, 1 << 26, 250_000
+#: Lines of an open group that one task compares.
+TOGETHER = 2000
 
 
 def form(line: str) -> str:
@@ -224,15 +228,17 @@ def _similar(least: float):
 
 
 def _complete(least: float):
-    """Links of the lines of one group that failed their leader: each is compared until the group is one component or none are left."""
+    """Links of the lines of one group that failed their leader: each is compared until the group is one component or none are left.
+    Of a group with lines of two parts (column ``part``) only lines of different parts are compared."""
     def run(group: pa.Table) -> pa.Table:
         ids, sets, ok = group["line"].to_pylist(), [shingles(f) for f in group["form"].to_pylist()], group["ok"].to_pylist()
         marks = [sketch(x) for x in sets]
         part = [0 if x else i + 1 for i, x in enumerate(ok)]
-        edges = []
+        side, edges = group["part"].to_pylist(), []
+        across = len(set(side)) > 1
         for i in (i for i, x in enumerate(ok) if not x):
             for j in range(len(ids)):
-                if part[i] != part[j] and not far(sets[i], sets[j], marks[i], marks[j], least) and alike(sets[i], sets[j], least):
+                if part[i] != part[j] and not (across and side[i] == side[j]) and not far(sets[i], sets[j], marks[i], marks[j], least) and alike(sets[i], sets[j], least):
                     edges.append((ids[i], ids[j]))
                     old, new = max(part[i], part[j]), min(part[i], part[j])
                     part = [new if p == old else p for p in part]
@@ -240,7 +246,32 @@ def _complete(least: float):
     return run
 
 
-def links(docs: DataFrame, lines: int, least: float = SIMILARITY) -> DataFrame:
+def _all_shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for forms in batches:
+        yield pa.array([[int.from_bytes(xxhash.xxh3_64_digest(s.encode()), "big", signed=True) for s in shingles(f)] for f in forms.to_pylist()], pa.list_(pa.int64()))
+
+
+def _parted(rest: DataFrame, least: float, together: int) -> DataFrame:
+    """The rows ``(band, line, form, ok)`` of large groups under keys of at most about ``2 * together`` lines, ``(band, shingle, low, high, part)``.
+
+    Every pair of a group with a similarity of at least ``least`` shares a shingle among its rarest ``n - ceil(least * n) + 1`` of n, in
+    the order of (lines of the group that have it, shingle). A shingle of too many lines gets its lines dealt into parts, and
+    each two parts a key."""
+    hashes = F.arrow_udf(_all_shingles, "array<bigint>").asNondeterministic()
+    each = cut_lineage(rest.select("band", "line", F.explode(hashes("form")).alias("shingle")))
+    count = each.groupBy("band", "shingle").agg(F.count("*").alias("lines"))
+    ordered = each.join(count, ["band", "shingle"]).groupBy("band", "line").agg(F.sort_array(F.collect_list(F.struct("lines", "shingle"))).alias("all"))
+    size = F.size("all")
+    rare = cut_lineage(ordered.select("band", "line", F.explode(F.slice("all", F.lit(1), size - F.ceil(least * size - 1e-9).cast("int") + 1)).alias("s")).select("band", "line", "s.shingle"))
+    marked = rare.join(rest.select("band", "line", "ok"), ["band", "line"])
+    held = marked.groupBy("band", "shingle").agg(F.count("*").alias("lines"), F.min("ok").alias("settled")).where("lines > 1 and not settled")
+    parts = F.ceil(F.col("lines") / together).cast("int")
+    mine = rare.join(held, ["band", "shingle"]).select("*", parts.alias("parts"), F.pmod(F.xxhash64("line"), parts).cast("int").alias("part"))
+    paired = mine.select("band", "line", "shingle", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return paired.select("band", "line", "shingle", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part").join(rest, ["band", "line"])
+
+
+def links(docs: DataFrame, lines: int, least: float = SIMILARITY, together: int = TOGETHER) -> DataFrame:
     """``(a, b)`` edges between line ids that connect what is similar; ``lines`` is about the number of lines."""
     groups = cut_lineage(_groups(docs, max(1, -(-lines * BANDS // BUCKET_ENTRIES))))
     texts = cut_lineage(_texts(docs, groups.select("line").distinct()))
@@ -250,10 +281,14 @@ def links(docs: DataFrame, lines: int, least: float = SIMILARITY) -> DataFrame:
     known = groups.where("size > 2").join(judged, ["leader", "line"], "left").withColumn("ok", F.coalesce("ok", F.lit(True)))
     # the same lines often meet in several bands: one of these is enough
     same = known.groupBy("band").agg(F.min("leader").alias("leader"), F.count("*").alias("n"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("lines"), F.min("ok").alias("settled"))
-    open_groups = same.where("not settled").groupBy("leader", "n", "lines").agg(F.min("band").alias("band")).select("band")
-    rest = known.join(open_groups, "band", "left_semi").join(texts, "line").select("band", "line", "form", "ok")
-    return judged.where("ok").select(F.col("leader").alias("a"), F.col("line").alias("b")).union(
-        rest.groupBy("band").applyInArrow(_complete(least), "a bigint, b bigint"))
+    open_groups = cut_lineage(same.where("not settled").groupBy("leader", "n", "lines").agg(F.min("band").alias("band")).select("band", "n"))
+    rest = known.join(open_groups, "band").join(texts, "line").select("band", "line", "form", "ok", "n", F.lit(0).alias("part"))
+    out = judged.where("ok").select(F.col("leader").alias("a"), F.col("line").alias("b")).union(
+        rest.where(F.col("n") <= together).groupBy("band").applyInArrow(_complete(least), "a bigint, b bigint"))
+    if open_groups.where(F.col("n") > together).isEmpty():
+        return out
+    large = cut_lineage(rest.where(F.col("n") > together).select("band", "line", "form", "ok"))
+    return out.union(_parted(large, least, together).groupBy("band", "shingle", "low", "high").applyInArrow(_complete(least), "a bigint, b bigint"))
 
 
 def deduplicate(docs: DataFrame, least: float = SIMILARITY, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
