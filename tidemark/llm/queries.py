@@ -65,4 +65,33 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_bpe, op4_url_rules, op5_quality, op6_chat, op7_line_dedup, op8_licenses, op9_decontam, op10_simhash)}
-SQL: dict[str, str] = {}
+
+
+def _url_sql() -> str:
+    """The rules from the longest down, as one CASE."""
+    ordered = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in ordered]
+    case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits)
+    return f"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+SELECT page_id, host, path, {case(1)} END AS rule, {case(2)} ELSE 'allow' END AS verdict FROM u"""
+
+
+def _chat_sql() -> str:
+    """Lengths of the escaped texts, and digests of the plain ones."""
+    def escaped(column: str, codes: dict[str, str]) -> str:
+        out = f"replace({column}, '\\', '\\\\')"
+        for plain, code in codes.items():
+            out = f"replace({out}, '{plain}', '{code}')"
+        return out
+    marks = len(chat.BEGIN + chat.MIDDLE + chat.END)
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{TRICKY}'), (-7, 1, 'assistant', '{TRICKY}'))),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '') AS loss,
+  sum({marks} + length({escaped("role", chat.ROLE_CODES)}) + length({escaped("text", chat.CODES)}))::BIGINT AS formatted_chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c"""
+
+
+#: What SQL can express; the other operators are tested against brute force, round trips and held-out rows.
+SQL = {"op4_url_rules": _url_sql(), "op6_chat": _chat_sql()}
