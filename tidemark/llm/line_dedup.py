@@ -35,8 +35,8 @@ BANDS, ROWS, SEED = 8, 4, 7
 BLANKS = re.compile("[ \t\r\v\f]+")
 #: Packed entries (16 bytes each) of a bucket; bits of the Bloom filter; characters hashed at a time.
 BUCKET_ENTRIES, BLOOM_BITS, BLOCK = 1_000_000, 1 << 26, 250_000
-#: Lines of an open group that one task compares.
-TOGETHER = 2000
+#: Lines of an open group that one task compares; lines from which on sketches save comparisons.
+TOGETHER, SKETCHED = 2000, 8
 
 
 def form(line: str) -> str:
@@ -109,18 +109,20 @@ def alike(x: set[str], y: set[str], least: float) -> bool:
     return both >= least * (len(x) + len(y) - both)
 
 
-def sketch(x: set[str]) -> int:
-    """1024 bits of which every shingle sets one: bits of x that y lacks are shingles of x that y lacks, at least so many."""
-    out = 0
-    for h in {hash(s) & 1023 for s in x}:
-        out |= 1 << h
-    return out
+def _near_enough(sets: list[set[str]], least: float):
+    """``near(i)``: which sets may be like set i by their sketches of 1024 bits, of which every shingle sets one: bits of x that y lacks
+    are shingles of x that y lacks, at least so many. None for few sets, where exact comparisons cost less than sketches."""
+    if len(sets) < SKETCHED:
+        return None
+    size = np.array([len(x) for x in sets])
+    bits = np.zeros((len(sets), 1024), np.uint8)
+    bits[np.repeat(np.arange(len(sets)), size), np.fromiter((hash(s) & 1023 for x in sets for s in x), np.int64, size.sum())] = 1
+    marks = np.packbits(bits, axis=1).view(np.uint64)
 
-
-def far(x: set[str], y: set[str], own: int, other: int, least: float) -> bool:
-    """Whether the sketches alone show that two sets are not alike."""
-    both = least / (1 + least) * (len(x) + len(y))
-    return (own & ~other).bit_count() > len(x) - both or (other & ~own).bit_count() > len(y) - both
+    def near(i: int) -> np.ndarray:
+        both = least / (1 + least) * (size[i] + size)
+        return (np.bitwise_count(marks[i] & ~marks).sum(1) <= size[i] - both + 1e-9) & (np.bitwise_count(marks & ~marks[i]).sum(1) <= size - both + 1e-9)
+    return near
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -231,17 +233,18 @@ def _complete(least: float):
     """Links of the lines of one group that failed their leader: each is compared until the group is one component or none are left.
     Of a group with lines of two parts (column ``part``) only lines of different parts are compared."""
     def run(group: pa.Table) -> pa.Table:
-        ids, sets, ok = group["line"].to_pylist(), [shingles(f) for f in group["form"].to_pylist()], group["ok"].to_pylist()
-        marks = [sketch(x) for x in sets]
-        part = [0 if x else i + 1 for i, x in enumerate(ok)]
-        side, edges = group["part"].to_pylist(), []
-        across = len(set(side)) > 1
+        ids, sets, ok, side = group["line"].to_pylist(), [shingles(f) for f in group["form"].to_pylist()], group["ok"].to_pylist(), group["part"].to_numpy()
+        part = np.array([0 if x else i + 1 for i, x in enumerate(ok)])
+        across, near, edges = len(np.unique(side)) > 1, _near_enough(sets, least), []
         for i in (i for i, x in enumerate(ok) if not x):
-            for j in range(len(ids)):
-                if part[i] != part[j] and not (across and side[i] == side[j]) and not far(sets[i], sets[j], marks[i], marks[j], least) and alike(sets[i], sets[j], least):
+            other = part != part[i]
+            if across:
+                other &= side != side[i]
+            for j in np.flatnonzero(other if near is None else other & near(i)).tolist():
+                if part[i] != part[j] and alike(sets[i], sets[j], least):
                     edges.append((ids[i], ids[j]))
                     old, new = max(part[i], part[j]), min(part[i], part[j])
-                    part = [new if p == old else p for p in part]
+                    part[part == old] = new
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
     return run
 
@@ -281,11 +284,11 @@ def links(docs: DataFrame, lines: int, least: float = SIMILARITY, together: int
     known = groups.where("size > 2").join(judged, ["leader", "line"], "left").withColumn("ok", F.coalesce("ok", F.lit(True)))
     # the same lines often meet in several bands: one of these is enough
     same = known.groupBy("band").agg(F.min("leader").alias("leader"), F.count("*").alias("n"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("lines"), F.min("ok").alias("settled"))
-    open_groups = cut_lineage(same.where("not settled").groupBy("leader", "n", "lines").agg(F.min("band").alias("band")).select("band", "n"))
+    open_groups = same.where("not settled").groupBy("leader", "n", "lines").agg(F.min("band").alias("band")).select("band", "n")
     rest = known.join(open_groups, "band").join(texts, "line").select("band", "line", "form", "ok", "n", F.lit(0).alias("part"))
     out = judged.where("ok").select(F.col("leader").alias("a"), F.col("line").alias("b")).union(
         rest.where(F.col("n") <= together).groupBy("band").applyInArrow(_complete(least), "a bigint, b bigint"))
-    if open_groups.where(F.col("n") > together).isEmpty():
+    if groups.where(F.col("size") > together).isEmpty():
         return out
     large = cut_lineage(rest.where(F.col("n") > together).select("band", "line", "form", "ok"))
     return out.union(_parted(large, least, together).groupBy("band", "shingle", "low", "high").applyInArrow(_complete(least), "a bigint, b bigint"))
