@@ -269,6 +269,18 @@ def test_group_without_common_leader():
     assert line_dedup._complete(0.8)(t).to_pydict() == {"a": [20], "b": [30]}
 
 
+def test_shingles_as_numbers():
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefgh é\x00") for _ in range(3000))
+    x, y = line_dedup.compact(text), line_dedup.compact(text[:2600] + "\u0101" * 9 + text[2600:])
+    assert isinstance(x, np.ndarray) and isinstance(y, set) and line_dedup.plain(x) == line_dedup.shingles(text)
+    for n in (2390, 2400, 2410, 2600):
+        z = text[:n]
+        want = len(line_dedup.shingles(z) & line_dedup.shingles(text)) / len(line_dedup.shingles(z) | line_dedup.shingles(text)) >= 0.8
+        assert line_dedup.alike(x, line_dedup.compact(z), 0.8) == want
+    assert line_dedup.alike(x, y, 0.8) and line_dedup.alike(line_dedup.compact("short", 0), {"short"}, 0.8)
+
+
 def test_large_groups_lose_no_link(spark):
     """Variants of one template, of which many lie just below the similarity asked for: parted groups give the components of whole ones."""
     rng = random.Random(8)

@@ -35,8 +35,8 @@ BANDS, ROWS, SEED = 8, 4, 7
 BLANKS = re.compile("[ \t\r\v\f]+")
 #: Packed entries (16 bytes each) of a bucket; bits of the Bloom filter; characters hashed at a time.
 BUCKET_ENTRIES, BLOOM_BITS, BLOCK = 1_000_000, 1 << 26, 250_000
-#: Lines of an open group that one task compares; lines from which on sketches save comparisons.
-TOGETHER, SKETCHED = 2000, 8
+#: Lines of an open group that one task compares; lines from which on sketches save comparisons; characters from which on a set is numbers.
+TOGETHER, SKETCHED, LONG_LINE = 2000, 8, 1000
 
 
 def form(line: str) -> str:
@@ -101,22 +101,44 @@ def shingles(f: str, k: int = SHINGLE) -> set[str]:
     return {f[i:i + k] for i in range(max(1, len(f) - k + 1))}
 
 
-def alike(x: set[str], y: set[str], least: float) -> bool:
+def compact(f: str, least: int = LONG_LINE) -> "set[str] | np.ndarray":
+    """A form's shingles; for long forms of one-byte characters as sorted numbers, for eight such characters are just a 64-bit number."""
+    if len(f) < max(least, SHINGLE):
+        return shingles(f)
+    try:
+        raw = np.frombuffer(f.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        return shingles(f)
+    return np.unique(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)).view(np.uint64).ravel())
+
+
+def plain(x: "set[str] | np.ndarray") -> set[str]:
+    if isinstance(x, set):
+        return x
+    raw = x.tobytes().decode("latin-1")
+    return {raw[i:i + 8] for i in range(0, len(raw), 8)}
+
+
+def alike(x: "set[str] | np.ndarray", y: "set[str] | np.ndarray", least: float) -> bool:
     """Whether two sets' Jaccard similarity is at least ``least``."""
     if min(len(x), len(y)) < least * max(len(x), len(y)):
         return False
-    both = len(x & y)
+    if isinstance(x, np.ndarray) and isinstance(y, np.ndarray):
+        both = len(np.intersect1d(x, y, assume_unique=True))
+    else:
+        both = len(plain(x) & plain(y))
     return both >= least * (len(x) + len(y) - both)
 
 
 def _near_enough(sets: list[set[str]], least: float):
     """``near(i)``: which sets may be like set i by their sketches of 1024 bits, of which every shingle sets one: bits of x that y lacks
-    are shingles of x that y lacks, at least so many. None for few sets, where exact comparisons cost less than sketches."""
-    if len(sets) < SKETCHED:
+    are shingles of x that y lacks, at least so many. None for few sets, where exact comparisons cost less than sketches, and for sets of both kinds."""
+    if len(sets) < SKETCHED or len({type(x) for x in sets}) > 1:
         return None
     size = np.array([len(x) for x in sets])
     bits = np.zeros((len(sets), 1024), np.uint8)
-    bits[np.repeat(np.arange(len(sets)), size), np.fromiter((hash(s) & 1023 for x in sets for s in x), np.int64, size.sum())] = 1
+    for row, x in zip(bits, sets):
+        row[(x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(54)).astype(np.int64) if isinstance(x, np.ndarray) else [hash(s) & 1023 for s in x]] = 1
     marks = np.packbits(bits, axis=1).view(np.uint64)
 
     def near(i: int) -> np.ndarray:
@@ -223,8 +245,8 @@ def _similar(least: float):
             out, last, held = [], None, set()
             for a, b in zip(leaders.to_pylist(), others.to_pylist()):
                 if a != last:
-                    last, held = a, shingles(a)
-                out.append(alike(held, shingles(b), least))
+                    last, held = a, compact(a)
+                out.append(alike(held, compact(b), least))
             yield pa.array(out, pa.bool_())
     return F.arrow_udf(run, "boolean").asNondeterministic()
 
@@ -233,7 +255,9 @@ def _complete(least: float):
     """Links of the lines of one group that failed their leader: each is compared until the group is one component or none are left.
     Of a group with lines of two parts (column ``part``) only lines of different parts are compared."""
     def run(group: pa.Table) -> pa.Table:
-        ids, sets, ok, side = group["line"].to_pylist(), [shingles(f) for f in group["form"].to_pylist()], group["ok"].to_pylist(), group["part"].to_numpy()
+        ids, forms, ok, side = (group[c].to_pylist() for c in ("line", "form", "ok", "part"))
+        long = max(map(len, forms), default=0) >= LONG_LINE
+        sets, side = [compact(f, 0) if long else shingles(f) for f in forms], np.array(side)
         part = np.array([0 if x else i + 1 for i, x in enumerate(ok)])
         across, near, edges = len(np.unique(side)) > 1, _near_enough(sets, least), []
         for i in (i for i, x in enumerate(ok) if not x):
@@ -288,7 +312,7 @@ def links(docs: DataFrame, lines: int, least: float = SIMILARITY, together: int
     rest = known.join(open_groups, "band").join(texts, "line").select("band", "line", "form", "ok", "n", F.lit(0).alias("part"))
     out = judged.where("ok").select(F.col("leader").alias("a"), F.col("line").alias("b")).union(
         rest.where(F.col("n") <= together).groupBy("band").applyInArrow(_complete(least), "a bigint, b bigint"))
-    if groups.where(F.col("size") > together).isEmpty():
+    if known.where((F.col("size") > together) & ~F.col("ok")).isEmpty():
         return out
     large = cut_lineage(rest.where(F.col("n") > together).select("band", "line", "form", "ok"))
     return out.union(_parted(large, least, together).groupBy("band", "shingle", "low", "high").applyInArrow(_complete(least), "a bigint, b bigint"))
