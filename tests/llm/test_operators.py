@@ -384,6 +384,14 @@ def test_simhash(spark, docs, texts, odd):
     assert simhash.near_duplicates(odd.where("false")).count() == 0 and simhash.keep_one(odd).columns == odd.columns
 
 
+def test_rows_without_id_are_kept(spark, odd):
+    a, b, c = ("".join(f"{w}{i} " for i in range(40)) for w in ("ash", "birch", "cedar"))
+    rows = [(None, a, "en"), (None, a, "en"), (None, b, "en"), (None, b, "de"), (7, c, "en"), (None, c, "en"), (8, c, "en"), (None, None, "en"), (None, "", "en")]
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, fp string").repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out) == [(0, ""), (0, a), (0, b), (7, c)]
+    assert {r["doc_id"] for r in simhash.keep_one(odd).collect()} >= {0, 3, 6} and simhash.keep_one(odd).where("doc_id is null").count() == 0
+
+
 def test_simhash_links_lose_nothing():
     rng = np.random.default_rng(2)
     heart = rng.integers(0, 1 << 64, 40, np.uint64)

@@ -12,6 +12,7 @@ what stays apart is compared until it is joined.
 
 Null and empty texts have fingerprint zero, and so have texts of white space; zero is linked like any other. Repeated rows are copies.
 An empty table gives an empty result. A null doc_id is an error of the table: such rows keep a fingerprint, and never become a class id.
+A class whose rows all have null ids has a null class id, and ``keep_one`` keeps one of its rows; beside a row with an id they are copies.
 """
 
 from collections.abc import Iterator
@@ -176,18 +177,31 @@ def links(prints: DataFrame, most: int = DISTANCE, bits: int = SEGMENT_BITS) ->
     return prints.mapInArrow(pack, "bucket int, packed binary").groupBy("bucket").applyInArrow(join, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, most: int = DISTANCE, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
-    """``(doc_id, fp, component_id)``: each document's fingerprint and the smallest doc_id reachable over links, itself included."""
+def _classes(docs: DataFrame, most: int, id_col: str = ID, text_col: str = TEXT) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, fp)`` of each document, and ``(fp, root, component_id)`` of each distinct fingerprint; root is never null."""
     seen = cut_lineage(docs.select(F.col(id_col).alias(ID), fingerprint(F.col(text_col)).alias("fp")))
     prints = cut_lineage(seen.groupBy("fp").agg(F.min(ID).alias("least")))
     part = components(links(prints.select("fp"), most)).withColumnsRenamed({"node": "fp"})
     classes = prints.join(part, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    per_print = cut_lineage(classes.join(least, "root").select("fp", "component_id"))
+    return seen, cut_lineage(classes.join(least, "root").select("fp", "root", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, most: int = DISTANCE, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
+    """``(doc_id, fp, component_id)``: each document's fingerprint and the smallest doc_id reachable over links, itself included."""
+    seen, per_print = _classes(docs, most, id_col, text_col)
     return seen.join(per_print, "fp").select(ID, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, most: int = DISTANCE) -> DataFrame:
-    """The documents whose doc_id is their class's smallest, all columns kept. Rows that repeat a kept doc_id stay."""
-    kept = near_duplicates(docs, most).where(F.col(ID) == F.col("component_id")).select(ID).distinct()
-    return docs.join(kept, ID, "left_semi").select(docs.columns)
+    """The documents whose doc_id is their class's smallest, all columns kept. Rows that repeat a kept doc_id stay.
+
+    Of a class without any doc_id, the row with the smallest hash of its columns (maps left out) stays.
+    """
+    seen, per_print = _classes(docs, most)
+    kept = seen.join(per_print, "fp").where(F.col(ID) == F.col("component_id")).select(ID).distinct()
+    named = docs.join(kept, ID, "left_semi").select(docs.columns)
+    hashed = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
+    bare = docs.where(F.col(ID).isNull()).select(F.struct(*docs.columns).alias("row"), hashed.alias("order"), fingerprint(F.col(TEXT)).alias("fp"))
+    lone = bare.join(per_print.where("component_id is null").select("fp", "root"), "fp").groupBy("root").agg(F.min_by("row", "order").alias("row"))
+    return named.union(lone.select("row.*"))
