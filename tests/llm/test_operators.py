@@ -363,6 +363,28 @@ def test_decontam(spark, docs, texts, odd):
     assert decontam.clean(odd, items.where("false")).count() == len(ODD) + 2 and decontam.contaminated(odd.where("false"), items).count() == 0
 
 
+def test_short_items_are_found():
+    """Items of 1 to 14 words, whole and with all edits allowed, against all distances; also many that share common words."""
+    rng = random.Random(6)
+    items = [(100 * m + k, " ".join(rng.choice(["the", "of"] if rng.random() < 0.2 else [f"w{rng.randrange(300)}"]) for _ in range(m))) for m in range(1, 15) for k in range(8)] + [(5000, ""), (5001, None)]
+    held = {k: decontam.words(t or "") for k, t in items}
+    texts = []
+    for w in held.values():
+        for n in {0, len(w) // 5}:
+            v = list(w)
+            for p in sorted(rng.sample(range(len(w)), n), reverse=True):
+                v[p:p + 1] = rng.choice([[b"zz"], [], [v[p], b"qq"]])
+            texts.append(" ".join([*(f"w{rng.randrange(900)}" for _ in range(rng.randrange(12))), b" ".join(v).decode().upper(), *(rng.choice(["the", "of", "u", "w5"]) for _ in range(rng.randrange(12)))]))
+    for hits in (200_000, 7):
+        decontam.BLOCK_HITS = hits
+        for t, got in zip(texts, decontam.Items(items).search(texts)):
+            ws = decontam.words(t)
+            want = {k: 1 - n / len(w) for k, w in held.items() if w and (n := edits(w, ws)) <= len(w) // 5}
+            assert {h["item_id"]: h["similarity"] for h in got} == want, t
+            assert all(ws[h["start"]:h["start"] + len(held[h["item_id"]])] == held[h["item_id"]] for h in got if h["similarity"] == 1)
+    decontam.BLOCK_HITS = 200_000
+
+
 # 10 SimHash
 def brute_print(t):
     w = re.findall("[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t))

@@ -1,7 +1,8 @@
 """Benchmark decontamination: CGK random-walk embedding, bit-sampling LSH, exact edit distances.
 
 Texts are words: lower-cased, split at white space and ASCII punctuation. A document holds an item if the word edit distance between the
-item and some run of the document's words is at most ``1 - SIMILARITY`` of the item's words. Items shorter than ``MIN_WORDS`` never match.
+item and some run of the document's words is at most ``1 - SIMILARITY`` of the item's words. Items shorter than ``MIN_WORDS`` must stand
+word by word; items without words match nothing.
 
 An item is embedded by a random walk that emits the word it stands on and steps on when a hash bit of (step, word) says so: edits become
 Hamming differences of the emitted sequences. ``REPEATS`` walks, each with its own sample of emitted places, give the keys of every
@@ -10,6 +11,9 @@ word of windows that can hold an item: an item-sized window has at most as many
 other windows are passed over without loss. Equal keys give candidates; each is verified with the bit-parallel edit distance of the
 whole item against the window, both ends free. The measured recall at the largest allowed distance is in the README.
 
+Walks run off the end of short items. Items of at most ``SHORT_WORDS`` words are cut into one piece more than edits are allowed instead:
+one piece stands unedited in every document that holds the item. All places of all pieces are looked up and verified: nothing is lost.
+
 Items go to the tasks in blocks of ``BLOCK_ITEMS``, one pass over the documents for each block, so that what is broadcast is bounded.
 Null and empty texts hold nothing; repeated rows give repeated results; an item table without usable items gives none.
 """
@@ -23,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import ID, TEXT, text_function
 
-SIMILARITY, MIN_WORDS = 0.8, 5
+SIMILARITY, MIN_WORDS, SHORT_WORDS = 0.8, 5, 14
 REPEATS, STEPS, SAMPLED, ANCHOR_STEP, SEED = 6, 14, 5, 2, 11
-BLOCK_ITEMS, BLOCK_WORDS = 50_000, 1_000_000
+BLOCK_ITEMS, BLOCK_WORDS, BLOCK_HITS = 50_000, 1_000_000, 200_000
 BREAKS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
@@ -34,28 +38,30 @@ def words(text: str) -> list[bytes]:
 
 
 class Items:
-    """What the tasks know of one block of items: their words, and the keys of their walks."""
+    """What the tasks know of one block of items: their words, the keys of their walks, and the pieces of short ones."""
 
     def __init__(self, rows: list[tuple[int, str]], similarity: float = SIMILARITY, repeats: int = REPEATS):
-        parts = [(i, w) for i, t in rows if i is not None and len(w := words(t or "")) >= MIN_WORDS]
+        parts = [(i, w) for i, t in rows if i is not None and (w := words(t or ""))]
         self.names = [i for i, _ in parts]
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(x for _, ws in parts for x in ws))}
         self.foreign = len(self.vocabulary)
         self.texts = [np.array([self.vocabulary[x] for x in ws], np.int32) for _, ws in parts]
-        self.edits = [int((1 - similarity) * len(x) + 1e-9) for x in self.texts]
+        self.edits = [int((1 - similarity) * len(x) + 1e-9) if len(x) >= MIN_WORDS else 0 for x in self.texts]
+        long = [k for k, x in enumerate(self.texts) if len(x) > SHORT_WORDS]
         self.masks = [_masks(x.tolist()) for x in self.texts]
         rng = np.random.default_rng(SEED)
         self.samples = [np.sort(rng.choice(STEPS, SAMPLED, replace=False)) for _ in range(repeats)]
         self.bits = np.array([[xxhash.xxh64_intdigest(w, s) for w in self.vocabulary] + [0] for s in range(repeats)], np.uint64)
-        self.classes, sizes = [], sorted({len(x) for x in self.texts})
+        self.classes, sizes = [], sorted({len(self.texts[k]) for k in long})
         while sizes:  # sizes within a fifth of each other share one test for windows that can hold an item
             own = [n for n in sizes if n <= 1.2 * sizes[0]]
             sizes = sizes[len(own):]
             few = min(len(x) - 1 - 2 * e for x, e in zip(self.texts, self.edits) if len(x) in own)
             self.classes.append((few, max(len(x) + e - 1 for x, e in zip(self.texts, self.edits) if len(x) in own)))
-        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[:-1] * np.int64(self.foreign + 1) + x[1:] for x in self.texts)]))
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[:-1] * np.int64(self.foreign + 1) + x[1:] for x in (self.texts[k] for k in long))]))
         keys, item, offset = [], [], []
-        for k, x in enumerate(self.texts):
+        for k in long:
+            x = self.texts[k]
             at = np.arange(0, max(1, len(x) - SAMPLED), ANCHOR_STEP)
             padded = np.append(x, np.full(STEPS + 1, self.foreign, np.int32))
             for r in range(repeats):
@@ -66,6 +72,25 @@ class Items:
         keys, self.item, self.offset = (np.concatenate([*x, np.zeros(0, t)]).astype(t) for x, t in ((keys, np.uint64), (item, np.int64), (offset, np.int64)))
         order = np.argsort(keys, kind="stable")
         self.keys, self.item, self.offset = keys[order], self.item[order], self.offset[order]
+        self.sizes, self.short = np.array([len(x) for x in self.texts], np.int64), np.zeros((len(self.texts), SHORT_WORDS), np.int32)
+        for row, x in zip(self.short, self.texts):
+            row[:len(x)] = x[:SHORT_WORDS]
+        self.pieces = self._pieces()
+
+    def _pieces(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length of short items' pieces their keys in order, their items and their offsets."""
+        found: dict[int, list[tuple]] = {}
+        for k, x in enumerate(self.texts):
+            if len(x) <= SHORT_WORDS:
+                cuts = np.arange(self.edits[k] + 2) * len(x) // (self.edits[k] + 1)
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    found.setdefault(b - a, []).append((x[a:b], k, a))
+        out = {}
+        for size, rows in found.items():
+            keys = runs(np.stack([r[0] for r in rows]).ravel(), np.arange(len(rows)) * size, size)
+            order = np.argsort(keys, kind="stable")
+            out[size] = keys[order], np.array([r[1] for r in rows])[order], np.array([r[2] for r in rows])[order]
+        return out
 
     def walk(self, x: np.ndarray, at: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the walks that start at ``at``, and whether all their sampled words are words of items."""
@@ -81,6 +106,8 @@ class Items:
 
     def possible(self, x: np.ndarray) -> np.ndarray:
         """Places of known words within windows that hold enough of the items' word pairs: an edit spoils two pairs at most."""
+        if not len(self.pairs):
+            return np.zeros(0, np.int64)
         both = np.flatnonzero((x[:-1] != self.foreign) & (x[1:] != self.foreign))
         pair = x[both] * np.int64(self.foreign + 1) + x[both + 1]
         at = np.searchsorted(self.pairs, pair)
@@ -109,9 +136,10 @@ class Items:
     def _search(self, block: list[tuple[int, np.ndarray]], out: list[dict]) -> None:
         if not block or not self.texts:
             return
-        gap = np.full(max(w for _, w in self.classes) + STEPS + 1, self.foreign, np.int32)
+        gap = np.full(max([2 * SHORT_WORDS, *(w for _, w in self.classes)]) + STEPS + 1, self.foreign, np.int32)
         x = np.concatenate([p for _, w in block for p in (w, gap)])
         begins = np.cumsum([0] + [len(w) + len(gap) for _, w in block])
+        self._search_short(x, begins, [k for k, _ in block], out)
         at = self.possible(x)
         found = []
         for r in range(len(self.samples)):
@@ -141,6 +169,63 @@ class Items:
             if least <= most and (best is None or best[0] < 1 - least / m):
                 out[k][i] = (1 - least / m, max(0, lo + end - m - int(begins[d])))
 
+    def _search_short(self, x: np.ndarray, begins: np.ndarray, names: list[int], out: list[dict]) -> None:
+        """The best run of every short item in every document; of equal ones the first."""
+        known = np.flatnonzero(x != self.foreign)
+        for size, (keys, items, offsets) in self.pieces.items():
+            key = runs(x, known, size)
+            lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            hit = np.flatnonzero(lo < hi)
+            places, lo, n = known[hit], lo[hit], (hi - lo)[hit]
+            ends = np.cumsum(n)
+            for first in range(0, int(n.sum()), BLOCK_HITS):  # hits are numbered through: a common piece of many items has very many
+                number = np.arange(first, min(first + BLOCK_HITS, int(ends[-1])))
+                of = np.searchsorted(ends, number, "right")
+                at = lo[of] + number - (ends[of] - n[of])
+                item, place = items[at], places[of]
+                doc = np.searchsorted(begins, place, "right") - 1
+                sizes = self.sizes[item]
+                for m in np.unique(sizes).tolist():
+                    own = sizes == m
+                    self._verify_short(m, item[own], doc[own], place[own] - offsets[at[own]], x, begins, names, out)
+
+    def _verify_short(self, m: int, item: np.ndarray, doc: np.ndarray, start: np.ndarray, x: np.ndarray, begins: np.ndarray, names: list[int], out: list[dict]) -> None:
+        """The same for hits of items of m words that would start at ``start``."""
+        most = self.edits[item[0]]
+        start = np.maximum(start - most, begins[doc])
+        least, end = distances(self.short[item, :m], x[start[:, None] + np.arange(m + 2 * most)])
+        near = np.flatnonzero(least <= most)
+        near = near[np.lexsort((start[near], least[near], item[near], doc[near]))]
+        new = np.append(True, (np.diff(doc[near]) != 0) | (np.diff(item[near]) != 0))[:len(near)]
+        for i in near[new].tolist():
+            found, k, d = out[names[doc[i]]], int(item[i]), int(begins[doc[i]])
+            hit = (1 - int(least[i]) / m, max(0, int(start[i] + end[i]) - m - d))
+            if k not in found or (-hit[0], hit[1]) < (-found[k][0], found[k][1]):
+                found[k] = hit
+
+
+def runs(x: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the ``size`` words from each place on."""
+    key = np.full(len(at), size, np.uint64)
+    for i in range(size):
+        key = (key ^ x[at + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(31)
+    return key
+
+
+def distances(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``distance`` between each item and its window, as rows of two matrices of words: the same columns, all rows at a time."""
+    m = items.shape[1]
+    row = np.repeat(np.arange(m + 1)[:, None], len(windows), 1)
+    least, end = row[-1].copy(), np.zeros(len(windows), np.int64)
+    for j in range(windows.shape[1]):
+        last, row = row, np.zeros_like(row)
+        for i in range(1, m + 1):
+            row[i] = np.minimum(np.minimum(row[i - 1], last[i]) + 1, last[i - 1] + (windows[:, j] != items[:, i - 1]))
+        better = row[-1] < least
+        least[better], end[better] = row[-1][better], j + 1
+    return least, end
+
 
 def _masks(item: list[int]) -> dict[int, int]:
     masks: dict[int, int] = {}
