@@ -152,6 +152,17 @@ def test_bpe(spark, encoding, odd, texts):
     assert bpe.encode(odd.where("false"), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_caches_are_bounded_by_characters(encoding, monkeypatch):
+    ranks, own = encoding
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 5000)
+    monkeypatch.setattr(bpe, "KEPT_CHARS", 20_000)
+    coder = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    made = [f"def f{i}():\n    return {i} + x\n" * 40 + "y" * 700 + str(i) for i in range(80)] + [f"word{i} " * 3 + f"  w{i}" for i in range(4000)] + [f"tide{i} mark{i}" for i in range(4000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(made)] == own.encode_ordinary_batch(made)
+    for known in (coder.firsts, coder.stretches, coder.pieces):
+        assert max(map(len, known), default=0) <= bpe.LONG_KEPT and sum(map(len, known)) <= 20_000 + 2 * 6000
+
+
 # 4 urls
 def test_url_rules(spark):
     hosts = ["example.com", "www.example.com", "a.b.net", "net", "xnet", "EXAMPLE.com", "", "com", "m.www.example.com", "com.", "é.com"]

@@ -15,7 +15,7 @@ Copies and ties need no care: the result depends on the text alone.
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import ID, TEXT
 
 BLOCK_CHARS, KEPT = 8_000_000, 500_000
+#: Longer stretches and pieces are kept for their block only, and of shorter ones so many characters of either.
+LONG_KEPT, KEPT_CHARS = 256, 16_000_000
 #: Pieces of more bytes, and the pieces of a block that has fewer, are replayed one place at a time.
 LONG_PIECE, FEW_PIECES = 256, 2000
 
@@ -185,7 +187,7 @@ class Merges:
 
 
 class Encoder:
-    """Encodes and decodes texts; keeps the pieces and blank-separated stretches it has met, up to ``KEPT`` of each."""
+    """Encodes and decodes texts; keeps the pieces and blank-separated stretches it has met, up to ``KEPT`` and ``KEPT_CHARS`` of each."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern).findall
@@ -195,6 +197,7 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.firsts: dict[str, bytes] = {}
         self.stretches: dict[str, bytes] = {}
+        self.piece_chars = self.stretch_chars = 0
         size = np.zeros(max(ranks.values()) + 1, np.int64)
         for t, r in ranks.items():
             size[r] = len(t)
@@ -212,12 +215,14 @@ class Encoder:
 
     def learn(self, stretches: list[str]) -> list[bytes]:
         """Little-endian ids of stretches."""
-        if len(self.pieces) > KEPT:
+        if len(self.pieces) > KEPT or self.piece_chars > KEPT_CHARS:
             self.pieces.clear()
+            self.piece_chars = 0
         cuts = [self.cut(s) for s in stretches]
         pieces = self.pieces
         merged, raw, odd = [], [], []
-        for p in dict.fromkeys(p for c in cuts for p in c if p not in pieces):
+        fresh = dict.fromkeys(p for c in cuts for p in c if p not in pieces)
+        for p in fresh:
             b = p.encode()
             if (r := self.ranks.get(b)) is not None:
                 pieces[p] = r.to_bytes(4, "little")
@@ -232,7 +237,9 @@ class Encoder:
             pieces.update(zip(merged, self.merges.replay(raw)))
         if odd:
             pieces.update(zip(odd, (np.array(x, "<u4").tobytes() for x in replay([p.encode() for p in odd], self.singles, self.pairs))))
-        return [pieces[c[0]] if len(c) == 1 else b"".join([pieces[p] for p in c]) for c in cuts]
+        out = [pieces[c[0]] if len(c) == 1 else b"".join([pieces[p] for p in c]) for c in cuts]
+        self.piece_chars += forget_long(pieces, fresh)
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -246,9 +253,10 @@ class Encoder:
         yield from self._encode(block)
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.stretches) + len(self.firsts) > KEPT:
+        if len(self.stretches) + len(self.firsts) > KEPT or self.stretch_chars > KEPT_CHARS:
             self.stretches.clear()
             self.firsts.clear()
+            self.stretch_chars = 0
         firsts, rest = set(), set()
         for t in texts:
             first, *others = split(t)
@@ -263,6 +271,7 @@ class Encoder:
         for t in texts:
             first, *others = split(t)
             yield self.firsts[first] + b"".join(map(get, others))
+        self.stretch_chars += forget_long(self.firsts, firsts) + forget_long(self.stretches, rest)
 
     def decode(self, ids: bytes) -> bytes:
         x = np.frombuffer(ids, "<u4")
@@ -272,6 +281,17 @@ class Encoder:
         return self.all_bytes[at].tobytes()
 
 
+def forget_long(known: dict[str, bytes], fresh: Iterable[str]) -> int:
+    """Takes out the long ones of the fresh entries; the number of characters of the others."""
+    chars = 0
+    for s in fresh:
+        if len(s) > LONG_KEPT:
+            del known[s]
+        else:
+            chars += len(s)
+    return chars
+
+
 AFTER_WHITE = regex.compile(r"\s ")
 
 
