@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bpe, chat, common, decontam, licenses, line_dedup, pii, queries, quality, simhash, toxicity, url_rules
+from tidemark.llm import bpe, chat, common, decontam, licenses, line_dedup, periodic_runs, pii, queries, quality, ranked_search, simhash, substring_dedup, toxicity, url_rules
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -480,5 +483,166 @@ def test_pipeline(spark, docs, labels):
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_query_gives_its_columns(spark, name):
-    first = {"op4_url_rules": "page_id", "op6_chat": "conv_id"}.get(name, "doc_id")
+    first = {"op4_url_rules": "page_id", "op6_chat": "conv_id", "op13_ranked_search": "item_id"}.get(name, "doc_id")
     assert queries.QUERIES[name](spark, SF).columns[0] == first
+
+
+# 11 periodic runs
+def brute_runs(w, least=6, exponent=4):
+    """Every period in turn: the stretches whose words equal those a period on."""
+    found = {}
+    for q in range(1, len(w) // exponent + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(least, exponent * q):
+                found.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted(((i, n, q) for (i, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def test_runs_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(150):
+        texts = []
+        for _ in range(5):
+            w = [rng.choice("abc"[:rng.randrange(1, 4)]) for _ in range(rng.randrange(40))]
+            for _ in range(rng.randrange(3)):
+                w += ([rng.choice("ab") for _ in range(rng.randrange(1, 9))] * rng.randrange(1, 12))[:rng.randrange(1, 80)] + [rng.choice("abc")] * rng.randrange(2)
+            texts.append(w)
+        for exponent, least in ((4, 6), (3, 5), (5, 12)):
+            assert periodic_runs.runs_of(texts, least, exponent) == [brute_runs(w, least, exponent) for w in texts]
+    many = ["x"] * 60_000
+    assert periodic_runs.runs_of([many, ["a", "b", "c"] * 20_000, []]) == [[(0, 60_000, 1)], [(0, 60_000, 3)], []]
+    with pytest.raises(ValueError):
+        periodic_runs.runs_of([many], exponent=2)
+
+
+def test_runs_query(spark, texts, odd):
+    for r in queries.op11_periodic_runs(spark, SF).collect():
+        w = re.findall("[^\x20\x09-\x0d]+", texts[r["doc_id"]] or "")
+        h, n = zlib.crc32(str(r["doc_id"]).encode()), len(w)
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+        runs = brute_runs(w)
+        gone = {k for i, m, q in runs for k in range(i + q, i + m)}
+        best = min(runs, key=lambda x: (-Fraction(x[1], x[2]), x[0], x[2]), default=None)
+        assert tuple(r[1:6]) == (len(runs), *(best + (1000 * best[1] // best[2],) if best else (None,) * 4))
+        assert r["runs_sha256"] == hashlib.sha256("".join(f"{i},{m},{q}\n" for i, m, q in runs).encode()).hexdigest()
+        assert r["collapsed_sha256"] == hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()
+    out = periodic_runs.find(odd.withColumn("runs", F.lit(1)))
+    rows = {r["doc_id"]: r for r in out.where("doc_id <> 6").collect()}
+    assert out.columns == [*odd.columns, "runs", "collapsed"] and out.count() == len(ODD) + 2
+    assert [tuple(x) for x in rows[8]["runs"]] == [(0, 80_000, 4)] and rows[8]["collapsed"] == "long tale of words"
+    assert rows[0]["collapsed"] == rows[1]["collapsed"] == "" and rows[0]["runs"] == [] and rows[5]["collapsed"] == "é ñ 　 \x1c ß"
+    assert periodic_runs.find(odd.where("false")).count() == 0
+
+
+# 12 substring dedup
+def brute_passages(rows, k=13):
+    last = substring_dedup.LAST
+    held = [(last if d is None else d, re.findall("[^\x20\x09-\x0d]+", t or "")) for d, t in rows]
+    first = {}
+    for d, w in held:
+        for i in range(len(w) - k + 1):
+            first[tuple(w[i:i + k])] = min(d, first.get(tuple(w[i:i + k]), last))
+    out = []
+    for (d, w), (own, _) in zip(held, rows):
+        gone = {j for i in range(len(w) - k + 1) if first[tuple(w[i:i + k])] < d for j in range(i, i + k)}
+        out.append((own, " ".join(x for i, x in enumerate(w) if i not in gone), len(w), len(gone)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block_chars,bucket_windows", [(substring_dedup.BLOCK_CHARS, substring_dedup.BUCKET_WINDOWS), (500, 20)])
+def test_passages_against_brute_force(spark, block_chars, bucket_windows):
+    """Shared passages in very many documents, so that small buckets are hot and split; ids that are null or repeated."""
+    rng = random.Random(1)
+    passages = [[rng.choice("a b c d e f the of".split()) for _ in range(60)] for _ in range(6)]
+    rows = []
+    for i in range(250):
+        w = []
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(40)
+            w += rng.choice(passages)[at:at + rng.randrange(25)] + [rng.choice("uvwé")] * rng.randrange(3)
+        rows.append((rng.choice([i, i, i, i // 2, None]), rng.choice([" ", "\n", "  "]).join(w) if rng.random() < 0.95 else None))
+    got = substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string"), block_chars=block_chars, bucket_windows=bucket_windows)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_passages(rows)
+
+
+def test_passages_of_odd_rows(spark, odd):
+    more = odd.selectExpr("*", "1 AS row", "2 AS block", "3 AS n_removed")
+    out = substring_dedup.deduplicate(more)
+    assert out.columns == [c for c in more.columns if c != "n_removed" and c != "n_words"] + ["n_words", "n_removed"]
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    assert sorted(map(tuple, out.select("doc_id", "text", "n_words", "n_removed").collect()), key=str) == brute_passages(rows)
+    assert substring_dedup.deduplicate(odd.where("false")).count() == 0
+
+
+def test_windows_of_one_hash():
+    """Equal hashes of different windows are told apart by their words."""
+    strings = [" ".join(f"w{i + j}" for j in range(5)) for i in range(4)] + ["w0 w1 w2 w3 w4 w5"]
+    first = np.array([9, 8, 7, 6, 5])
+    plain_hash = substring_dedup.rolled
+    try:
+        for hashing in (plain_hash, lambda h, k: np.zeros(len(h), np.uint64)):
+            substring_dedup.rolled = hashing
+            got, begins = substring_dedup.firsts(strings, first, 5)
+            assert got.tolist() == [5, 5, 7, 6, 5, 5] and begins.tolist() == [0, 1, 2, 3, 4]
+    finally:
+        substring_dedup.rolled = plain_hash
+
+
+# 13 ranked search
+def brute_search(docs, items, k):
+    rows = [(d, collections.Counter(re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")))) for d, t in docs]
+    rows = [(d, c, sum(c.values())) for d, c in rows if c]
+    n_docs, n_terms, df, out = len(rows), sum(n for *_, n in rows), collections.Counter(t for _, c, _ in rows for t in c), []
+    for item, text in items:
+        own = ranked_search.terms(text)
+        scores = []
+        for d, c, n in rows:
+            m = 100 - 25 + 25 * n * n_docs // n_terms
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m)) for t in own if c[t])
+            if s:
+                scores.append((-s, d is None, d or 0, d))
+        out += [(item, i + 1, x[3], -x[0]) for i, x in enumerate(sorted(scores)[:k])]
+    return sorted(out, key=str)
+
+
+def test_search_against_brute_force(spark, docs, odd):
+    rng = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(30)] + ["é", "The", "the"]
+    pick = lambda n: " ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(len(vocabulary))], k=n))
+    rows = [(rng.choice([i, i, i, i // 2, None]), pick(rng.randrange(1, 40)) if rng.random() < 0.9 else None) for i in range(400)]
+    asked = [(i, pick(rng.randrange(9))) for i in range(12)] + [(None, "w1 w2"), (3, "w3 the"), (99, None), (3, "nowhere")]
+    items = spark.createDataFrame(asked, "item_id bigint, text string")
+    got = ranked_search.search(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), items, 5)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_search(rows, asked, 5)
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    asked = [(1, "one same text"), (2, "LONG tale of é ß x"), (3, "1 2 3 4")]
+    got = ranked_search.search(odd, spark.createDataFrame(asked, "item_id bigint, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_search(rows, asked, 20)
+    assert ranked_search.search(odd.where("false"), items).count() == 0 and ranked_search.search(docs, items.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("first_read", [1, 3, 256])
+def test_lists_are_read_until_the_best_are_known(first_read):
+    """Small impacts make ties at the last rank; blocks are searched one after another, the best so far carried along."""
+    rng = np.random.default_rng(first_read)
+    for _ in range(60):
+        held, scores, ids = (np.zeros(0), np.zeros(0, np.int64)), {}, rng.permutation(200)
+        for block in np.split(ids, 4):
+            lists = []
+            for _ in range(6):
+                at = np.flatnonzero(rng.random(50) < rng.random())
+                impact = np.sort(rng.integers(1, 6, len(at)))[::-1].astype(float)
+                lists.append((rng.permutation(at), impact))
+                for d, i in zip(block[lists[-1][0]].tolist(), impact.tolist()):
+                    scores[d] = scores.get(d, 0) + i
+            held = ranked_search.nra(lists, block, 7, held, first_read)
+        assert list(zip((-held[0]).tolist(), held[1].tolist())) == sorted((-s, d) for d, s in scores.items())[:7]

@@ -1,5 +1,6 @@
 """Helpers the operators share: per-text Arrow functions, stored frames, union-find inside tasks and across the cluster."""
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans.lineage import cut_lineage
+from tidemark.plans.lineage import checkpoint_folder, cut_lineage
 
 ID, TEXT = "doc_id", "text"
 
@@ -16,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
+    """The frame written as a table of the shared checkpoint folder and read again: evaluated once, whatever executors are lost later."""
+    at = f"{checkpoint_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def text_function(start: Callable[[], Callable[[list[str]], list[dict]]], returns: str) -> Callable[[Column], Column]:
     """A column function from a text to a struct. ``start()`` runs once in each task and gives the function of a list of texts.
 
