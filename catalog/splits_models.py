@@ -8,6 +8,7 @@ from tidemark.functions.wavelets import WAVELETS
 from tidemark.operators import clusters as C
 from tidemark.operators import detect as D
 from tidemark.operators import models as M
+from tidemark.operators import neighbours as N
 from tidemark.operators import windows as W
 from tidemark.plans.features import with_features
 
@@ -119,9 +120,18 @@ def forecast(spark, sf):
     return rounded(D.apply_threshold(scored, "error", t), ["event_id"], ["error"], ["pred"])
 
 
-@query("ml_14_local_outlier_factor")
+# the factor by comparing all pairs; the features are exact numbers in both engines, so ties are the same
+D2 = "(a.x - b.x) * (a.x - b.x) + (a.d1 - b.d1) * (a.d1 - b.d1) + (a.sd - b.sd) * (a.sd - b.sd)"
+LOF = f"""{EV}, p AS (SELECT event_id, x, coalesce(x - lag(x) OVER {o}, 0) AS d1, round(CASE WHEN count(x) OVER w30 >= 2 THEN stddev_samp(x) OVER w30 ELSE 0 END, 4) AS sd FROM ev WINDOW {over(30)}),
+kth AS (SELECT a.event_id AS id, min({D2}, 20)[20] AS k2 FROM p a JOIN p b ON a.event_id <> b.event_id GROUP BY a.event_id),
+near AS (SELECT a.event_id AS id, b.event_id AS other, sqrt({D2}) AS d FROM p a JOIN kth ON kth.id = a.event_id JOIN p b ON a.event_id <> b.event_id AND {D2} <= k2),
+lrd AS (SELECT near.id, 1 / (avg(greatest(d, sqrt(k2))) + 1e-10) AS lrd FROM near JOIN kth ON kth.id = other GROUP BY near.id)"""
+
+
+@query("ml_14_local_outlier_factor", f"WITH {LOF} SELECT near.id AS event_id, {r('avg(l.lrd) / any_value(m.lrd)')} AS lof FROM near JOIN lrd l ON l.id = other JOIN lrd m ON m.id = near.id GROUP BY near.id")
 def lof(spark, sf):
-    return rounded(M.local_outlier_factor(featured(spark, sf), ["x", "d1", "sd30"], "event_id", 20), ["event_id"], ["lof"])
+    rows = featured(spark, sf).withColumn("sd", F.round("sd30", 4))
+    return rounded(N.local_outlier_factor(rows, ["x", "d1", "sd"], 20), ["event_id"], ["lof"])
 
 
 def clustered(spark, sf):

@@ -13,6 +13,7 @@ from tidemark.functions.expanding import expanding_quantile
 from tidemark.functions.wavelets import WAVELETS, analysis_filters
 from tidemark.operators import detect as D
 from tidemark.operators import models as M
+from tidemark.operators import neighbours as N
 from tidemark.operators import signals as G
 from tidemark.operators import windows as W
 from tidemark.sources import tables as T
@@ -112,7 +113,7 @@ def test_planted_outliers_rank_first(spark):
     iso = M.isolation_outliers(df, ["a", "b"], "id", .05, trees=50, sample=128)
     assert {r.id for r in iso.orderBy(F.desc("isolation")).limit(4).collect()} == {0, 1, 2, 3}
     assert iso.agg(F.sum("outlier")).first()[0] == 20
-    lof = M.local_outlier_factor(df, ["a", "b"], "id", 20)
+    lof = N.local_outlier_factor(df, ["a", "b"], 20)
     assert {r.id for r in lof.orderBy(F.desc("lof")).limit(4).collect()} == {0, 1, 2, 3}
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) + np.diag([np.inf] * 400)
     near = np.argsort(d, 1)[:, :20]

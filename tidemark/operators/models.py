@@ -1,4 +1,4 @@
-"""Splits, Spark ML models, isolation forest, local outlier factor, scoring with saved artefacts."""
+"""Splits, Spark ML models, isolation forest, scoring with saved artefacts."""
 
 from __future__ import annotations
 
@@ -281,47 +281,6 @@ def forecast_error(df: DataFrame, spec: SeriesSpec, lags: int = 60, train: Colum
     return model.transform(rows).withColumn("error", F.abs(F.col(spec.value) - F.col("forecast"))).drop("_features")
 
 
-def local_outlier_factor(df: DataFrame, features: Sequence[str], key: str, neighbours: int = 20, sample: int = 5000, seed: int = 42) -> DataFrame:
-    """Local outlier factor of every row against a random reference sample, as the analysis it serves draws one.
-
-    The sample (at most ``sample`` rows by hash order) is broadcast; every row of the frame is then scored where it lies.
-    A sampled row does not count itself.
-    """
-    names = list(features)
-    rows = df.na.drop(subset=names)
-    ref = rows.select(key, *[F.col(c).cast("double").alias(c) for c in names]).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(sample).toPandas()
-    points, ids = ref[names].to_numpy(), ref[key].to_numpy()
-    k = min(neighbours, len(points) - 1)
-
-    def nearest(block, own=None):
-        d = np.sqrt(np.maximum((block ** 2).sum(1)[:, None] + (points ** 2).sum(1)[None, :] - 2 * block @ points.T, 0))
-        if own is not None:
-            d[own[:, None] == ids[None, :]] = np.inf
-        at = np.argpartition(d, k - 1, axis=1)[:, :k]
-        return at, np.take_along_axis(d, at, axis=1)
-
-    reach, density = np.empty(len(points)), np.empty(len(points))
-    found = [nearest(points[i:i + 500], ids[i:i + 500]) for i in range(0, len(points), 500)]
-    at, dist = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-    reach = dist.max(axis=1)
-    density = 1.0 / (np.maximum(dist, reach[at]).mean(axis=1) + 1e-10)
-    shared = df.sparkSession.sparkContext.broadcast((points, ids, reach, density))
-
-    @F.pandas_udf(T.DoubleType())
-    def factor(batch: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        _, _, reach_, density_ = shared.value
-        for own, *columns in batch:
-            x, own = np.column_stack([c.to_numpy(dtype=float) for c in columns]), own.to_numpy()
-            out = np.empty(len(x))
-            for i in range(0, len(x), 500):
-                a, d = nearest(x[i:i + 500], own[i:i + 500])
-                mine = 1.0 / (np.maximum(d, reach_[a]).mean(axis=1) + 1e-10)
-                out[i:i + 500] = density_[a].mean(axis=1) / mine
-            yield pd.Series(out)
-
-    return rows.withColumn("lof", factor(F.col(key), *[F.col(c).cast("double") for c in names]))
-
-
 def compare_wavelets(df: DataFrame, spec: SeriesSpec, wavelets: Sequence[str], size: int = 100, step: int = 10, train: float = 0.7) -> DataFrame:
     """Area under the ROC curve of an isolation forest on wavelet features, fitted on the first share of each series."""
     windows = sliding_windows(df, spec, size, step).select(*spec.keys, "win", "values", "start_idx")
