@@ -558,8 +558,8 @@ def brute_passages(rows, k=13):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block_chars,bucket_windows", [(substring_dedup.BLOCK_CHARS, substring_dedup.BUCKET_WINDOWS), (500, 20)])
-def test_passages_against_brute_force(spark, block_chars, bucket_windows):
+@pytest.mark.parametrize("block_bytes,bucket_windows", [(substring_dedup.BLOCK_BYTES, substring_dedup.BUCKET_WINDOWS), (500, 20)])
+def test_passages_against_brute_force(spark, block_bytes, bucket_windows):
     """Shared passages in very many documents, so that small buckets are hot and split; ids that are null or repeated."""
     rng = random.Random(1)
     passages = [[rng.choice("a b c d e f the of".split()) for _ in range(60)] for _ in range(6)]
@@ -570,7 +570,7 @@ def test_passages_against_brute_force(spark, block_chars, bucket_windows):
             at = rng.randrange(40)
             w += rng.choice(passages)[at:at + rng.randrange(25)] + [rng.choice("uvwé")] * rng.randrange(3)
         rows.append((rng.choice([i, i, i, i // 2, None]), rng.choice([" ", "\n", "  "]).join(w) if rng.random() < 0.95 else None))
-    got = substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string"), block_chars=block_chars, bucket_windows=bucket_windows)
+    got = substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string"), block_bytes=block_bytes, bucket_windows=bucket_windows)
     assert sorted(map(tuple, got.collect()), key=str) == brute_passages(rows)
 
 
@@ -585,7 +585,7 @@ def test_passages_of_odd_rows(spark, odd):
 
 def test_windows_of_one_hash():
     """Equal hashes of different windows are told apart by their words."""
-    strings = [" ".join(f"w{i + j}" for j in range(5)) for i in range(4)] + ["w0 w1 w2 w3 w4 w5"]
+    strings = [" ".join(f"w{i + j}" for j in range(5)).encode() for i in range(4)] + [b"w0 w1 w2 w3 w4 w5"]
     first = np.array([9, 8, 7, 6, 5])
     plain_hash = substring_dedup.rolled
     try:

@@ -29,12 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import TEXT, text_function
-from .substring_dedup import Codes
 
 WORDS = re.compile("[^ \t-\r]+")
 MIN_LENGTH, EXPONENT, BLOCK_WORDS = 6, 4, 200_000
 
 
+class Codes(dict):
+    """Numbers of words in the order of their first sight."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        return code
+
+
 def ranked(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Ranks from 1 of pairs, in their order."""
     return np.unique(first * (int(second.max(initial=0)) + 1) + second, return_inverse=True)[1].astype(np.int64) + 1
