@@ -148,3 +148,25 @@ def test_index_is_dense_with_a_hot_series(spark):
     df = events(spark).withColumn("s", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("s")))
     got = index_rows(df, SPEC.chunked(60, 8)).groupBy("s").agg(F.count("*").alias("n"), F.countDistinct("idx").alias("d"), F.max("idx").alias("m")).collect()
     assert all(r.n == r.d == r.m + 1 for r in got)
+
+
+@pytest.mark.parametrize("ties", ["distinct", "equal", "text"])
+def test_bursts_are_split(spark, ties):
+    """Nearly all rows at one instant: chunks stay small, and nothing changes but the order of rows equal in everything."""
+    n, t0 = 6001, dt.datetime(2024, 1, 1)
+    rows = [("a", t0 + dt.timedelta(days=i == n - 1, microseconds=i // 4000), 5 if ties == "equal" else (i * 7919) % n, float(i % 97)) for i in range(n)]
+    df = spark.createDataFrame(rows, "s string, ts timestamp_ntz, id bigint, x double")
+    if ties == "text":
+        df = df.withColumn("id", F.format_string("k%06d", "id"))
+    spec = SPEC.chunked(1000, 150)
+    laid = lay_out(df, spec, back=20, fwd=20)
+    sizes = [r["count"] for r in laid.df.groupBy(*laid.part).count().collect()]
+    cell = 2 * spec.cell_rows
+    assert max(sizes) <= 1000 + 40 + 3 * cell and sum(sizes) <= n + len(sizes) * (40 + 2 * cell) and len(sizes) >= 5
+    f = {"m": R.rolling_mean("x", 9, 1), "next": R.lead("x", 2), "ema": S.ewm_mean("x", .3)}
+    got = with_features(df, spec, f, index=True)
+    assert sorted(r["idx"] for r in got.select("idx").collect()) == list(range(n)) and set(got.columns) == {*df.columns, *f, "idx"}
+    if ties != "equal":
+        a, b = (x.orderBy("id").select("idx", *f).collect() for x in (with_features(df, SPEC, f, index=True), got))
+        for c in ("idx", *f):
+            close([r[c] for r in b], [r[c] for r in a], 1e-9)

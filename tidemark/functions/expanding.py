@@ -23,7 +23,7 @@ def expanding_quantile(col: str, q: float, m: int = 1) -> Feature:
 
 
 def _expand(laid: Laid, name: str, col: str, q: float, m: int) -> Laid:
-    order, schema = laid.spec.order, T.StructType([*laid.df.schema.fields, T.StructField(name, T.DoubleType())])
+    order, schema = laid.order, T.StructType([*laid.df.schema.fields, T.StructField(name, T.DoubleType())])
     if not laid.is_chunked:
         def whole(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(order, kind="stable")

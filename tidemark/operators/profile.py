@@ -126,7 +126,7 @@ def autocorrelation(df: DataFrame, spec: SeriesSpec, lags: int = 50) -> DataFram
     rows = attach_group_stats(df.select(*spec.keys, *spec.order, x), spec.keys, [F.avg(x).alias("_mu")])
     laid = lay_out(rows, spec, back=lags)
     own = laid.df.withColumn("_own", laid.own)
-    keys, order = list(spec.keys), spec.order
+    keys, order = list(spec.keys), laid.order
     schema = T.StructType([*df.select(*keys).schema, T.StructField("lag", T.IntegerType()), T.StructField("_s", T.DoubleType())])
 
     def products(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .series import CHUNK, HOME, IDX, START, Laid, SeriesSpec, chunk_rate, lay_out_at, null_safe_join
+from .series import CHUNK, HOME, IDX, START, Laid, SeriesSpec, chunk_rate, lay_out_at, null_safe_join, split_bursts
 
 
 @dataclass(frozen=True)
@@ -107,6 +107,7 @@ def _evaluate(df: DataFrame, spec: SeriesSpec, features: Mapping[str, Feature],
     _plan(features)  # a wrong declaration is refused in every layout
     rate, rest, given = chunk_rate(df, spec), dict(features), df.columns
     if rate is not None:
+        df = split_bursts(df, spec, rate)
         rest = _with_filled_inputs(rest)
         while stage := _first_stage(rest):
             df = _carried(df, spec, {n: rest[n] for n in stage}, rate)
@@ -177,7 +178,7 @@ def _carried(df: DataFrame, spec: SeriesSpec, stage: Mapping[str, Feature], rate
     own = laid.df.filter(laid.own)
     if not states:
         return own.drop(CHUNK, HOME, START)
-    keys, order, part = list(spec.keys), spec.order, list(laid.part)
+    keys, order, part = list(spec.keys), laid.order, list(laid.part)
     inputs = {n: f.inputs[0] for n, f in states.items()}
     carry = {n: f.carry for n, f in states.items()}
     kept = [f for f in own.schema.fields if f.name in part]
@@ -205,7 +206,7 @@ def _carried(df: DataFrame, spec: SeriesSpec, stage: Mapping[str, Feature], rate
 
 def _pandas_level(laid: Laid, batch: Mapping[str, Feature]) -> DataFrame:
     """One Arrow pass per (keys, chunk); the group is bounded by ``chunk_rows`` plus its halo."""
-    order = laid.spec.order
+    order = laid.order
     part = list(laid.part)
     schema = T.StructType(laid.df.schema.fields
                           + [T.StructField(n, T._parse_datatype_string(f.dtype)) for n, f in batch.items()])

@@ -9,6 +9,9 @@ measures the largest series (one aggregate row comes back to the driver) and the
   a prefix sum of those counts gives each cell its row offset, cells are packed into chunks of about
   ``chunk_rows`` rows, and the cells within ``back``/``fwd`` rows of a chunk are sent to it as well (the
   *halo*).  Every bounded frame is then exact inside ``(keys, chunk)`` and halo rows are dropped at the end.
+
+A burst is a cell with far more rows than a cell should have. Rows of such cells are sorted across the cluster by ``(ts, *tie)`` and cut
+into sub-cells of the wanted size, at one instant and for equal ties too (those in any, but one, order). The rows are then stored once.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK, HOME, START, IDX = "_chunk", "_home", "_start", "idx"
+from .lineage import cut_lineage
+
+CHUNK, HOME, START, SUB, IDX = "_chunk", "_home", "_start", "_sub", "idx"
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -102,12 +107,17 @@ class Laid:
     fwd: int = 0
     part: list[str] = field(default_factory=list)
 
+    @property
+    def order(self) -> list[str]:
+        """Rows equal in ``(ts, *tie)`` may lie in several sub-cells of a burst; their cells' offsets keep these in order."""
+        return [*self.spec.order, START] if self.is_chunked else self.spec.order
+
     def ordered(self) -> WindowSpec:
-        return Window.partitionBy(*self.part).orderBy(*self.spec.order)
+        return Window.partitionBy(*self.part).orderBy(*self.order)
 
     def reverse(self) -> WindowSpec:
         """The same rows from the end of the series to its start."""
-        return Window.partitionBy(*self.part).orderBy(*[F.col(c).desc_nulls_last() for c in self.spec.order])
+        return Window.partitionBy(*self.part).orderBy(*[F.col(c).desc_nulls_last() for c in self.order])
 
     def rows(self, lo: int, hi: int) -> WindowSpec:
         return self.ordered().rowsBetween(lo, hi)
@@ -130,7 +140,7 @@ class Laid:
 
     def done(self) -> DataFrame:
         df = self.df.filter(self.own) if self.is_chunked else self.df
-        return df.drop(CHUNK, HOME, START)
+        return df.drop(CHUNK, HOME, START, SUB)
 
 
 def measure(df: DataFrame, spec: SeriesSpec) -> tuple[int, float]:
@@ -149,13 +159,35 @@ def chunk_rate(df: DataFrame, spec: SeriesSpec) -> float | None:
     return None if spec.mode == "auto" and spec.keys and longest <= spec.chunk_rows else rate
 
 
+def _cells(df: DataFrame, spec: SeriesSpec, rate: float) -> DataFrame:
+    return df.withColumn("_cell", F.floor(micros(df, spec.ts) / max(1, int(spec.cell_rows / rate))))
+
+
+def split_bursts(df: DataFrame, spec: SeriesSpec, rate: float | None) -> DataFrame:
+    """The frame with a number ``_sub`` for each row of cells with more than twice their rows (0 for others); as it is if there are none."""
+    if rate is None or SUB in df.columns:
+        return df
+    keys, most = list(spec.keys), max(1, min(2 * spec.cell_rows, spec.chunk_rows))
+    rows = _cells(df, spec, rate)
+    crowded = rows.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
+    crowded = cut_lineage(crowded)  # at most one in ``most`` of the rows
+    n = crowded.agg(F.sum("_n")).first()[0]
+    if not n:
+        return df
+    marked = null_safe_join(rows, crowded, [*keys, "_cell"])
+    dealt = marked.filter("_n is not null").repartitionByRange(max(1, -(-n // spec.cell_rows)), *keys, "_cell", *spec.order, F.monotonically_increasing_id())
+    calm = marked.filter("_n is null").withColumn(SUB, F.lit(0))
+    return cut_lineage(calm.unionByName(dealt.withColumn(SUB, F.spark_partition_id())).drop("_cell", "_n"))
+
+
 def lay_out(df: DataFrame, spec: SeriesSpec, back: int = 0, fwd: int = 0) -> Laid:
     """Chooses whole or chunked layout (see module docstring) with the given halo."""
-    return lay_out_at(df, spec, chunk_rate(df, spec), back, fwd)
+    rate = chunk_rate(df, spec)
+    return lay_out_at(split_bursts(df, spec, rate), spec, rate, back, fwd)
 
 
 def lay_out_at(df: DataFrame, spec: SeriesSpec, rate: float | None, back: int = 0, fwd: int = 0) -> Laid:
-    """The layout for a rate that is already known; stages that keep the rows share one measurement."""
+    """The layout for a rate that is already known, bursts split; stages that keep the rows share one measurement."""
     if rate is None:
         return Laid(df, spec, False, back, fwd, list(spec.keys))
     return _chunk(df, spec, rate, back, fwd)
@@ -163,10 +195,17 @@ def lay_out_at(df: DataFrame, spec: SeriesSpec, rate: float | None, back: int =
 
 def _chunk(df: DataFrame, spec: SeriesSpec, rate: float, back: int, fwd: int) -> Laid:
     keys, size = list(spec.keys), spec.chunk_rows
-    width = max(1, int(spec.cell_rows / rate))
-    rows = df.withColumn("_cell", F.floor(micros(df, spec.ts) / width))
-    cells = rows.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    cells = prefix_sum(cells, keys, "_cell", "_n", START)
+    rows, at = _cells(df, spec, rate), ["_cell"]
+    if SUB in df.columns:
+        at = ["_cell", SUB]
+    cells = rows.groupBy(*keys, *at).agg(F.count(F.lit(1)).alias("_n"))
+    if SUB in df.columns:
+        inside = Window.partitionBy(*keys, "_cell").orderBy(SUB)  # sub-cells of one cell, a row for each
+        sums = prefix_sum(cells.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_n")), keys, "_cell", "_n", START).drop("_n")
+        cells = cells.withColumn("_before", F.sum("_n").over(inside) - F.col("_n"))
+        cells = null_safe_join(cells, sums, [*keys, "_cell"]).withColumn(START, F.col(START) + F.col("_before")).drop("_before")
+    else:
+        cells = prefix_sum(cells, keys, "_cell", "_n", START)
     end = F.col(START) + F.col("_n")
     home = F.floor(F.col(START) / size)
     last = F.floor((end + back - 1) / size)
@@ -176,9 +215,9 @@ def _chunk(df: DataFrame, spec: SeriesSpec, rate: float, back: int, fwd: int) ->
         cells = null_safe_join(cells, cells.groupBy(*keys).agg(F.max("_n").alias("_widest")), keys) if keys else \
             cells.crossJoin(F.broadcast(cells.agg(F.max("_n").alias("_widest"))))
         first = F.floor(F.greatest(F.lit(0), F.col(START) - fwd - widest) / size)
-    targets = cells.select(*keys, "_cell", F.col(START), home.alias(HOME),
+    targets = cells.select(*keys, *at, F.col(START), home.alias(HOME),
                            F.explode(F.sequence(first, last)).alias(CHUNK))
-    laid = null_safe_join(rows, targets, [*keys, "_cell"], "inner").drop("_cell")
+    laid = null_safe_join(rows, targets, [*keys, *at], "inner").drop("_cell")
     return Laid(laid, spec, True, back, fwd, [*keys, CHUNK])
 
 
