@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import random
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,7 @@ from ..plans.series import IDX, SeriesSpec, index_rows, null_safe_join
 from ..plans.stats import SMALL_GROUP, attach_group_stats, one_row, quantiles
 from . import evaluate as E
 from .detect import apply_threshold, percentile_threshold
-from .signals import standardise, wavelet_features
+from .signals import feature_names, standardise, wavelet_features
 from .windows import sequences, sliding_windows
 
 # ---- splits ---------------------------------------------------------------------------------------------
@@ -181,18 +183,18 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], key: str, trees
 
     The forest (at most ``trees * 2 * sample`` nodes) is returned as arrays for broadcasting.
     """
-    rows = df.select(key, *[F.col(f).cast("double").alias(f) for f in features]).na.drop()
+    # one array: a null check on each of many renamed columns takes the optimiser very long
+    rows = df.select(key, F.array(*[F.col(f).cast("double") for f in features]).alias("_x")).filter(~F.exists("_x", lambda v: v.isNull() | F.isnan(v)))
     # every row is dealt to one bucket a round, a bucket is a tree's draw: one hash per row as soon as there are as many buckets as trees
     buckets = max(1, int(rows.count() / (1.3 * sample)))
     rounds = -(-trees // buckets)
     draw = F.array(*[F.lit(r * buckets) + F.pmod(F.xxhash64(F.col(key), F.lit(r), F.lit(seed)), F.lit(buckets)) for r in range(rounds)])
     drawn = rows.withColumn("tree", F.explode(F.transform(draw, lambda t: t.cast("int")))).filter(F.col("tree") < trees).withColumn("_order", F.xxhash64(F.col(key), F.col("tree")))
-    names = list(features)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.nsmallest(sample, "_order")
         t = int(pdf["tree"].iloc[0])
-        return _grow(t, pdf[names].to_numpy(), np.random.default_rng(seed * 100_003 + t), int(np.ceil(np.log2(max(2, len(pdf))))))
+        return _grow(t, np.stack(pdf["_x"].to_numpy()), np.random.default_rng(seed * 100_003 + t), int(np.ceil(np.log2(max(2, len(pdf))))))
 
     nodes = drawn.groupBy("tree").applyInPandas(grow, NODE).toPandas().sort_values(["tree", "node"])
     return [g[["feature", "threshold", "left", "right", "size"]].to_numpy() for _, g in nodes.groupby("tree")]
@@ -288,19 +290,17 @@ def compare_wavelets(df: DataFrame, spec: SeriesSpec, wavelets: Sequence[str], s
     windows = null_safe_join(windows.withColumn("centre", F.col("start_idx") + size // 2), labels, [*spec.keys, "centre"])
     windows = attach_group_stats(windows, spec.keys, [F.max("centre").alias("_last")])
     windows = windows.withColumn("is_train", F.col("centre") < train * F.col("_last")).withColumn("wid", F.xxhash64(*spec.keys, "win")).drop("_last")
-    windows = cut_lineage(windows)
-    out = []
-    for name in wavelets:
-        f = wavelet_features(windows, size, name, keep=["wid", "label", "is_train"])
-        names = [c for c in f.columns if c not in ("wid", "label", "is_train")]
-        f = standardise(f.fillna(0.0), names, train=F.col("is_train"))
-        forest = fit_isolation_forest(f.filter("is_train"), names, "wid")
-        held = isolation_scores(f.filter("not is_train"), forest, names)
-        out.append(E.roc_auc(held, "label", "isolation").select(F.lit(name).alias("wavelet"), "roc_auc"))
-    result = out[0]
-    for o in out[1:]:
-        result = result.unionByName(o)
-    return result
+    windows, names = cut_lineage(windows), feature_names()
+    every = [wavelet_features(windows, size, name, keep=["wid", "label", "is_train"]).withColumn("wavelet", F.lit(name)) for name in wavelets]
+    table = cut_lineage(standardise(functools.reduce(DataFrame.unionByName, every).fillna(0.0, names), names, ["wavelet"], train=F.col("is_train")))
+
+    def held_out(name: str) -> DataFrame:
+        mine = table.filter(F.col("wavelet") == name)
+        return isolation_scores(mine.filter("not is_train"), fit_isolation_forest(mine.filter("is_train"), names, "wid"), names)
+
+    with ThreadPoolExecutor(max(1, len(wavelets))) as pool:  # small forests: their jobs share the cluster
+        scored = list(pool.map(held_out, wavelets))
+    return functools.reduce(DataFrame.unionByName, [E.roc_auc(s, "label", "isolation").select(F.lit(n).alias("wavelet"), "roc_auc") for n, s in zip(wavelets, scored)])
 
 
 # ---- artefacts and batch scoring ----------------------------------------------------------------------------------

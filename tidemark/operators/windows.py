@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
-from ..plans.features import Feature, carry_last, scalar, with_features
-from ..plans.series import IDX, SeriesSpec, index_rows, micros, null_safe_join
+from ..functions.scalars import bind
+from ..plans.features import Feature, carry_last, running_sum, scalar, with_features
+from ..plans.series import IDX, SeriesSpec, index_rows, lay_out, micros, null_safe_join
 from ..plans.stats import attach_group_stats
 
 
@@ -55,31 +56,35 @@ def sequences(df: DataFrame, spec: SeriesSpec, size: int, columns: Sequence[str]
     return with_features(df, spec, f).filter(F.size(f"{columns[0]}_seq") == size)
 
 
-def window_members(df: DataFrame, size: int, step: int) -> DataFrame:
-    """Repeats each indexed row once per count window (``win`` covers ``[win*step, win*step+size)``) that holds it."""
-    first = F.greatest(F.lit(0), F.ceil((F.col(IDX) - (size - 1)) / step)).cast("long")
-    last = F.floor(F.col(IDX) / step).cast("long")
-    return df.withColumn("win", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
-
-
 def sliding_windows(df: DataFrame, spec: SeriesSpec, size: int, step: int, normalise: bool = False,
                     keep_label: bool = False) -> DataFrame:
     """Complete windows of ``size`` rows every ``step`` rows, as one ordered array per window.
 
     ``normalise`` z-scales each window with its population deviation (an almost constant window becomes zeros).
+
+    Rows are collected once, in blocks of ``step``; a window joins the blocks it covers, in the layout the rows already have, so no
+    row is sent or sorted more than once (apart from the halo of a chunk).
     """
-    narrow = [*spec.keys, *spec.order, spec.value, *([spec.label] if spec.label else [])]
-    rows = window_members(index_rows(df.select(*dict.fromkeys(narrow)), spec), size, step)
-    aggs = [F.array_sort(F.collect_list(F.struct(IDX, F.col(spec.value).alias("v")))).alias("_rows"),
-            F.min(IDX).alias("start_idx"), F.min(spec.ts).alias("start_ts"), F.max(spec.ts).alias("end_ts"),
-            F.avg(spec.value).alias("mean"), F.stddev_pop(spec.value).alias("sd")]
-    if keep_label and spec.label:
-        aggs.append(F.max(spec.label).alias("label"))
-    out = rows.groupBy(*spec.keys, "win").agg(*aggs).filter(F.size("_rows") == size)
-    values = F.transform("_rows", lambda p: p["v"])
+    label = [spec.label] if keep_label and spec.label else []
+    laid = lay_out(df.select(*dict.fromkeys([*spec.keys, *spec.order, spec.value, *label])), spec, fwd=size - 1).with_index()
+    row = F.struct(IDX, F.col(spec.value).alias("v"), F.col(spec.ts).alias("t"), laid.own.alias("own"), *([F.col(spec.label).alias("y")] if label else []))
+    rows = laid.df.withColumn("win", F.floor(F.col(IDX) / step)).filter(F.col(IDX) - F.col("win") * step < size)
+    blocks = rows.groupBy(*laid.part, "win").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    ahead = Window.partitionBy(*laid.part).orderBy("win").rowsBetween(0, -(-size // step) - 1)
+    first = F.col("_rows")[0]
+    starts = blocks.withColumn("_rows", F.slice(F.flatten(F.collect_list("_rows").over(ahead)), 1, size))
+    starts = starts.filter((F.size("_rows") == size) & first["own"] & (first[IDX] == F.col("win") * step))
+    out = starts.select(*spec.keys, "win", F.transform("_rows", lambda p: p["v"]).alias("values"), first[IDX].alias("start_idx"), first["t"].alias("start_ts"), F.col("_rows")[size - 1]["t"].alias("end_ts"),
+                        *([F.array_max(F.transform("_rows", lambda p: p["y"])).alias("label")] if label else []))
+    total = lambda values, of: F.aggregate(values, F.lit(0.0), lambda a, v: a + of(v))
+    known = F.transform(F.filter("values", lambda v: v.isNotNull()), lambda v: v.cast("double"))
+    spread = lambda x, m: F.sqrt(F.try_divide(total(x, lambda v: (v - m) * (v - m)), F.size(x)))
+    stats = bind(known, lambda x: bind(F.try_divide(total(x, lambda v: v), F.size(x)), lambda m: F.struct(m.alias("mean"), spread(x, m).alias("sd"))))
     if normalise:
-        values = F.transform("_rows", lambda p: F.when(F.col("sd") < 1e-6, F.lit(0.0)).otherwise((p["v"] - F.col("mean")) / F.col("sd")))
-    return out.withColumn("values", values).drop("_rows")
+        scaled = lambda s: F.transform("values", lambda v: F.when(s["sd"] < 1e-6, F.lit(0.0)).otherwise((v - s["mean"]) / s["sd"]))
+        stats = bind(stats, lambda s: F.struct(s["mean"].alias("mean"), s["sd"].alias("sd"), scaled(s).alias("values")))
+    out = out.withColumn("_stats", stats).withColumns({c: F.col("_stats")[c] for c in ("mean", "sd", *(["values"] if normalise else []))})
+    return out.select(*spec.keys, "win", "start_idx", "start_ts", "end_ts", "mean", "sd", *(["label"] if label else []), "values")
 
 
 def time_window_members(df: DataFrame, spec: SeriesSpec, size_seconds: float | None, overlap: float = 0.5,
@@ -115,16 +120,16 @@ def time_windows(df: DataFrame, spec: SeriesSpec, size_seconds: float | None = N
 
 
 def mark_flagged_points(df: DataFrame, spec: SeriesSpec, flagged: DataFrame, size: int, step: int) -> DataFrame:
-    """1 for every row inside at least one flagged count window (``flagged`` holds keys and ``win``)."""
-    rows = window_members(index_rows(df, spec), size, step)
-    hits = _semi(rows, flagged, [*spec.keys, "win"]).select(*spec.keys, IDX).distinct().withColumn("_hit", F.lit(1))
-    base = index_rows(df, spec)
-    return null_safe_join(base, hits, [*spec.keys, IDX]).withColumn("flagged", F.coalesce("_hit", F.lit(0))).drop("_hit")
+    """1 for every row inside at least one flagged count window (``flagged`` holds keys and ``win``).
 
-
-def _semi(rows: DataFrame, flagged: DataFrame, on: list[str]) -> DataFrame:
-    right = flagged.select(*[F.col(c).alias(f"_right_{c}") for c in on]).distinct()
-    return rows.join(right, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on], "left_semi")
+    A window opens at its first row and closes behind its last; a running sum of these events counts the windows open at a row.
+    """
+    win = flagged.select(*spec.keys, "win").distinct()
+    events = win.select(*spec.keys, (F.col("win") * step).alias(IDX), F.lit(1).alias("_event")).union(win.select(*spec.keys, F.col("win") * step + size, F.lit(-1)))
+    events = events.groupBy(*spec.keys, IDX).agg(F.sum("_event").alias("_event"))
+    rows = null_safe_join(index_rows(df, spec), events, [*spec.keys, IDX])
+    out = with_features(rows, spec, {"flagged": running_sum(F.coalesce("_event", F.lit(0)), "_event")}, index=True)
+    return out.withColumn("flagged", (F.col("flagged") > 0).cast("int")).drop("_event")
 
 
 def rolling_performance(df: DataFrame, spec: SeriesSpec, pred: str, size: int = 1000, step: int = 100) -> DataFrame:
