@@ -2,6 +2,11 @@
 
 State is keyed by series, rows of a micro-batch are put in (ts, tie) order before they touch it, and every stateful output is
 append-only, so a restarted query continues from its checkpoint without repeating or losing rows.
+
+With ``late`` (an interval such as "10 minutes") rows may also come late across micro-batches: they wait in the state, sorted, until the
+watermark has passed them, so a shuffled replay gives what one batch gives. The event-time timer of a series lets its rows go when no
+more come. Rows behind the watermark are dropped by Spark and counted (``late_rows``). Without ``late`` arrival order is trusted
+across micro-batches.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +34,57 @@ def _ordered(batches: Iterator[pd.DataFrame], spec: SeriesSpec) -> pd.DataFrame
     return pd.concat(parts, ignore_index=True).sort_values(spec.order, kind="stable").reset_index(drop=True) if parts else None
 
 
+MILLIS = "_millis"
+
+
+def _pickled(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _keyed(stream: DataFrame, spec: SeriesSpec, schema: T.StructType, saved: T.StructType, start: tuple, advance: Callable, late: str | None) -> DataFrame:
+    """Runs ``advance(key, state, ordered rows) -> (state, result rows)`` over every series, from the state ``start``."""
+    if late is None:
+        def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
+            rows = _ordered(batches, spec)
+            if rows is None:
+                return
+            after, out = advance(key, state.get if state.exists else start, rows)
+            state.update(after)
+            yield out
+
+        return stream.groupBy(*spec.keys).applyInPandasWithState(step, schema, saved, "append", GroupStateTimeout.NoTimeout)
+
+    def in_time(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        *inner, waiting = state.get if state.exists else (*start, None)
+        held = [] if waiting is None else [pa.ipc.open_stream(waiting).read_pandas()]
+        rows = _ordered([*held, *batches], spec)
+        if rows is None:
+            return
+        watermark = state.getCurrentWatermarkMs()
+        ready = rows[MILLIS] <= watermark
+        later = rows[~ready]
+        if ready.any():
+            inner, out = advance(key, tuple(inner), rows[ready].reset_index(drop=True))
+            yield out
+        state.update((*inner, _pickled(later) if len(later) else None))
+        if len(later):
+            state.setTimeoutTimestamp(max(int(later[MILLIS].iloc[0]), watermark) + 1)
+
+    timed = event_time(stream, spec.ts).withColumn(MILLIS, F.unix_millis(spec.ts)).withWatermark(spec.ts, late)
+    saved = T.StructType([*saved.fields, T.StructField("waiting", T.BinaryType())])
+    schema = T.StructType([timed.schema[f.name] if f.name == spec.ts else f for f in schema.fields])
+    return timed.groupBy(*spec.keys).applyInPandasWithState(in_time, schema, saved, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def late_rows(query) -> int:
+    """Rows a finished streaming query has dropped because the watermark had passed them."""
+    return sum(int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators)
+
+
 # ---- features and scores --------------------------------------------------------------------------------
 
 def moving(stat: str, col: str, w: int, m: int | None = None) -> Feature:
@@ -57,7 +114,7 @@ def _buffer_rows(features: Mapping[str, Feature]) -> int:
     return max(reach.values(), default=0)
 
 
-def stream_features(stream: DataFrame, spec: SeriesSpec, features: Mapping[str, Feature], at_most: int | None = None) -> DataFrame:
+def stream_features(stream: DataFrame, spec: SeriesSpec, features: Mapping[str, Feature], at_most: int | None = None, late: str | None = None) -> DataFrame:
     """Evaluates pandas-kind features over a bounded buffer of the latest values of each series.
 
     The buffer holds exactly as many rows as the longest chain of features looks back (or ``at_most``), so the results equal the
@@ -68,27 +125,22 @@ def stream_features(stream: DataFrame, spec: SeriesSpec, features: Mapping[str,
     schema = T.StructType([*stream.schema.fields, T.StructField(IDX, T.LongType()), *[T.StructField(n, T.DoubleType()) for n in shown]])
     columns, fns, value = stream.columns, {n: f.build for n, f in features.items()}, spec.value
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        rows = _ordered(batches, spec)
-        if rows is None:
-            return
-        seen, buffer = state.get if state.exists else (0, [])
+    def advance(key, state, rows: pd.DataFrame):
+        seen, buffer = state
         old = len(buffer)
         values = np.concatenate([np.array(buffer, dtype=float), rows[value].to_numpy(dtype=float, na_value=np.nan)])
         work = pd.DataFrame({value: values, IDX: np.arange(seen - old, seen + len(rows))})
         for name, fn in fns.items():
             work[name] = fn(work)
-        state.update((seen + len(rows), [float(v) for v in (values[-keep:] if keep else [])]))
         out = rows[columns].copy()
         for name in [IDX, *shown]:
             out[name] = work[name].to_numpy()[old:]
-        yield out
+        return (seen + len(rows), [float(v) for v in (values[-keep:] if keep else [])]), out
 
-    return stream.groupBy(*spec.keys).applyInPandasWithState(step, schema, T.StructType([T.StructField("seen", T.LongType()), T.StructField("buffer", T.ArrayType(T.DoubleType()))]),
-                                                             "append", GroupStateTimeout.NoTimeout)
+    return _keyed(stream, spec, schema, T.StructType([T.StructField("seen", T.LongType()), T.StructField("buffer", T.ArrayType(T.DoubleType()))]), (0, []), advance, late)
 
 
-def score_points(stream: DataFrame, spec: SeriesSpec, scorer: Callable[[np.ndarray], float], window: int, threshold: float) -> DataFrame:
+def score_points(stream: DataFrame, spec: SeriesSpec, scorer: Callable[[np.ndarray], float], window: int, threshold: float, late: str | None = None) -> DataFrame:
     """Scores each point from the last ``window`` values; NULL (and no alarm) until the buffer is full."""
     def apply(pdf: pd.DataFrame) -> pd.Series:
         x = pdf[spec.value].to_numpy(dtype=float)
@@ -97,7 +149,7 @@ def score_points(stream: DataFrame, spec: SeriesSpec, scorer: Callable[[np.ndarr
             out[i] = scorer(x[i - window + 1:i + 1])
         return pd.Series(out)
 
-    scored = stream_features(stream, spec, {"score": Feature(apply, (spec.value,), back=window - 1, kind="pandas")})
+    scored = stream_features(stream, spec, {"score": Feature(apply, (spec.value,), back=window - 1, kind="pandas")}, late=late)
     return scored.withColumn("alarm", F.when(F.col("score") > threshold, 1).otherwise(0))
 
 
@@ -108,19 +160,21 @@ def running_totals(stream: DataFrame, keys: list[str], alarm: str) -> DataFrame:
 
 # ---- tail threshold ----------------------------------------------------------------------------------------
 
-def fit_tail(peaks: np.ndarray) -> tuple[float, float]:
+def fit_tail(peaks: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, float]:
     """Shape and scale of the excesses: best stationary point of the one-parameter likelihood, or the exponential tail."""
     y = np.asarray(peaks, dtype=float)
-    best = (-math.log(y.mean()) - 1, 0.0, float(y.mean()))
-    sides = [np.linspace(-1 / y.max() + 1e-8, -1e-8, 64), np.geomspace(1e-8, max(2 * (y.mean() - y.min()) / max(y.min(), 1e-12) ** 2, 1e-7), 64)]
+    mean = lambda x: np.average(x, axis=-1, weights=weights)
+    centre = float(mean(y))
+    best = (-math.log(centre) - 1, 0.0, centre)
+    sides = [np.linspace(-1 / y.max() + 1e-8, -1e-8, 64), np.geomspace(1e-8, max(2 * (centre - y.min()) / max(y.min(), 1e-12) ** 2, 1e-7), 64)]
     for grid in sides:
         for _ in range(5):
             grown = 1 + grid[:, None] * y[None, :]
-            shape = np.log(grown).mean(axis=1)
+            shape = mean(np.log(grown))
             with np.errstate(divide="ignore", invalid="ignore"):
                 level = np.where(shape / grid > 0, -np.log(shape / grid) - shape - 1, -np.inf)
             i = int(np.argmax(level))
-            balance = (1 / grown[i]).mean() * (1 + shape[i]) - 1
+            balance = mean(1 / grown[i]) * (1 + shape[i]) - 1
             found = (level[i], float(shape[i]), float(shape[i] / grid[i]))
             lo, hi = grid[max(i - 1, 0)], grid[min(i + 1, len(grid) - 1)]
             grid = np.linspace(lo, hi, 64) if lo < 0 else np.geomspace(lo, hi, 64)
@@ -129,82 +183,111 @@ def fit_tail(peaks: np.ndarray) -> tuple[float, float]:
     return best[1], best[2]
 
 
+class Tail:
+    """Excesses in a space that doesn't grow: counts and sums on a logarithmic scale of ``STEPS`` steps an octave.
+
+    A step is known by its count and mean, so the mean of all is exact; a step's values differ by at most 1.1 %, so the mean of their
+    logarithms, which the fit reads, is off by less than 2e-5. Two summaries are merged by adding them.
+    Excesses below 2**-40 or from 2**40 on share the outermost steps."""
+
+    STEPS, OCTAVES = 64, 80
+
+    def __init__(self, counts: list[int] | None = None, sums: list[float] | None = None):
+        size = self.STEPS * self.OCTAVES
+        self.counts = np.zeros(size, np.int64) if not counts else np.array(counts, np.int64)
+        self.sums = np.zeros(size) if not sums else np.array(sums, float)
+
+    def add(self, y: np.ndarray | float) -> None:
+        y = np.atleast_1d(np.asarray(y, float))
+        at = np.clip(np.floor((np.log2(y) + self.OCTAVES / 2) * self.STEPS), 0, len(self.counts) - 1).astype(int)
+        np.add.at(self.counts, at, 1)
+        np.add.at(self.sums, at, y)
+
+    def merge(self, other: "Tail") -> "Tail":
+        return Tail((self.counts + other.counts).tolist(), (self.sums + other.sums).tolist())
+
+    @property
+    def n(self) -> int:
+        return int(self.counts.sum())
+
+    def fit(self) -> tuple[float, float]:
+        used = self.counts > 0
+        return fit_tail(self.sums[used] / self.counts[used], self.counts[used])
+
+
 def tail_quantile(level: float, gamma: float, sigma: float, q: float, n: int, peaks: int) -> float:
     ratio = q * n / peaks
     return level + sigma / gamma * (ratio ** -gamma - 1) if gamma else level - sigma * math.log(ratio)
 
 
-def stream_tail_threshold(stream: DataFrame, spec: SeriesSpec, q: float = 1e-3, first: int = 1000, pct: float = 98.0) -> DataFrame:
+def stream_tail_threshold(stream: DataFrame, spec: SeriesSpec, q: float = 1e-3, first: int = 1000, pct: float = 98.0, late: str | None = None) -> DataFrame:
     """Streaming peaks-over-threshold per series.
 
     The first ``first`` values only set the level and the first fit.  Afterwards a value above the threshold is an alarm and leaves
     the fit alone; a value above the level joins the peaks and the tail is fitted again.  Every value counts as observed.
+    The peaks are kept as a ``Tail``, so a series' state stays as large as it is after ``first`` values. A missing value gets the last threshold and is
+    not observed.
     """
     schema = T.StructType([*stream.schema.fields, T.StructField("threshold", T.DoubleType()), T.StructField("alarm", T.IntegerType())])
-    saved = T.StructType([T.StructField("waiting", T.ArrayType(T.DoubleType())), T.StructField("peaks", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType()),
-                          T.StructField("level", T.DoubleType()), T.StructField("limit", T.DoubleType())])
+    saved = T.StructType([T.StructField("first", T.ArrayType(T.DoubleType())), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("sums", T.ArrayType(T.DoubleType())),
+                          T.StructField("n", T.LongType()), T.StructField("level", T.DoubleType()), T.StructField("limit", T.DoubleType())])
     columns, value = stream.columns, spec.value
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        rows = _ordered(batches, spec)
-        if rows is None:
-            return
-        waiting, peaks, n, level, limit = state.get if state.exists else ([], [], 0, None, None)
-        waiting, peaks = list(waiting), list(peaks)
+    def advance(key, state, rows: pd.DataFrame):
+        waiting, counts, sums, n, level, limit = state
+        waiting, tail = list(waiting), Tail(counts, sums)
         limits, alarms = [], []
-        for v in rows[value].to_numpy(dtype=float).tolist():
-            n += 1
+        for v in rows[value].to_numpy(dtype=float, na_value=np.nan).tolist():
             alarm = 0
+            if v != v:
+                limits.append(limit)
+                alarms.append(0)
+                continue
+            n += 1
             if level is None:
                 waiting.append(v)
                 if len(waiting) == first:
                     level = float(np.percentile(waiting, pct))
-                    peaks = [w - level for w in waiting if w > level]
-                    limit = tail_quantile(level, *fit_tail(np.array(peaks)), q, n, len(peaks)) if len(peaks) > 1 else float("inf")
+                    if peaks := [w - level for w in waiting if w > level]:
+                        tail.add(peaks)
+                    limit = tail_quantile(level, *tail.fit(), q, n, tail.n) if tail.n > 1 else float("inf")
                     waiting = []
                 limits.append(None)
             else:
                 if v > limit:
                     alarm = 1
                 elif v > level:
-                    peaks.append(v - level)
-                    limit = tail_quantile(level, *fit_tail(np.array(peaks)), q, n, len(peaks)) if len(peaks) > 1 else limit
+                    tail.add(v - level)
+                    limit = tail_quantile(level, *tail.fit(), q, n, tail.n) if tail.n > 1 else limit
                 limits.append(limit)
             alarms.append(alarm)
-        state.update((waiting, peaks, n, level, limit))
         out = rows[columns].copy()
         out["threshold"] = pd.Series(limits, dtype="float64")
         out["alarm"] = np.array(alarms, dtype="int32")
-        yield out
+        kept = (tail.counts.tolist(), tail.sums.tolist()) if level is not None else ([], [])
+        return (waiting, *kept, n, level, limit), out
 
-    return stream.groupBy(*spec.keys).applyInPandasWithState(step, schema, saved, "append", GroupStateTimeout.NoTimeout)
+    return _keyed(stream, spec, schema, saved, ([], [], [], 0, None, None), advance, late)
 
 
 # ---- intervals ------------------------------------------------------------------------------------------------
 
-def stream_intervals(stream: DataFrame, spec: SeriesSpec, alarm: str, gap: int, idle_ms: int | None = None) -> DataFrame:
+def stream_intervals(stream: DataFrame, spec: SeriesSpec, alarm: str, gap: int, idle_ms: int | None = None, late: str | None = None) -> DataFrame:
     """Alarm intervals with gaps of at most ``gap`` rows filled, each emitted once it can no longer grow.
 
     State per series is the open interval and a row counter.  With ``idle_ms`` (needs a watermark) an open interval is also emitted
-    when event time has moved on that far without a new row.
+    when event time has moved on that far without a new row; this and ``late`` exclude each other.
     """
+    if idle_ms is not None and late is not None:
+        raise ValueError("an idle series' rows may still wait: give idle_ms or late")
     key_fields = [f for f in stream.schema.fields if f.name in spec.keys]
     schema = T.StructType([*key_fields, *[T.StructField(n, T.LongType()) for n in ("start_idx", "end_idx", "n")]])
     saved = T.StructType([T.StructField("seen", T.LongType()), T.StructField("start", T.LongType()), T.StructField("last", T.LongType())])
     names = [f.name for f in schema.fields]
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        seen, start, last = state.get if state.exists else (0, -1, -1)
+    def advance(key, state, rows: pd.DataFrame):
+        seen, start, last = state
         closed = []
-        if state.hasTimedOut:
-            if start >= 0:
-                closed.append((*key, start, last, last - start + 1))
-            state.update((seen, -1, -1))
-            yield pd.DataFrame(closed, columns=names)
-            return
-        rows = _ordered(batches, spec)
-        if rows is None:
-            return
         for at in (np.flatnonzero(rows[alarm].to_numpy() == 1) + seen).tolist():
             if start >= 0 and at - last - 1 > gap:
                 closed.append((*key, start, last, last - start + 1))
@@ -214,14 +297,29 @@ def stream_intervals(stream: DataFrame, spec: SeriesSpec, alarm: str, gap: int,
         if start >= 0 and seen - 1 - last > gap:
             closed.append((*key, start, last, last - start + 1))
             start, last = -1, -1
-        state.update((seen, start, last))
-        if idle_ms is not None and start >= 0:
+        return (seen, start, last), pd.DataFrame(closed, columns=names)
+
+    if idle_ms is None:
+        return _keyed(stream, spec, schema, saved, (0, -1, -1), advance, late)
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        held = state.get if state.exists else (0, -1, -1)
+        if state.hasTimedOut:
+            seen, start, last = held
+            state.update((seen, -1, -1))
+            yield pd.DataFrame([(*key, start, last, last - start + 1)] if start >= 0 else [], columns=names)
+            return
+        rows = _ordered(batches, spec)
+        if rows is None:
+            return
+        after, out = advance(key, held, rows)
+        state.update(after)
+        if after[1] >= 0:
             newest = int(pd.Timestamp(rows[spec.ts].iloc[-1]).timestamp() * 1000)
             state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(closed, columns=names)
+        yield out
 
-    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout
-    return stream.groupBy(*spec.keys).applyInPandasWithState(step, schema, saved, "append", timeout)
+    return stream.groupBy(*spec.keys).applyInPandasWithState(step, schema, saved, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---- event time -----------------------------------------------------------------------------------------------
@@ -254,6 +352,11 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", run: str |
 
     Passing the folder of an earlier run continues it.
     """
+    return run_counted(stream, name, mode, run)[0]
+
+
+def run_counted(stream: DataFrame, name: str, mode: str = "append", run: str | None = None) -> tuple[DataFrame, int]:
+    """The same, and the number of rows dropped because they came behind the watermark."""
     spark = stream.sparkSession
     run = run or fresh_run(spark, name)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True)
@@ -262,4 +365,4 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", run: str |
     else:
         query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{run}/table")).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{run}/table")
+    return spark.read.schema(stream.schema).parquet(f"{run}/table"), late_rows(query)
