@@ -54,6 +54,11 @@ def gap_fill(spark, sf):
     return rounded(P.fill_gaps(flagged(spark, sf, 100), BY_TYPE, "f", 10), ["event_id"], [], ["f", "filled"])
 
 
+@query("pp_02_gap_fill_300", f"WITH {gap_sql(250, 300)} SELECT event_id, CAST(filled AS BIGINT) AS filled FROM q")
+def gap_fill_300(spark, sf):
+    return rounded(P.fill_gaps(flagged(spark, sf, 250), BY_TYPE, "f", 300), ["event_id"], [], ["filled"])
+
+
 @query("pp_02_gap_fill_wide", f"WITH {gap_sql(200, 120)} SELECT event_id, CAST(filled AS BIGINT) AS filled FROM q")
 def gap_fill_wide(spark, sf):
     return rounded(P.fill_gaps(flagged(spark, sf, 200), BY_TYPE, "f", 120), ["event_id"], [], ["filled"])

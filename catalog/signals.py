@@ -61,6 +61,11 @@ DECOMP = (f"{EV}, t AS (SELECT *, {at_least(PERIOD, f'w{PERIOD}', f'avg(x) OVER
 window_query("sig_06_causal_decomposition", lambda: S.causal_decompose("x", PERIOD), {"trend": "trend", "seasonal": "seasonal", "residual": "residual"}, [], ctes=DECOMP, source="h")
 
 
+LONG = (f"{EV}, t AS (SELECT *, {at_least(900, 'w900', 'avg(x) OVER w900')} AS trend FROM ev WINDOW {over(900)}), f AS (SELECT *, x - trend AS flat FROM t), "
+        f"h AS (SELECT *, lag(flat, 900) OVER {o} AS seasonal, flat - lag(flat, 900) OVER {o} AS residual FROM f)")
+window_query("sig_06_causal_decomposition_900", lambda: S.causal_decompose("x", 900), {"trend": "trend", "seasonal": "seasonal", "residual": "residual"}, [], ctes=LONG, source="h")
+
+
 @query("sig_06_component_strength", f"WITH {DECOMP} SELECT event_id, {r('strength_trend')} AS strength_trend, {r('strength_seasonal')} AS strength_seasonal FROM st WHERE nr >= 2")
 def strength(spark, sf):
     f = {**S.causal_decompose("x", PERIOD), **S.strengths(96), "nr": R.rolling_count("residual", 96)}

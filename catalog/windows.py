@@ -41,6 +41,8 @@ window_query("win_07_rolling_quantiles", lambda: {"q10": R.rolling_quantile("x",
                                           "iqr": R.rolling_iqr("x", 60, 1)},
              {"q10": "quantile_cont(x, 0.1) OVER w60", "med": "quantile_cont(x, 0.5) OVER w60", "q90": at_least(60, "w60", "quantile_cont(x, 0.9) OVER w60"),
               "iqr": "quantile_cont(x, 0.75) OVER w60 - quantile_cont(x, 0.25) OVER w60"}, [over(60)])
+window_query("win_06_long_min_max", lambda: {"lo": R.rolling_min("x", 300, 1), "hi": R.rolling_max("x", 900, 180)},
+             {"lo": "min(x) OVER w300", "hi": at_least(180, "w900", "max(x) OVER w900")}, [over(300), over(900)])
 window_query("win_07_long_rolling_quantiles", lambda: {"med300": R.rolling_median("x", 300, 6), "q25_600": R.rolling_quantile("x", 600, .25, 12), "iqr900": R.rolling_iqr("x", 900, 18)},
              {"med300": at_least(6, "w300", "quantile_cont(x, 0.5) OVER w300"), "q25_600": at_least(12, "w600", "quantile_cont(x, 0.25) OVER w600"),
               "iqr900": at_least(18, "w900", "quantile_cont(x, 0.75) OVER w900 - quantile_cont(x, 0.25) OVER w900")}, [over(300), over(600), over(900)])

@@ -27,6 +27,8 @@ GROUPS = {
                         "bw": S.butterworth_smooth("x"), "kalman": S.kalman_level("x"), "again": R.rolling_mean("ema", 9, 1)},
     "scans": lambda: {"total": running_sum(F.col("x"), "x"), "last": carry_last(F.when(F.col("x") > 80, F.col("x")), "x"), "next": carry_next(F.when(F.col("x") > 80, F.col("x")), "x"),
                       **R.cusum_unbounded("x", 20), **W.consecutive_counter("label", "streak")},
+    "long": lambda: {"mean": R.rolling_mean("x", 150, 5), "sum": R.rolling_sum("id", 130, 1), "n": R.rolling_count("x", 140), "lo": R.rolling_min("x", 125, 1), "hi": R.rolling_max("mean", 160), "twice": R.rolling_mean("mean", 121, 1),
+                     **P.filled("label", 130, "filled")},
     "expanding": lambda: {"expanding": expanding_quantile("x", .9, 20)},
 }
 

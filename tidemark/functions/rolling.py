@@ -8,17 +8,21 @@ statistics that need the window's contents, run once per Arrow batch of a bounde
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.features import Feature, running_sum, scalar
+from ..plans.series import IDX
 
-# A sliding frame is re-aggregated for every row, so its cost grows with its length.  Longer windows are evaluated with
-# running updates (skip list, monotone queue, moment updates) in one Arrow pass whose cost does not depend on the length.
-# Order statistics and higher moments already pay for that at short lengths.
+# A sliding frame is re-aggregated for every row, so its cost grows with its length.  Longer sums and means are differences of running
+# sums, which all lengths share; longer minima and maxima are joined from two running aggregates (``_blocked``).  Variances, order
+# statistics and higher moments get running updates (moment updates, skip list) in one Arrow pass for all of them, whose cost does not
+# depend on the length; order statistics and higher moments already pay for that at short lengths.
 NATIVE_ROWS = 120
 NATIVE_COSTLY_ROWS = 16
 BLOCK_ROWS = 4096
@@ -30,6 +34,49 @@ def _moving(col: str, w: int, m: int | None, stat: Callable, back: int | None =
     return Feature(lambda pdf: stat(pdf[col].astype("float64").rolling(w, min_periods=need)), (col,), back=w - 1 if back is None else back, kind="pandas")
 
 
+def _blocked(col: str, w: int, m: int | None, parts: dict[str, Callable[[Column], Column]], join: Callable) -> Feature:
+    """A statistic of the last ``w`` rows in time that does not depend on ``w``.
+
+    The series is cut into blocks of ``w`` rows. A window is the end of one block and the beginning of the next: running aggregates
+    ``parts`` from each block's start up to a row, and from each row up to its block's end, are ``join``-ed. Nothing is subtracted, so no
+    precision is lost on the way. ``join(before, here)`` gets both ends' parts by name, and NULLs (count 0) where an end is empty.
+    """
+    need = w if m is None else m
+    parts = {"n": F.count, **parts}
+
+    def build(laid):
+        block = F.floor(F.col(IDX) / w)
+        upto = Window.partitionBy(*laid.part, block).orderBy(*laid.order).rowsBetween(Window.unboundedPreceding, 0)
+        onward = Window.partitionBy(*laid.part, block).orderBy(*[F.col(c).desc_nulls_last() for c in laid.order]).rowsBetween(Window.unboundedPreceding, 0)
+        name = {p: f"{col}_{w}_{p}" for p in parts}
+        ends = {f"_upto_{name[p]}": agg(F.col(col)).over(upto) for p, agg in parts.items()} | {f"_onward_{name[p]}": agg(F.col(col)).over(onward) for p, agg in parts.items()}
+        full = F.col(IDX) % w == w - 1  # the block is the window
+        lagged = {f"_before_{name[p]}": F.when(~full, F.lag(f"_onward_{name[p]}", w - 1).over(laid.ordered())) for p in parts}
+        before, here = {p: F.col(f"_before_{name[p]}") for p in parts}, {p: F.col(f"_upto_{name[p]}") for p in parts}
+        before["n"] = F.coalesce(before["n"], F.lit(0))
+        return [ends, lagged, F.when(before["n"] + here["n"] >= need, join(before, here))]
+
+    return Feature(build, (col,), back=w - 1, kind="staged")
+
+
+def _summed(col: str, w: int, m: int | None, final: Callable[[Column, Column], Column]) -> Feature:
+    """``final(sum, count)`` of the last ``w`` rows, from running sums of the values less their mean in the chunk, which keeps them small."""
+    need = w if m is None else m
+
+    def build(laid):
+        o = laid.ordered()
+        running = o.rowsBetween(Window.unboundedPreceding, 0)
+        whole = isinstance(laid.df.schema[col].dataType, T.IntegralType)  # exact as they are
+        mid, total, count = f"_mid_{col}", f"_total_{col}", f"_count_{col}"
+        centre = F.lit(0).cast("long") if whole else F.coalesce(F.avg(col).over(Window.partitionBy(*laid.part)), F.lit(0.0))
+        sums = {total: F.coalesce(F.sum(F.col(col) - F.col(mid)).over(running), F.lit(0)), count: F.count(col).over(running)}
+        ago = {f"{total}_{w}": F.lag(total, w, 0 if whole else 0.0).over(o), f"{count}_{w}": F.lag(count, w, 0).over(o)}
+        n = F.col(count) - F.col(f"{count}_{w}")
+        return [{mid: centre}, sums, ago, F.when((n >= need) & (n > 0), final(F.col(total) - F.col(f"{total}_{w}") + n * F.col(mid), n))]
+
+    return Feature(build, (col,), back=w - 1, kind="staged")
+
+
 def _window(col: str, w: int, m: int | None, agg: Callable[[Column], Column], moving: Callable, costly: bool = False) -> Feature:
     if w > (NATIVE_COSTLY_ROWS if costly else NATIVE_ROWS):
         return _moving(col, w, m, moving)
@@ -43,7 +90,17 @@ def _window(col: str, w: int, m: int | None, agg: Callable[[Column], Column], mo
 
 
 def rolling_mean(col, w, m=None):
-    return _window(col, w, m, F.avg, lambda r: r.mean())
+    return _window(col, w, m, F.avg, None) if w <= NATIVE_ROWS else _summed(col, w, m, lambda s, n: s / n)
+
+
+def rolling_sum(col, w, m=None):
+    return _window(col, w, m, F.sum, None) if w <= NATIVE_ROWS else _summed(col, w, m, lambda s, n: s)
+
+
+def rolling_count(col, w):
+    if w > NATIVE_ROWS:
+        return replace(counted := _summed(col, w, 0, lambda s, n: n), build=lambda laid: [*(parts := counted.build(laid))[:-1], F.coalesce(parts[-1], F.lit(0))])
+    return Feature(lambda laid: F.count(col).over(laid.rows(-(w - 1), 0)), (col,), back=w - 1)
 
 
 def rolling_std(col, w, m=None):
@@ -54,20 +111,16 @@ def rolling_var(col, w, m=None):
     return _window(col, w, m, F.var_samp, lambda r: r.var())
 
 
-def rolling_min(col, w, m=None):
-    return _window(col, w, m, F.min, lambda r: r.min())
-
-
-def rolling_max(col, w, m=None):
-    return _window(col, w, m, F.max, lambda r: r.max())
+def rolling_var_pop(col, w):
+    return _window(col, w, 1, F.var_pop, lambda r: r.var(ddof=0))
 
 
-def rolling_sum(col, w, m=None):
-    return _window(col, w, m, F.sum, lambda r: r.sum())
+def rolling_min(col, w, m=None):
+    return _window(col, w, m, F.min, None) if w <= NATIVE_ROWS else _blocked(col, w, m, {"min": F.min}, lambda a, b: F.least(a["min"], b["min"]))
 
 
-def rolling_count(col, w):
-    return Feature(lambda laid: F.count(col).over(laid.rows(-(w - 1), 0)), (col,), back=w - 1)
+def rolling_max(col, w, m=None):
+    return _window(col, w, m, F.max, None) if w <= NATIVE_ROWS else _blocked(col, w, m, {"max": F.max}, lambda a, b: F.greatest(a["max"], b["max"]))
 
 
 def rolling_range(col, w, m=None):

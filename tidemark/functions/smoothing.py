@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.features import Feature, scalar
 from .recursive import Ewm, KalmanLevel
-from .rolling import diff
+from .rolling import diff, rolling_mean, rolling_var_pop
 
 FORGET = math.log(1e-16)
 
@@ -159,8 +159,7 @@ def causal_decompose(col, period, cycles=3, prefix=""):
         return F.try_divide(total, sum(known[1:], known[0]))
 
     return {
-        trend: Feature(lambda s: F.when(F.count(col).over(s.rows(-(period - 1), 0)) >= period,
-                                        F.avg(col).over(s.rows(-(period - 1), 0))), (col,), back=period - 1),
+        trend: rolling_mean(col, period),
         flat: scalar(F.col(col) - F.col(trend), col, trend),
         season: Feature(same_phase, (flat,), back=cycles * period),
         rest: scalar(F.col(flat) - F.col(season), flat, season),
@@ -172,14 +171,8 @@ def strengths(window, prefix=""):
     trend, season, rest = f"{prefix}trend", f"{prefix}seasonal", f"{prefix}residual"
 
     def strength(part):
-        both = f"_{part}_rest"
-
-        def build(laid):
-            over = laid.rows(-(window - 1), 0)
-            ratio = F.try_divide(F.var_pop(rest).over(over), F.var_pop(both).over(over))
-            return F.greatest(F.lit(0.0), 1 - ratio)
-
-        return {both: scalar(F.col(part) + F.col(rest), part, rest),
-                f"strength_{part}": Feature(build, (both, rest), back=window - 1)}
+        both, own, joint = f"_{part}_rest", f"_{part}_var_rest", f"_{part}_var_both"
+        return {both: scalar(F.col(part) + F.col(rest), part, rest), own: rolling_var_pop(rest, window), joint: rolling_var_pop(both, window),
+                f"strength_{part}": scalar(F.greatest(F.lit(0.0), 1 - F.try_divide(F.col(own), F.col(joint))), own, joint)}
 
     return {**strength(trend), **strength(season)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import lag
@@ -46,8 +46,9 @@ def filled(flag: str, gap: int, out: str) -> dict[str, Feature]:
     """Turns 0s into 1s between two runs at most ``gap`` rows apart; a bounded look to both sides is enough."""
     def build(laid):
         one = F.when(F.col(flag) == 1, F.col(IDX))
-        before = F.max(one).over(laid.rows(-gap, 0))
-        after = F.min(one).over(laid.rows(0, gap))
+        # the nearest 1 on either side, as running values: a frame of ``gap`` rows would be read again for every row
+        before = F.last(one, ignorenulls=True).over(laid.rows(Window.unboundedPreceding, 0))
+        after = F.last(one, ignorenulls=True).over(laid.reverse().rowsBetween(Window.unboundedPreceding, 0))
         return F.when(F.col(flag) == 1, 1).when(after - before - 1 <= gap, 1).otherwise(0)
 
     return {out: Feature(build, (flag, IDX), back=gap, fwd=gap)}

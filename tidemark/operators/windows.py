@@ -139,11 +139,10 @@ def rolling_performance(df: DataFrame, spec: SeriesSpec, pred: str, size: int =
     """
     y, p = F.col(spec.label), F.col(pred)
 
-    def counted(hit):
-        return Feature(lambda laid: F.sum(hit.cast("long")).over(laid.rows(-size, -1)), (spec.label, pred), back=size)
-
-    f = {"tp": counted((y == 1) & (p == 1)), "fp": counted((y == 0) & (p == 1)),
-         "fn": counted((y == 1) & (p == 0)), "tn": counted((y == 0) & (p == 0))}
+    hits = {"tp": (y == 1) & (p == 1), "fp": (y == 0) & (p == 1), "fn": (y == 1) & (p == 0), "tn": (y == 0) & (p == 0)}
+    f: dict[str, Feature] = {}
+    for name, hit in hits.items():
+        f |= {f"_hit_{name}": scalar(hit.cast("long"), spec.label, pred), f"_upto_{name}": R.rolling_sum(f"_hit_{name}", size, 0), name: R.lag(f"_upto_{name}", 1)}
     out = with_features(df, spec, f, index=True)
     out = out.filter((F.col(IDX) >= size) & (F.col(IDX) % step == 0) & (F.col("tp") + F.col("fn") > 0) & (F.col("tn") + F.col("fp") > 0))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))

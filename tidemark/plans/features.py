@@ -23,7 +23,8 @@ from .series import CHUNK, HOME, IDX, START, Laid, SeriesSpec, chunk_rate, lay_o
 @dataclass(frozen=True)
 class Feature:
     """``kind``: native (``build(laid) -> Column``), pandas (``build(pdf) -> array``), frame
-    (``build(laid, name) -> Laid``), or a scan of the expression ``build`` gives: sum, last, next.
+    (``build(laid, name) -> Laid``), a scan of the expression ``build`` gives: sum, last, next, or staged: ``build(laid)`` gives dicts of
+    intermediate columns, each reading those before it, and at last the feature's expression. Intermediates of equal names are shared.
 
     ``carry`` (pandas) is the same computation with a state that passes from chunk to chunk (``functions.recursive``); ``fill``
     (pandas) says that ``build`` replaces missing values of its only input by the last known one, however far back."""
@@ -121,13 +122,16 @@ def _evaluate(df: DataFrame, spec: SeriesSpec, features: Mapping[str, Feature],
 def _levels(df: DataFrame, spec: SeriesSpec, features: Mapping[str, Feature], rate: float | None, index: bool = False) -> Laid:
     levels, back, fwd = _plan(features)
     laid = lay_out_at(df, spec, rate, back, fwd)
-    if index or any(IDX in f.inputs for f in features.values()) or \
+    if index or any(IDX in f.inputs or f.kind == "staged" for f in features.values()) or \
             (laid.is_chunked and any(f.kind in ("last", "next") for f in features.values())):
         laid = laid.with_index()
     for names in levels:
         native = {n: features[n].build(laid) for n in names if features[n].kind == "native"}
         if native:
             laid = laid.with_df(laid.df.withColumns(native))
+        staged = {n: features[n].build(laid) for n in names if features[n].kind == "staged"}
+        if staged:
+            laid = _staged(laid, staged)
         scans = {n: features[n] for n in names if features[n].kind in ("sum", "last", "next")}
         if scans:
             laid = _scan(laid, scans)
@@ -140,6 +144,20 @@ def _levels(df: DataFrame, spec: SeriesSpec, features: Mapping[str, Feature], ra
     return laid
 
 
+def _staged(laid: Laid, staged: Mapping[str, list]) -> Laid:
+    """All features' first intermediates in one projection, then all second ones, and so on."""
+    steps: list[dict[str, Column]] = []
+    for *before, _ in staged.values():
+        for i, columns in enumerate(before):
+            steps += [{}] * (i + 1 - len(steps))
+            steps[i] = {**steps[i], **columns}
+    df = laid.df
+    for columns in steps:
+        df = df.withColumns(columns)
+    df = df.withColumns({n: parts[-1] for n, parts in staged.items()})
+    return laid.with_df(df.drop(*[c for columns in steps for c in columns]))
+
+
 FILLED = "_filled_"
 
 
