@@ -385,6 +385,11 @@ def test_decontam(spark, docs, texts, odd):
     assert set(found) <= set(want) and len(found) >= 0.97 * len(want), (len(found), len(want))
     assert all(s <= want[k] + 1e-9 for k, s in found.items())
     assert decontam.contaminated(odd, items).count() == 0 and decontam.clean(odd, items).columns == odd.columns
+    unnamed = items.withColumn("item_id", F.lit(None).cast("bigint"))
+    assert decontam.clean(docs, unnamed).count() == decontam.clean(docs, items).count() < docs.count()
+    assert {r["item_id"] for r in decontam.contaminated(docs, unnamed).collect()} == {None}
+    with pytest.raises(ValueError):
+        decontam.contaminated(docs, items, similarity=0.7)
     assert decontam.clean(odd, items.where("false")).count() == len(ODD) + 2 and decontam.contaminated(odd.where("false"), items).count() == 0
 
 

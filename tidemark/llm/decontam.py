@@ -15,7 +15,8 @@ Walks run off the end of short items. Items of at most ``SHORT_WORDS`` words are
 one piece stands unedited in every document that holds the item. All places of all pieces are looked up and verified: nothing is lost.
 
 Items go to the tasks in blocks of ``BLOCK_ITEMS``, one pass over the documents for each block, so that what is broadcast is bounded.
-Null and empty texts hold nothing; repeated rows give repeated results; an item table without usable items gives none.
+Null and empty texts hold nothing; repeated rows give repeated results; an item table without usable items gives none. Items whose id is
+null are searched like others and reported with a null id. Similarities under ``SIMILARITY`` are refused: the walks would miss too many.
 """
 
 from itertools import repeat
@@ -41,7 +42,9 @@ class Items:
     """What the tasks know of one block of items: their words, the keys of their walks, and the pieces of short ones."""
 
     def __init__(self, rows: list[tuple[int, str]], similarity: float = SIMILARITY, repeats: int = REPEATS):
-        parts = [(i, w) for i, t in rows if i is not None and (w := words(t or ""))]
+        if not SIMILARITY <= similarity <= 1:
+            raise ValueError(f"walks find enough of the items from a similarity of {SIMILARITY} on")
+        parts = [(i, w) for i, t in rows if (w := words(t or ""))]
         self.names = [i for i, _ in parts]
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(x for _, ws in parts for x in ws))}
         self.foreign = len(self.vocabulary)
@@ -56,7 +59,7 @@ class Items:
         while sizes:  # sizes within a fifth of each other share one test for windows that can hold an item
             own = [n for n in sizes if n <= 1.2 * sizes[0]]
             sizes = sizes[len(own):]
-            few = min(len(x) - 1 - 2 * e for x, e in zip(self.texts, self.edits) if len(x) in own)
+            few = max(1, min(len(x) - 1 - 2 * e for x, e in zip(self.texts, self.edits) if len(x) in own))
             self.classes.append((few, max(len(x) + e - 1 for x, e in zip(self.texts, self.edits) if len(x) in own)))
         self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(x[:-1] * np.int64(self.foreign + 1) + x[1:] for x in (self.texts[k] for k in long))]))
         keys, item, offset = [], [], []
