@@ -5,14 +5,16 @@ import pytest
 from helpers import SPEC, close, column, events, frame
 from pyspark.sql import functions as F
 
+from tidemark.operators import clean as C
 from tidemark.operators import detect as D
 from tidemark.operators import evaluate as E
 from tidemark.operators import joins as J
 from tidemark.operators import models as M
 from tidemark.operators import profile as P
+from tidemark.operators import signals as G
 from tidemark.operators import windows as W
 from tidemark.plans.series import index_rows, prefix_sum
-from tidemark.plans.stats import ordered_prefix, quantiles
+from tidemark.plans.stats import column_quantiles, ordered_prefix, quantiles
 
 
 def skewed(spark, n=4000):
@@ -172,3 +174,20 @@ def test_every_isolation_tree_grows_on_its_sample(spark, n):
     forest = M.fit_isolation_forest(df, ["a", "b"], "id", trees=12, sample=32)
     sizes = [t[0, 4] for t in forest]
     assert len(forest) == 12 and min(sizes) >= min(20, n) and max(sizes) <= 32
+
+
+@pytest.mark.parametrize("small", [1000, 40])
+def test_quantiles_of_many_columns_at_once(spark, small):
+    """Twenty columns, one without values, some with gaps: numpy's quantiles, from one scan besides the frame's own and the count."""
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(5, 3, (300, 20)), 1)
+    rows = [tuple(None if j == 7 or (j % 3 == 0 and i % 4 == 0) else float(v) for j, v in enumerate(row)) for i, row in enumerate(x)]
+    names = [f"c{j}" for j in range(20)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    got = column_quantiles(df, names, {"_a": .25, "_b": .999}, small).first()
+    known = [np.array([r[j] for r in rows if r[j] is not None]) for j in range(20)]
+    close([got[f"c{j}{n}"] for j in range(20) for n in ("_a", "_b")], [None if j == 7 else float(np.quantile(known[j], q)) for j in range(20) for q in (.25, .999)], 1e-9)
+    for out in (C.fill_median(df, names), C.winsorise(df, names), G.robust_scale(df, names)):
+        assert out.columns == names and out.count() == 300
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2
+    assert C.fill_median(df, []).columns == C.winsorise(df, []).columns == G.robust_scale(df, []).columns == names

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clip, finite
 from ..plans.features import carry_last, carry_next, with_features
 from ..plans.series import SeriesSpec
-from ..plans.stats import one_row, quantiles
+from ..plans.stats import column_quantiles, one_row
 
 
 def average_duplicates(df: DataFrame, spec: SeriesSpec, columns: Sequence[str]) -> DataFrame:
@@ -31,10 +31,8 @@ def fill_mean(df: DataFrame, columns: Sequence[str], train=None) -> DataFrame:
 
 def fill_median(df: DataFrame, columns: Sequence[str], train=None) -> DataFrame:
     """NULL to the exact median of the training rows."""
-    known = df if train is None else df.filter(train)
-    for c in columns:
-        df = one_row(df, quantiles(known, c, {"_median": 0.5})).withColumn(c, F.coalesce(F.col(c), F.col("_median"))).drop("_median")
-    return df
+    medians = column_quantiles(df if train is None else df.filter(train), columns, {"_median": 0.5})
+    return one_row(df, medians).withColumns({c: F.coalesce(F.col(c), F.col(f"{c}_median")) for c in columns}).drop(*medians.columns)
 
 
 def fill_along(df: DataFrame, spec: SeriesSpec, columns: Sequence[str], backward: bool = True, rest: float | None = None) -> DataFrame:
@@ -54,12 +52,9 @@ def null_infinities(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def winsorise(df: DataFrame, columns: Sequence[str], low: float = 0.001, high: float = 0.999, train=None) -> DataFrame:
     """Clips to exact quantiles of the training rows."""
-    known = df if train is None else df.filter(train)
-    for c in columns:
-        bounds = quantiles(known, c, {"_low": low, "_high": high})
-        kept = F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col("_low")), F.col("_high")))
-        df = one_row(df, bounds).withColumn(c, kept).drop("_low", "_high")
-    return df
+    bounds = column_quantiles(df if train is None else df.filter(train), columns, {"_low": low, "_high": high})
+    kept = {c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"{c}_low")), F.col(f"{c}_high"))) for c in columns}
+    return one_row(df, bounds).withColumns(kept).drop(*bounds.columns)
 
 
 def clip_columns(df: DataFrame, columns: Sequence[str], low: float, high: float) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import scalars as X
 from ..functions.wavelets import decomposition
 from ..plans.series import IDX, SeriesSpec, index_rows, null_safe_join
-from ..plans.stats import SMALL_GROUP, one_row, quantiles
+from ..plans.stats import SMALL_GROUP, column_quantiles, one_row
 from .windows import sliding_windows
 
 DOUBLES = T.ArrayType(T.DoubleType())
@@ -189,9 +189,10 @@ def _with_stats(df, columns, keys, train, aggs, scaled, keep=False):
 
 def robust_scale(df: DataFrame, columns: Sequence[str], train=None, small: int = SMALL_GROUP) -> DataFrame:
     """(x - median) / IQR with exact quartiles; an IQR of 0 counts as 1."""
-    known = df if train is None else df.filter(train)
-    for c in columns:
-        df = one_row(df, quantiles(known, c, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}, small=small))
-        iqr = F.col("_q3") - F.col("_q1")
-        df = df.withColumn(c, (F.col(c) - F.col("_q2")) / F.when(iqr > 0, iqr).otherwise(1.0)).drop("_q1", "_q2", "_q3")
-    return df
+    row = column_quantiles(df if train is None else df.filter(train), columns, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}, small)
+
+    def scaled(c: str) -> Column:
+        iqr = F.col(f"{c}_q3") - F.col(f"{c}_q1")
+        return (F.col(c) - F.col(f"{c}_q2")) / F.when(iqr > 0, iqr).otherwise(1.0)
+
+    return one_row(df, row).withColumns({c: scaled(c) for c in columns}).drop(*row.columns)

@@ -49,6 +49,25 @@ def quantiles(df: DataFrame, column: str, qs: dict[str, float], keys: Sequence[s
     return _narrowed(data, qs, keys, small)
 
 
+def column_quantiles(df: DataFrame, columns: Sequence[str], qs: dict[str, float], small: int = SMALL_GROUP) -> DataFrame:
+    """One row with exact quantiles of many columns, ``<column><name>`` for every entry of ``qs``.
+
+    One scan counts the values of all columns, a second one gives all quantiles; beyond ``small`` values columns are narrowed down
+    together, as groups of one histogram table.
+    """
+    if not columns:
+        return df.agg(F.lit(0).alias("_none"))
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    counts = data.agg(*[F.count(c).alias(c) for c in columns]).first()
+    if max(counts, default=0) <= small:
+        at_once = F.array(*[F.lit(float(q)) for q in qs.values()])
+        row = data.agg(*[F.percentile(c, at_once).alias(c) for c in columns])
+        return row.select(*[F.col(c)[i].alias(f"{c}{n}") for c in columns for i, n in enumerate(qs)])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).alias("_value")) for c in columns]))
+    found = quantiles(data.select(each.alias("_e")).select("_e.*"), "_value", qs, ["_column"], small)
+    return found.agg(*[F.max(F.when(F.col("_column") == c, F.col(n))).alias(f"{c}{n}") for c in columns for n in qs])
+
+
 def _narrowed(data: DataFrame, qs: dict[str, float], keys: list[str], small: int, bins: int = 1024) -> DataFrame:
     size = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("q"), F.lit(float(q)).alias("p")) for n, q in qs.items()]))
