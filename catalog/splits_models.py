@@ -15,7 +15,7 @@ from tidemark.plans.features import with_features
 from .base import BY_TYPE, EV, ORD, events, over, query, r, rounded, table
 
 o = f"({ORD})"
-HASH = f"{EV}, h AS (SELECT *, CAST((event_id * 2654435761 + 7 * 40503) % 4294967296 AS DOUBLE) AS h FROM ev), q AS (SELECT label AS g, quantile_cont(h, 0.7) AS q7, quantile_cont(h, 0.85) AS q85 FROM h GROUP BY label)"
+HASH = f"{EV}, h AS (SELECT *, CAST(CAST('0x' || substr(md5(concat(event_id, ':7')), 1, 13) AS BIGINT) AS DOUBLE) AS h FROM ev), q AS (SELECT label AS g, quantile_cont(h, 0.7) AS q7, quantile_cont(h, 0.85) AS q85 FROM h GROUP BY label)"
 FEATURES = ["m30", "sd30", "z30", "d1", "lag1"]
 
 

@@ -149,3 +149,22 @@ def test_csv_sources(spark, tmp_path):
     assert sorted(r.speed for r in T.first_present(got, [T.PRODUCTION_VALUE], "speed").collect()) == [1, 1, 2, 2, 3, 3]
     T.write_summary(df.agg(F.max(f"`{T.PRODUCTION_VALUE}`").alias("top")), str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).first().top == 3
+
+
+def test_rows_with_missing_values_are_kept(spark):
+    """A projection and a forecast learn from complete rows, keep the others, and give these NULL."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (60, 2)) @ np.array([[2, 1], [0, .3]])
+    df = spark.createDataFrame([(i, None if i == 7 else float(a), float("nan") if i == 9 else float(b)) for i, (a, b) in enumerate(x)], "id long, a double, b double")
+    out, shares = M.project(df, ["a", "b"], 2)
+    got = {r["id"]: r["pc1"] for r in out.collect()}
+    assert len(got) == 60 and {i for i, v in got.items() if v is None} == {7, 9} and abs(sum(shares) - 1) < 1e-9
+    known = np.delete(x, [7, 9], 0)
+    z = (known - known.mean(0)) / known.std(0)
+    axis = np.linalg.svd(z)[2][0]
+    close(sorted(abs(v) for v in got.values() if v is not None), sorted(np.abs(z @ axis).tolist()), 1e-6)
+    values = [float(v) for v in np.sin(np.arange(80) / 3) + rng.normal(0, .1, 80)]
+    values[40] = None
+    rows = M.forecast_error(frame(spark, values), SPEC, 5).orderBy("id").collect()
+    assert [r["id"] for r in rows] == list(range(5, 80))
+    assert {r["id"] for r in rows if r["forecast"] is None} == set(range(41, 46)) and {r["id"] for r in rows if r["error"] is None} == set(range(40, 46))

@@ -16,6 +16,7 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,13 +33,9 @@ from .windows import sequences, sliding_windows
 
 # ---- splits ---------------------------------------------------------------------------------------------
 
-HASH_RANGE = 4294967296  # 2**32
-
-
 def hash_order(key: Column, seed: int = 0) -> Column:
-    """Pseudo-random order of integer keys of any size; the odd multiplier keeps keys below 2**31 distinct."""
-    low, high = F.pmod(key, F.lit(HASH_RANGE // 2)), F.floor(key / F.lit(HASH_RANGE // 2))
-    return F.pmod(low * F.lit(2654435761) + high * F.lit(97561) + F.lit(seed * 40503), F.lit(HASH_RANGE)).cast("double")
+    """Pseudo-random order of keys: 52 bits of a digest of key and seed, so the orders of two seeds have nothing in common."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("double")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, fractions: Mapping[str, float], seed: int = 0, small: int = SMALL_GROUP) -> DataFrame:
@@ -247,13 +244,20 @@ def normality_score(z: Column, scale: float = 3.0) -> Column:
     return F.least(F.abs(z) / scale, F.lit(1.0))
 
 
+def _all_known(names: Sequence[str]) -> Column:
+    return functools.reduce(lambda a, b: a & b, [F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")) for f in names])
+
+
 def project(df: DataFrame, features: Sequence[str], k: int = 2) -> tuple[DataFrame, list[float]]:
-    """First ``k`` principal components of the standardised features (columns ``pc1`` ..) and their variance shares."""
-    scaled = standardise(df.na.drop(subset=list(features)).withColumns({f"_s_{f}": F.col(f).cast("double") for f in features}), [f"_s_{f}" for f in features])
-    vectors = VectorAssembler(inputCols=[f"_s_{f}" for f in features], outputCol="_features").transform(scaled)
-    model = PCA(k=k, inputCol="_features", outputCol="_pcs").fit(vectors)
+    """First ``k`` principal components of the standardised features (columns ``pc1`` ..) and their variance shares.
+
+    Rows with a missing feature are not learned from; they are kept and get NULL."""
+    known = _all_known(features)
+    scaled = standardise(df.withColumns({f"_s_{f}": F.col(f).cast("double") for f in features}), [f"_s_{f}" for f in features], train=known)
+    vectors = VectorAssembler(inputCols=[f"_s_{f}" for f in features], outputCol="_features", handleInvalid="keep").transform(scaled)
+    model = PCA(k=k, inputCol="_features", outputCol="_pcs").fit(vectors.filter(known))
     out = model.transform(vectors).withColumn("_a", vector_to_array("_pcs"))
-    out = out.select(*df.columns, *[F.col("_a")[i].alias(f"pc{i + 1}") for i in range(k)])
+    out = out.select(*df.columns, *[F.when(known, F.col("_a")[i]).alias(f"pc{i + 1}") for i in range(k)])
     return out, model.explainedVariance.toArray().tolist()
 
 
@@ -261,9 +265,9 @@ def reconstruction_error(df: DataFrame, spec: SeriesSpec, size: int = 100, k: in
     """Mean squared error of each sequence after projection to ``k`` principal components fitted on the training sequences."""
     seq = sequences(df, spec, size, [spec.value]).withColumn("_v", array_to_vector(f"{spec.value}_seq"))
     known = seq if train is None else seq.filter(train)
-    mean = [r["m"] for r in known.select(F.posexplode(f"{spec.value}_seq").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).orderBy("i").collect()]
+    mean = known.select(Summarizer.mean(F.col("_v"))).first()[0].toArray()
     axes = PCA(k=k, inputCol="_v", outputCol="_pcs").fit(known).pc.toArray()
-    centre = np.array(mean)
+    centre = mean
 
     @F.pandas_udf(T.DoubleType())
     def error(batch: pd.Series) -> pd.Series:
@@ -274,13 +278,18 @@ def reconstruction_error(df: DataFrame, spec: SeriesSpec, size: int = 100, k: in
 
 
 def forecast_error(df: DataFrame, spec: SeriesSpec, lags: int = 60, train: Column | None = None) -> DataFrame:
-    """Absolute error of a linear forecast of the next value from the last ``lags`` values, in original units."""
-    f = {f"_lag{i}": lag(spec.value, i) for i in range(1, lags + 1)}
-    rows = with_features(df, spec, {k.lstrip("_") + "_f": v for k, v in f.items()}).na.drop(subset=[f"lag{lags}_f"])
+    """Absolute error of a linear forecast of the next value from the last ``lags`` values, in original units.
+
+    Rows before the first full look-back are left out. A row with a missing value among its lags is not learned from; it is kept with a NULL
+    forecast, as is a missing value with a NULL error."""
     names = [f"lag{i}_f" for i in range(1, lags + 1)]
-    rows = VectorAssembler(inputCols=names, outputCol="_features").transform(rows).drop(*names)
-    model = LinearRegression(featuresCol="_features", labelCol=spec.value, predictionCol="forecast").fit(rows if train is None else rows.filter(train))
-    return model.transform(rows).withColumn("error", F.abs(F.col(spec.value) - F.col("forecast"))).drop("_features")
+    rows = with_features(df, spec, {n: lag(spec.value, i) for i, n in enumerate(names, 1)}, index=True).filter(F.col(IDX) >= lags)
+    rows = rows.withColumn("_known", F.coalesce(_all_known(names), F.lit(False)))
+    rows = VectorAssembler(inputCols=names, outputCol="_features", handleInvalid="keep").transform(rows).drop(*names)
+    learned = rows.filter(F.col("_known") & F.col(spec.value).isNotNull())
+    model = LinearRegression(featuresCol="_features", labelCol=spec.value, predictionCol="forecast").fit(learned if train is None else learned.filter(train))
+    out = model.transform(rows).withColumn("forecast", F.when(F.col("_known"), F.col("forecast")))
+    return out.withColumn("error", F.abs(F.col(spec.value) - F.col("forecast"))).drop("_features", "_known", *([] if IDX in df.columns else [IDX]))
 
 
 def compare_wavelets(df: DataFrame, spec: SeriesSpec, wavelets: Sequence[str], size: int = 100, step: int = 10, train: float = 0.7) -> DataFrame:
