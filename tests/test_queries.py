@@ -11,7 +11,7 @@ import __spark_entry__ as contract
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # trained models and forests have their own tests; at this size they only cost time here
-SLOW = ("ml_05", "ml_06", "ml_07", "ml_16", "ml_17", "preset_enhanced", "preset_residual", "preset_spectral", "preset_robust", "preset_causal", "preset_baseline")
+SLOW = ("ml_05", "ml_06", "ml_07", "ml_17", "preset_enhanced", "preset_residual", "preset_spectral", "preset_robust", "preset_causal", "preset_baseline")
 
 
 @pytest.fixture(scope="module")
