@@ -79,19 +79,72 @@ def test_toxicity(spark, docs, labels, odd):
     assert toxicity.score(odd.where("false"), model).count() == 0
 
 
+def dense_votes(x, toxic, q):
+    """Votes of dense queries over dense examples, all pairs."""
+    out = []
+    for v in q:
+        sims = np.asarray(x @ v, float)
+        least = np.sort(sims)[::-1][min(toxicity.NEIGHBOURS, len(sims)) - 1]
+        w = 1 / (np.sqrt(np.maximum(0, 2 - 2 * sims)) + toxicity.SOFT) * (sims >= least - toxicity.NEAR)
+        out.append((w * toxic).sum() / w.sum())
+    return np.array(out)
+
+
 def test_toxicity_search_is_exact():
     rng = np.random.default_rng(1)
-    x = np.where(rng.random((900, 40)) < 0.1, rng.random((900, 40)), 0)
-    x[:, -1] = 0.2
-    x[300:400] = x[0]
-    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    times = rng.poisson(np.geomspace(0.004, 0.3, 300), (900, 300))
+    times[300:400] = times[0]
+    times[:, 7] = 0
+    times[5] = 0
+    row, term = np.nonzero(times)
     toxic = (rng.random(900) < 0.3).astype(float)
-    votes, _ = toxicity.Index(x, toxic, np.arange(900)).votes(x[:200])
-    for q, v in zip(x[:200], votes):
-        sims = np.round(x @ q, 9)
-        least = np.sort(sims)[::-1][toxicity.NEIGHBOURS - 1]
-        w = 1 / (np.sqrt(np.maximum(0, 2 - 2 * sims)) + toxicity.SOFT) * (sims >= least)
-        assert abs((w * toxic).sum() / w.sum() - v) < 1e-4
+    e = toxicity.Examples(np.append(0, np.cumsum(np.bincount(row, minlength=900))), term, times[row, term], toxic, np.arange(900), 300)
+    weights = e.weights(rng.random(300) + 1)
+    index = toxicity.Index(e, weights)
+    assert 0 < len(index.dense) < 300 and len(index.place) > 0
+    x = np.where(times, 1 + np.log(np.maximum(times, 1)), 0) * weights
+    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+    votes, _ = index.votes(e.queries(weights)[:420])
+    assert np.abs(votes - dense_votes(x, toxic, x[:420])).max() < 1e-3
+
+
+def test_toxicity_score_by_brute_force(spark, docs, labels, texts):
+    """Words, document counts, weights, votes, parts and the map, without index or Spark."""
+    known = {r["doc_id"]: float(r["toxic"] == 1) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    ids = sorted(d for d in known if d in texts)
+    cut = lambda t: collections.Counter(re.findall("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").lower()))
+    counts = {d: cut(t) for d, t in texts.items()}
+    vocabulary = sorted({w for d in ids for w in counts[d]})
+    at = {w: i for i, w in enumerate(vocabulary)}
+    df = collections.Counter(w for c in counts.values() for w in c)
+    idf = np.array([np.log((len(texts) + 1) / (df[w] + 1)) + 1 for w in vocabulary])
+    raw = lambda c: np.array([1 + np.log(c[w]) if w in c else 0 for w in vocabulary])
+    examples, y = np.array([raw(counts[d]) for d in ids]), np.array([known[d] for d in ids])
+
+    def votes(e, label, q):
+        bad, good = ((e > 0) * label[:, None]).sum(0), ((e > 0) * (1 - label)[:, None]).sum(0)
+        w = idf * np.abs(np.log((bad + 0.5) / (label.sum() + 1) * ((1 - label).sum() + 1) / (good + 0.5)))
+        unit = lambda m: m * w / np.maximum(np.sqrt((m * m * w * w).sum(1, keepdims=True)), 1e-300)
+        return dense_votes(unit(e), label, unit(q))
+    part = np.arange(len(ids)) % toxicity.FOLDS
+    own = np.zeros(len(ids))
+    for f in range(toxicity.FOLDS):
+        own[part == f] = votes(examples[part != f], y[part != f], examples[part == f])
+    knots = toxicity.monotone(own, y)
+    some = sorted(texts)[::5]
+    v = votes(examples, y, np.array([raw(counts[d]) for d in some]))
+    want = dict(zip(some, 0.99 * np.interp(v, *knots) + 0.01 * v))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert len(at) > 1000 and np.mean([abs(got[d] - want[d]) < 2e-3 for d in some]) > 0.99
+
+
+def test_toxicity_repeated_ids(spark, docs, labels):
+    """A labelled id that many rows hold is one example; a null id has a score and no part."""
+    many = docs.union(*[docs.where("doc_id % 3 = 0")] * 1).union(docs.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("bigint")))
+    model = toxicity.fit(many, labels.union(labels))
+    assert model.index.n.sum() == toxicity.fit(docs, labels).index.n.sum()
+    lost = toxicity.score(many, model).where("doc_id is null").collect()
+    assert len(lost) == 1 and lost[0]["held_out"] is None and lost[0]["score"] is not None
 
 
 # 2 personal data
