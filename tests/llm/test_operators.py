@@ -382,6 +382,24 @@ def test_large_groups_lose_no_link(spark):
 
 
 # 8 licences
+@pytest.mark.parametrize("kind", ["in", "out", "other"])
+def test_licenses_with_slips(kind):
+    """A word put in, left out or changed anywhere outside key phrases, or put into one, loses no label of a longer template."""
+    index = licenses.Index({})
+    lost = []
+    for label, text, phrases in licenses.TEMPLATES:
+        own = text.split()
+        held = {i for p in phrases for i in range(len(own)) if own[i:i + len(p.split())] == p.split() for i in range(i, i + len(p.split()))}
+        for i in range(len(own)) if len(own) >= licenses.WORDS_PER_SLIP else ():
+            if kind == "in" or i not in held:
+                changed = own[:i] + {"in": ["any", own[i]], "out": [], "other": ["any"]}[kind] + own[i + 1:]
+                found = index.scan("some words before " + " ".join(changed) + " and after")
+                if label not in found["labels"].split(",") or not 0.8 <= found["score"] <= 1:
+                    lost.append((label, i))
+    assert not lost
+    assert index.scan("permission to redistribution of charge and use any copy of this free software")["labels"] == ""
+
+
 def test_licenses(spark, docs, texts, odd):
     extra = ["MIT License, mit license; cc by-nc 4.0, the Apache License", "gnu gnu general public license version 3", "mit lizenz license", LONG + " GNU General Public License"]
     rows = {**texts, **{10_000 + i: t for i, t in enumerate(extra)}}

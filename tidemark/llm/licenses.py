@@ -6,6 +6,10 @@ over all documents. A document's words that have postings are looked up; each gi
 Begins on which enough of the template's postings agree (all, for a template of one phrase) are verified: every key phrase must stand
 there word by word, and at least ``SIMILARITY`` of all words must agree. The score is the largest share of agreeing words.
 
+A template may take or miss a word for every ``WORDS_PER_SLIP`` it has. Those of fewer words stand at fixed places. For longer ones the
+begins may drift by so many words, the share is that of words in common order (longest common subsequence), and a key phrase may have one
+word put in.
+
 Base phrases are templates whose only key phrase is the whole, so each place is found by its rarest word and verified.
 Null and empty texts have no words and no labels, and score 0. Repeated rows are judged alike. Without documents there are no rows.
 """
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import ID, TEXT, text_function
 
-KEYS, SIMILARITY = 3, 0.8
+KEYS, SIMILARITY, WORDS_PER_SLIP = 3, 0.8, 8
 #: The base phrases, and the opening words of further licences with the phrases that tell them from others.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 TEMPLATES = [
@@ -44,6 +48,25 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(WORD_BYTES).split()
 
 
+def in_order(a: tuple, b: list) -> int:
+    """Length of the longest common subsequence."""
+    best = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for i, y in enumerate(b):
+            new.append(best[i] + 1 if x == y else max(best[i + 1], new[i]))
+        best = new
+    return best[-1]
+
+
+def stands(phrase: tuple, ws: list) -> bool:
+    """Whether the phrase's words stand in ws one after the other, with at most one other word among them."""
+    for at, w in enumerate(ws):
+        if w == phrase[0] and in_order(phrase, ws[at:at + len(phrase) + 1]) == len(phrase):
+            return True
+    return False
+
+
 class Index:
     """Templates and their postings under their rarest words, for document counts of all template words."""
 
@@ -72,7 +95,28 @@ class Index:
             return out
         votes = Counter((t, i - k) for i, w in enumerate(ws) if w in keys for t, k in self.postings[w])
         begins, base, more = [], set(), set()
+        drifting = defaultdict(list)
+        for t, b in votes:
+            if len(self.templates[t][1]) >= WORDS_PER_SLIP and not self.templates[t][3]:
+                drifting[t].append(b)
+        for t, at in drifting.items():
+            label, own, phrases, _ = self.templates[t]
+            slips, at = len(own) // WORDS_PER_SLIP, sorted(at)
+            lo = n = 0
+            for hi, b in enumerate(at):  # votes for begins of b - slips to b
+                n += votes[t, b]
+                while at[lo] < b - slips:
+                    n -= votes[t, at[lo]]
+                    lo += 1
+                if n >= self.needed[t]:
+                    near = ws[max(0, b - 2 * slips):max(0, b + len(own) + 2 * slips)]
+                    share = in_order(own, near) / len(own)
+                    if share >= SIMILARITY and all(stands(p, near) for _, p in phrases):
+                        out["score"] = max(out["score"], share)
+                        more.add(label)
         for (t, b), n in votes.items():
+            if t in drifting:
+                continue
             label, own, phrases, is_base = self.templates[t]
             if n < self.needed[t] or any(b + k < 0 or tuple(ws[b + k:b + k + len(p)]) != p for k, p in phrases):
                 continue
