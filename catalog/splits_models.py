@@ -78,7 +78,7 @@ def feature_importance(spark, sf):
 
 @query("ml_08_forest_importance")
 def forest_importance(spark, sf):
-    return M.importance(spark, M.train_forest(featured(spark, sf), FEATURES, "label", trees=20, maxDepth=5), 20)
+    return M.importance(spark, M.train_forest(featured(spark, sf), FEATURES, "label", trees=100, maxDepth=5), 20)
 
 
 @query("ml_09_isolation_forest")
@@ -88,8 +88,8 @@ def isolation(spark, sf):
 
 @query("ml_09_isolation_forest_vectors")
 def isolation_vectors(spark, sf):
-    df = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    return rounded(M.isolation_outliers(df, [f"e{i}" for i in range(8)], "vec_id", 0.05), ["vec_id"], ["isolation"], ["outlier"])
+    df = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    return rounded(M.isolation_outliers(df, [f"e{i}" for i in range(64)], "vec_id", 0.05), ["vec_id"], ["isolation"], ["outlier"])
 
 
 DUAL = f"{EV}, b AS (SELECT avg(x) AS mu, stddev_samp(x) AS sd FROM ev WHERE label = 0)"
@@ -115,7 +115,7 @@ def reconstruction(spark, sf):
 
 @query("ml_13_forecast_error")
 def forecast(spark, sf):
-    scored = M.forecast_error(events(spark, sf), BY_TYPE, 20)
+    scored = M.forecast_error(events(spark, sf), BY_TYPE, 60)
     t = D.percentile_threshold(scored, "error", 95, F.col("label") == 0)
     return rounded(D.apply_threshold(scored, "error", t), ["event_id"], ["error"], ["pred"])
 
