@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from helpers import SPEC, close, events
+from helpers import SPEC, close, events, frame
 from pyspark.sql import functions as F
 
 from tidemark import with_features
@@ -116,3 +116,45 @@ def test_late_rows_wait_for_the_watermark(spark, tmp_path):
         close(got[c].tolist(), want.loc[got.index, c].tolist(), 1e-9)
     with pytest.raises(ValueError):
         ST.stream_intervals(stream(spark, str(tmp_path)), SPEC, "label", 3, idle_ms=10, late=late)
+
+
+@pytest.fixture
+def short_batches(spark):
+    """A hundred rows go to Python at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "100")
+    yield 100
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("late", [None, "1 second"])
+def test_python_holds_a_batch_of_rows_not_the_micro_batch(spark, tmp_path, short_batches, late):
+    """One file in random order, with a long run of missing values that ends of batches fall into."""
+    n = 1500
+    rng = np.random.default_rng(5)
+    x = [None if 290 <= i < 950 or i % 7 == 3 else float(v) for i, v in enumerate(rng.random(n))]
+    rows = frame(spark, x).unionByName(frame(spark, x[:40], name="b", first_id=n))
+    rows.orderBy(F.xxhash64("id")).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    whole = {"e": S.ewm_mean("x", .3), "m": ST.moving("mean", "x", 20, 1)}
+    held = {"held": ST.combine(lambda p: p["x"] * 0 + len(p), "x")}
+    source = replay(spark, str(tmp_path), rows.schema)
+    got = ST.run_available(ST.stream_features(source, SPEC, {**whole, **held}, late=late), "short").toPandas().sort_values("id")
+    want = with_features(rows, SPEC, {"e": S.ewm_mean("x", .3), "m": rolling_mean("x", 20, 1)}, index=True).toPandas().set_index("id")
+    assert late or len(got) == n + 40
+    assert len(got) > n and not got["id"].duplicated().any()
+    assert late or got["held"].max() <= short_batches + 2 * 200  # rows that waited come from the state, not from a batch
+    for c in ("idx", "e", "m"):
+        close([None if v != v else v for v in got[c]], [None if v != v else v for v in want.loc[got["id"], c]], 1e-9)
+    assert spark.conf.get(ST.CHECKED) == "true"
+
+
+def test_rows_held_back_are_merged_with_later_batches():
+    import pandas as pd
+    at = lambda ids, secs: pd.DataFrame({"id": ids, "ts": pd.to_datetime(secs, unit="s")})
+    held = at([1, 9, 3, 4], [10, 20, 20, 50]).sort_values(["ts", "id"])
+    got = list(ST._in_order(iter([at([0, 2], [5, 20]), at([5, 6], [20, 40])]), SPEC, held))
+    assert [r for p in got for r in p["id"]] == [0, 1, 2, 3, 5, 9, 6, 4]
+    assert [r for p in ST._in_order(iter([]), SPEC, held) for r in p["id"]] == [1, 3, 9, 4]
+    with pytest.raises(ValueError):
+        list(ST._in_order(iter([at([0], [5]), at([1], [4])]), SPEC))
