@@ -11,6 +11,7 @@ from tidemark.operators import models as M
 from tidemark.operators import neighbours as N
 from tidemark.operators import windows as W
 from tidemark.plans.features import with_features
+from tidemark.plans.lineage import cut_lineage
 
 from .base import BY_TYPE, EV, ORD, events, over, query, r, rounded, table
 
@@ -54,7 +55,9 @@ def featured(spark, sf):
 
 
 def temporal_model(spark, sf):
+    """The model of the earlier rows, and the later ones. Training reads its rows many times, so features and positions are computed once."""
     rows = M.temporal_split(featured(spark, sf), BY_TYPE, {"train": 0.7, "test": 0.3})
+    rows = cut_lineage(rows.select("s", "ts", "event_id", "x", "label", "part", *FEATURES))
     train = M.class_weights(rows.filter("part = 'train'"), "label")
     return M.train_boosted(train, FEATURES, "label", "weight", maxIter=8, maxDepth=3), rows.filter("part = 'test'")
 

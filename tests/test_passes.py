@@ -74,3 +74,16 @@ def test_deviations_from_ordered_windows():
 
 def test_window_matrices_are_bounded():
     assert max(b.size for _, b in R.trailing_windows(np.arange(20_000.), 1800)) <= R.BLOCK_VALUES
+
+
+def test_training_and_scoring_read_features_that_are_computed_once(spark, tmp_path):
+    from catalog.splits_models import temporal_model
+    rng = np.random.default_rng(2)
+    rows = [(i, "ab"[i % 2], float(v), '{"k": %d}' % (i % 100)) for i, v in enumerate(rng.random(400))]
+    df = spark.createDataFrame(rows, "event_id bigint, event_type string, value double, props string")
+    df = df.selectExpr("event_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, event_id) AS ts", "event_id % 7 AS user_id", "event_type", "value", "props")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    model, later = temporal_model(spark, str(tmp_path))
+    plan = later._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Relation" not in plan
+    assert later.count() == 120 and model.stages[-1].getNumTrees == 8
