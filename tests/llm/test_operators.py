@@ -186,6 +186,22 @@ def test_looser_personal_data_is_found(spark):
         assert detector.find(f"then we saw {t} over there")["spans"] == "", t
 
 
+def test_personal_data_is_learned_from_every_row(spark):
+    """Documents beyond the 20 000 with the smallest hashes teach as much; the order and the parts of the table don't matter."""
+    ids = spark.range(20_100).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
+    late = [r["doc_id"] for r in ids.collect()[20_000:]]
+    texts = {d: f"write to user{d}@mail{d % 7}.example.com or call +1 (2{d % 90 + 10}) 555-0{d % 900 + 100}, host 10.{d % 200}.3.{d % 250}" for d in late}
+    rows = ids.join(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), "doc_id", "left")
+    counted = collections.Counter(tuple(r) for t in texts.values() for r in pii.lessons(t))
+    taught = collections.Counter()
+    for r in pii._taught(rows).collect():
+        taught[(r["y"], *r["x"])] += r["n"]
+    assert taught == counted
+    detector, again = pii.fit(rows), pii.fit(rows.repartition(5))
+    assert detector.thresholds and detector.thresholds == again.thresholds and (detector.trees.value == again.trees.value).all()
+    assert detector.find("mail bob (at) mail3 (dot) example (dot) com")["redacted"] == "mail [EMAIL]"
+
+
 # 3 BPE
 def test_bpe(spark, encoding, odd, texts):
     ranks, own = encoding

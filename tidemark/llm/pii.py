@@ -2,11 +2,12 @@
 
 Base spans of the kinds e-mail, IP address, card and phone follow fixed patterns with checks (parts up to 255, Luhn, numbers of digits)
 and always stand. Generators propose further spans, overlapping each other and of looser format: addresses spelled with "at" and "dot",
-digit groups with other separators or spaces. Gradient-boosted trees on format and context features judge these. They are trained on at
-most ``MOST_DOCS`` documents (those with the smallest hashes). Personal are base spans rewritten in their own places to looser formats
-(``rewritten``). Not personal are the same formats with a check broken (``broken``: Luhn, parts up to 255, dates and plain numbers where
-phones stood), other proposals that meet a rewritten span, and the documents' own proposals that fail a check (``fails``); proposals that
-fail none and aren't base spans may be personal, so they teach nothing. Each kind's threshold is the lowest at which, on the third kept out
+digit groups with other separators or spaces. Gradient-boosted trees on format and context features judge these. They are trained on
+all documents: equal lessons are counted, bins end at exact quantiles, and each level of a tree is one pass in which tasks add up sums per
+node, feature and bin. Personal are base spans rewritten in their own places to looser formats (``rewritten``). Not personal are the same
+formats with a check broken (``broken``: Luhn, parts up to 255, dates and plain numbers where phones stood), other proposals that meet a
+rewritten span, and the documents' own proposals that fail a check (``fails``); proposals that fail none and aren't base spans may be
+personal, so they teach nothing. Each kind's threshold is the lowest at which, on the third kept out
 of training, at least ``PRECISION`` of those above it are personal; a kind with too few gets none. Of overlapping spans a base span wins,
 then the higher score, then the longer, then the first.
 
@@ -15,16 +16,22 @@ Null and empty texts have no spans. Repeated rows give the same spans. Without d
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left, insort
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, TEXT, text_function
+from .common import ID, TEXT, stored, text_function
 
-MOST_DOCS, PRECISION, LEAST_PROPOSALS = 20_000, 0.99, 20
+PRECISION, LEAST_PROPOSALS = 0.99, 20
 TREES, DEPTH, RATE, BINS = 40, 3, 0.3, 32
+LEAVES = 1 << DEPTH
+#: Steps of sums and of thresholds between 0 and 1.
+STEPS = 1 << 16
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. A run of digits is entered at its first digit only, which finds the same matches in linear time.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -165,49 +172,45 @@ def lessons(text: str) -> list[list[float]]:
 
 
 class Trees:
-    """Boosted regression trees for a yes or no, on binned features."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
-        bins = self._bins(x)
-        share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        self.start, self.trees = np.log(share / (1 - share)), []
-        margin = np.full(len(y), self.start)
-        for _ in range(TREES):
-            p = 1 / (1 + np.exp(-margin))
-            tree = self._grow(bins, y - p, p * (1 - p), np.arange(len(y)), DEPTH)
-            self.trees.append(tree)
-            margin += self._apply(tree, bins)
-
-    def _bins(self, x: np.ndarray) -> np.ndarray:
+    """Boosted regression trees for a yes or no, on binned features: full binary trees, each level's axes, highest bins of the left side
+    and, below the last level, values."""
+
+    def __init__(self, cuts: list[np.ndarray], share: float):
+        share = min(max(share, 1e-3), 1 - 1e-3)
+        self.cuts, self.start = cuts, float(np.log(share / (1 - share)))
+        self.axis, self.high, self.value = np.zeros((0, LEAVES - 1), np.int64), np.zeros((0, LEAVES - 1), np.int64), np.zeros((0, LEAVES))
+
+    def bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, v, "left") for c, v in zip(self.cuts, x.T)], 1)
 
-    def _grow(self, bins, g, h, rows, depth):
-        leaf = RATE * g[rows].sum() / (h[rows].sum() + 1)
-        if depth == 0 or len(rows) < 10:
-            return leaf
-        best, gain = None, 1e-6
-        whole = g[rows].sum() ** 2 / (h[rows].sum() + 1)
-        for f in range(bins.shape[1]):
-            b = bins[rows, f]
-            gs, hs = np.cumsum(np.bincount(b, g[rows], BINS)), np.cumsum(np.bincount(b, h[rows], BINS))
-            got = gs[:-1] ** 2 / (hs[:-1] + 1) + (gs[-1] - gs[:-1]) ** 2 / (hs[-1] - hs[:-1] + 1) - whole
-            if (k := int(np.argmax(got))) is not None and got[k] > gain:
-                best, gain = (f, k), got[k]
-        if best is None:
-            return leaf
-        low = bins[rows, best[0]] <= best[1]
-        return (*best, self._grow(bins, g, h, rows[low], depth - 1), self._grow(bins, g, h, rows[~low], depth - 1))
-
-    def _apply(self, tree, bins):
-        if not isinstance(tree, tuple):
-            return np.full(len(bins), tree)
-        f, k, low, high = tree
-        return np.where(bins[:, f] <= k, self._apply(low, bins), self._apply(high, bins))
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        bins = self._bins(x)
-        return 1 / (1 + np.exp(-self.start - sum(self._apply(t, bins) for t in self.trees)))
+    def score(self, bins: np.ndarray) -> np.ndarray:
+        tree, rows, node = np.arange(len(self.value))[:, None], np.arange(len(bins)), np.zeros((len(self.value), len(bins)), np.int64)
+        for _ in range(DEPTH):
+            node = 2 * node + 1 + (bins[rows, self.axis[tree, node]] > self.high[tree, node])
+        margin = np.full(len(bins), self.start)
+        for own in self.value[tree, node - (LEAVES - 1)]:
+            margin += own
+        return 1 / (1 + np.exp(-margin))
+
+    def boost(self, counts: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> None:
+        """One more tree. ``counts(axis, high, level)`` gives for each node of the level, feature and bin: sums of g, sums of h, rows.
+
+        A node that isn't worth a split sends all to its left."""
+        axis, high = np.zeros(LEAVES - 1, np.int64), np.full(LEAVES - 1, BINS)
+        for level in range(DEPTH):
+            per_bin = counts(axis, high, level)
+            below = np.cumsum(per_bin, 2)
+            whole = below[:, :1, -1:]
+            (g, h, _), (all_g, all_h, _) = np.moveaxis(below[:, :, :-1], 3, 0), np.moveaxis(whole, 3, 0)
+            gain = (g ** 2 / (h + 1) + (all_g - g) ** 2 / (all_h - h + 1) - all_g ** 2 / (all_h + 1)).reshape(len(below), -1)
+            best = gain.argmax(1)
+            first, own = (1 << level) - 1, np.arange(len(below))
+            split = (gain[own, best] > 1e-6) & (whole[:, 0, 0, 2] >= 10)
+            axis[first + own], high[first + own] = np.where(split, best // (BINS - 1), 0), np.where(split, best % (BINS - 1), BINS)
+            left = np.where(split[:, None], below[own, best // (BINS - 1), best % (BINS - 1)], whole[:, 0, 0])
+            sides = np.stack([left, whole[:, 0, 0] - left], 1).reshape(-1, 3)
+        self.axis, self.high = np.vstack([self.axis, axis]), np.vstack([self.high, high])
+        self.value = np.vstack([self.value, RATE * sides[:, 0] / (sides[:, 1] + 1)])
 
 
 class Detector:
@@ -219,7 +222,7 @@ class Detector:
         taken = _merged(base)
         more = [s for s in proposals(text) if s[0] in self.thresholds and not _meets(s, taken)] if self.trees else []
         if more:
-            scores = self.trees.score(np.array([features(text, s) for s in more]))
+            scores = self.trees.score(self.trees.bins(np.array([features(text, s) for s in more])))
             ranked = sorted((-p, s[1] - s[2], s[1], s) for s, p in zip(more, scores.tolist()) if p >= self.thresholds[s[0]])
             more, taken = [], []
             for *_, s in ranked:
@@ -258,28 +261,82 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def fit(docs: DataFrame, most: int = MOST_DOCS) -> Detector:
-    sample = docs.select(F.col(ID).alias("_id")).where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(most).distinct()
-
+def _taught(docs: DataFrame) -> DataFrame:
+    """``(held, y, x, n)``: how often each lesson is taught by all documents; ``held`` marks the third kept out of training."""
     def start():
-        return lambda texts: [{"rows": lessons(t)} for t in texts]
-    rows = docs.select(ID, TEXT).join(F.broadcast(sample), F.col(ID) == F.col("_id")).select(F.explode(text_function(start, "struct<rows: array<array<double>>>")(F.col(TEXT))["rows"]).alias("r"))
-    data = np.array([r["r"] for r in rows.collect()])
-    if len(data) < LEAST_PROPOSALS or not 0 < data[:, 0].mean() < 1:
+        def work(texts):
+            own = [lessons(t) for t in texts]
+            return [{"rows": [{"held": zlib.crc32(b"%d" % i, zlib.crc32(t.encode())) % 3 == 2, "y": int(y), "x": x} for i, (y, *x) in enumerate(rows)]} for t, rows in zip(texts, own)]
+        return work
+    rows = text_function(start, "struct<rows: array<struct<held: boolean, y: bigint, x: array<double>>>>")(F.col(TEXT))["rows"]
+    return docs.select(F.explode(rows).alias("r")).select("r.*").groupBy("held", "y", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A column of byte strings, all of one length, as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width).astype(np.int64)
+
+
+def _level_counts(train: DataFrame, trees: Trees, axis: np.ndarray, high: np.ndarray, level: int) -> np.ndarray:
+    """Sums of g and h and numbers of rows for each node of a level, feature and bin, as whole steps of 1 / ``STEPS`` so that the order of adding doesn't matter."""
+    width, nodes = len(trees.cuts), 1 << level
+    cells = nodes * width * BINS
+
+    def partial(batches):
+        sums = np.zeros((3, cells))
+        for batch in batches:
+            bins, n, y = _matrix(batch.column("b"), width), batch.column("n").to_numpy(), batch.column("y").to_numpy()
+            rows, node, p = np.arange(len(bins)), np.zeros(len(bins), np.int64), trees.score(bins)
+            for _ in range(level):
+                node = 2 * node + 1 + (bins[rows, axis[node]] > high[node])
+            cell = (((node - (nodes - 1)) * width)[:, None] + np.arange(width)) * BINS + bins
+            for i, v in enumerate((np.rint((y - p) * STEPS) * n, np.rint(p * (1 - p) * STEPS) * n, n)):
+                sums[i] += np.bincount(cell.ravel(), np.repeat(v, width), cells)
+        at = np.flatnonzero(sums[2])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(v[at].astype(np.int64)) for v in sums)], names=["cell", "g", "h", "n"])
+
+    found = train.mapInArrow(partial, "cell bigint, g bigint, h bigint, n bigint").groupBy("cell").agg(*(F.sum(c).alias(c) for c in "ghn")).toPandas()
+    out = np.zeros((cells, 3))
+    out[found["cell"].to_numpy()] = found[["g", "h", "n"]].to_numpy() / (STEPS, STEPS, 1)
+    return out.reshape(nodes, width, BINS, 3)
+
+
+def fit(docs: DataFrame) -> Detector:
+    """Learns from every row. The driver gets sums per node, feature and bin, quantiles, and numbers of held-out lessons per step of the score."""
+    taught = stored(_taught(docs))
+    total, right = taught.agg(F.sum("n"), F.sum(F.col("n") * F.col("y"))).first()
+    if not total or total < LEAST_PROPOSALS or not 0 < right < total:
+        return Detector(None, {})
+    width, ends = len(features("", (KINDS[0], 0, 0))), F.lit(np.linspace(0, 1, BINS + 1)[1:-1].tolist())
+    known = taught.where("not held").agg((F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("share"), *(F.percentile(F.col("x")[i], ends, F.col("n")).alias(f"c{i}") for i in range(width))).first()
+    if known["share"] is None:
         return Detector(None, {})
-    data = data[np.lexsort(data.T)]
-    kept = np.random.default_rng(5).permutation(len(data)) % 3 == 2
-    trees = Trees(data[~kept, 1:], data[~kept, 0])
-    scores, y, kind = trees.score(data[kept, 1:]), data[kept, 0], data[kept, 1].astype(int)
+    trees = Trees([np.unique(known[f"c{i}"]) for i in range(width)], known["share"])
+
+    def binned(batches):
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, width)
+            held, y, n = (batch.column(c) for c in ("held", "y", "n"))
+            yield pa.RecordBatch.from_arrays([held, y, pa.array(x[:, 0].astype(np.int64)), pa.array([b.tobytes() for b in trees.bins(x).astype(np.uint8)], pa.binary()), n], names=["held", "y", "kind", "b", "n"])
+
+    rows = stored(taught.mapInArrow(binned, "held boolean, y bigint, kind bigint, b binary, n bigint").groupBy("held", "y", "kind", "b").agg(F.sum("n").alias("n")))
+    train = rows.where("not held").select("y", "b", "n").persist()
+    for _ in range(TREES):
+        trees.boost(lambda axis, high, level: _level_counts(train, trees, axis, high, level))
+    train.unpersist()
+
+    def scored(batches):
+        for batch in batches:
+            step = np.floor(trees.score(_matrix(batch.column("b"), width)) * STEPS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(step), batch.column("y"), batch.column("n")], names=["kind", "step", "y", "n"])
+
+    kept = rows.where("held").mapInArrow(scored, "kind bigint, step bigint, y bigint, n bigint").groupBy("kind", "step").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("right")).toPandas()
     thresholds = {}
     for i, name in enumerate(KINDS):
-        own = np.flatnonzero(kind == i)
-        own = own[np.argsort(-scores[own], kind="stable")]
-        right = np.cumsum(y[own]) / np.arange(1, len(own) + 1)
-        last = np.append(scores[own][1:] < scores[own][:-1], True) if len(own) else np.zeros(0, bool)
-        good = np.flatnonzero((right >= PRECISION) & last)
-        if len(own) >= LEAST_PROPOSALS and len(good):
-            thresholds[name] = max(0.5, float(scores[own][good[-1]]))
+        own = kept[kept["kind"] == i].sort_values("step", ascending=False)
+        good = own["step"][own["right"].cumsum() >= PRECISION * own["n"].cumsum()]
+        if own["n"].sum() >= LEAST_PROPOSALS and len(good):
+            thresholds[name] = max(0.5, float(good.iloc[-1]) / STEPS)
     return Detector(trees, thresholds)
 
 
