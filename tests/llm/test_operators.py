@@ -10,6 +10,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -202,6 +203,24 @@ def test_personal_data_is_learned_from_every_row(spark):
     assert detector.find("mail bob (at) mail3 (dot) example (dot) com")["redacted"] == "mail [EMAIL]"
 
 
+def test_personal_data_lessons_are_held_in_parts(spark, monkeypatch):
+    """One text or one batch of texts with very many lessons goes through in bounded batches, none made ahead, and all of them are counted."""
+    many = [" ".join(f"u{d}.{i}@mail.example.com" for i in range(400)) for d in range(3)] + ["", None, "call +1 (222) 333-4444"]
+    made, counted = [], collections.Counter(tuple(r) for t in many for r in pii.lessons(t or ""))
+    own = pii.lessons
+    monkeypatch.setattr(pii, "lessons", lambda t: (made.append(1) or r for r in own(t)))
+    got = 0
+    for batch in pii._teach(iter([pa.record_batch({"text": many})])):
+        assert 0 < len(batch) <= pii.LESSONS and len(made) <= got + pii.LESSONS
+        got += len(batch)
+    assert got == len(made) == counted.total() > 3 * pii.LESSONS
+    monkeypatch.undo()
+    taught = collections.Counter()
+    for r in pii._taught(spark.createDataFrame([(t,) for t in many], "text string").coalesce(1)).collect():
+        taught[(r["y"], *r["x"])] += r["n"]
+    assert taught == counted
+
+
 # 3 BPE
 def test_bpe(spark, encoding, odd, texts):
     ranks, own = encoding

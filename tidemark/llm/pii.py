@@ -18,7 +18,8 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ TREES, DEPTH, RATE, BINS = 40, 3, 0.3, 32
 LEAVES = 1 << DEPTH
 #: Steps of sums and of thresholds between 0 and 1.
 STEPS = 1 << 16
+#: Lessons that a task holds at once, however many a text or a batch of texts has.
+LESSONS = 4096
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. A run of digits is entered at its first digit only, which finds the same matches in linear time.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -154,21 +157,20 @@ def fails(text: str, span: Span) -> bool:
     return inside or (not luhn(d) if kind == "card" else not 7 <= len(d) <= 15)
 
 
-def lessons(text: str) -> list[list[float]]:
-    """(personal or not, features) of a document's rewritten spans, their broken forms and its failing proposals."""
-    base, out = base_spans(text), []
+def lessons(text: str) -> Iterator[list[float]]:
+    """(personal or not, features) of a document's rewritten spans, their broken forms and its failing proposals, one after another."""
+    base = base_spans(text)
     taken = _merged(base)
     for span in dict.fromkeys(proposals(text)):
         if not _meets(span, taken) and fails(text, span):
-            out.append([0.0, *features(text, span)])
+            yield [0.0, *features(text, span)]
     for kind, a, b in base:
         before, after = text[max(0, a - 24):a], text[b:b + 8]
         for personal, forms in ((1.0, rewritten(kind, text[a:b])), (0.0, broken(kind, text[a:b]))):
             for form in forms:
                 local, own = before + form + after, (kind, len(before), len(before) + len(form))
                 met = [s for s in dict.fromkeys(proposals(local)) if _meets(s, [own[1:]])]
-                out += [[personal if s == own else 0.0, *features(local, s)] for s in met if s == own or personal]
-    return out
+                yield from ([personal if s == own else 0.0, *features(local, s)] for s in met if s == own or personal)
 
 
 class Trees:
@@ -261,15 +263,26 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
+def _teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lessons of batches of texts, at most ``LESSONS`` in a batch and none beyond those made ahead."""
+    def dealt():
+        for batch in batches:
+            for text in (t.as_py() or "" for t in batch.column(0)):
+                crc = zlib.crc32(text.encode())
+                for i, (y, *x) in enumerate(lessons(text)):
+                    yield zlib.crc32(b"%d" % i, crc) % 3 == 2, int(y), x
+    rows = dealt()
+    while own := list(islice(rows, LESSONS)):
+        held, y, x = zip(*own)
+        flat = np.array(x)
+        at = np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(y, pa.int64()), pa.ListArray.from_arrays(at, flat.ravel())], names=["held", "y", "x"])
+
+
 def _taught(docs: DataFrame) -> DataFrame:
     """``(held, y, x, n)``: how often each lesson is taught by all documents; ``held`` marks the third kept out of training."""
-    def start():
-        def work(texts):
-            own = [lessons(t) for t in texts]
-            return [{"rows": [{"held": zlib.crc32(b"%d" % i, zlib.crc32(t.encode())) % 3 == 2, "y": int(y), "x": x} for i, (y, *x) in enumerate(rows)]} for t, rows in zip(texts, own)]
-        return work
-    rows = text_function(start, "struct<rows: array<struct<held: boolean, y: bigint, x: array<double>>>>")(F.col(TEXT))["rows"]
-    return docs.select(F.explode(rows).alias("r")).select("r.*").groupBy("held", "y", "x").agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.select(TEXT).mapInArrow(_teach, "held boolean, y bigint, x array<double>")
+    return rows.groupBy("held", "y", "x").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
