@@ -221,6 +221,23 @@ def test_personal_data_lessons_are_held_in_parts(spark, monkeypatch):
     assert taught == counted
 
 
+def test_personal_data_results_are_held_in_parts(spark, monkeypatch):
+    """A batch of texts is answered in parts: what was found is sent on before much more is read, row by row the same, ids null or repeated."""
+    texts = [None, "", "a@b.de " * 50, *(f"u{i}@mail.example.com and +1 (222) 333-4444 " * 3 for i in range(40)), "x" * 5000, None]
+    ids = [None, 7, 7, *range(len(texts) - 3)]
+    want = [(i, pii.Detector(None, {}).find(t or "")) for i, t in zip(ids, texts)]
+    monkeypatch.setattr(pii, "FOUND", 1000)
+    at = 0
+    for part in pii._found(iter([pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "text": texts})]), pii.Detector(None, {})):
+        assert sum(len(t or "") for t in texts[at:at + len(part) - 1]) < 1000
+        assert [(r.pop("doc_id"), r) for r in part.to_pylist()] == want[at:at + len(part)]
+        at += len(part)
+    assert at == len(texts)
+    rows = spark.createDataFrame(list(zip(map(str, ids), texts, ids)), "key string, text string, doc_id bigint").coalesce(1)
+    got = pii.detect(rows, pii.Detector(None, {}), id_col="key")
+    assert dict(got.dtypes)["doc_id"] == "string" and [(r["doc_id"], r["redacted"]) for r in got.collect()] == [(str(i), r["redacted"]) for i, r in want]
+
+
 # 3 BPE
 def test_bpe(spark, encoding, odd, texts):
     ranks, own = encoding

@@ -23,10 +23,10 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, TEXT, stored, text_function
+from .common import ID, TEXT, stored
 
 PRECISION, LEAST_PROPOSALS = 0.99, 20
 TREES, DEPTH, RATE, BINS = 40, 3, 0.3, 32
@@ -35,6 +35,8 @@ LEAVES = 1 << DEPTH
 STEPS = 1 << 16
 #: Lessons that a task holds at once, however many a text or a batch of texts has.
 LESSONS = 4096
+#: Characters of texts whose results a task holds at once; a longer text is alone.
+FOUND = 1 << 20
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. A run of digits is entered at its first digit only, which finds the same matches in linear time.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -353,9 +355,22 @@ def fit(docs: DataFrame) -> Detector:
     return Detector(trees, thresholds)
 
 
+def _found(batches: Iterator[pa.RecordBatch], detector: Detector) -> Iterator[pa.RecordBatch]:
+    """What is found in batches of ids and texts, sent on whenever ``FOUND`` characters have been read."""
+    for batch in batches:
+        out, first, size = [], 0, 0
+        for i, text in enumerate(t.as_py() or "" for t in batch.column(1)):
+            out.append(detector.find(text))
+            size += len(text)
+            if size >= FOUND or i + 1 == len(batch):
+                names = list(out[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(out)), *(pa.array([r[c] for r in out], pa.int64() if c.startswith("n_") else pa.string()) for c in names)], names=[ID, *names])
+                out, first, size = [], i + 1, 0
+
+
 def detect(docs: DataFrame, detector: Detector, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted)`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(detector)
-    kind = "struct<" + ", ".join(f"n_{k}: bigint" for k in KINDS) + ", base_sha256: string, spans: string, redacted: string>"
-    found: Column = text_function(lambda: lambda texts: [shared.value.find(t) for t in texts], kind)(F.col(text_col))
-    return docs.select(F.col(id_col).alias(ID), found.alias("s")).select(ID, "s.*")
+    known = docs.select(F.col(id_col).alias(ID), F.col(text_col).cast("string").alias(TEXT))
+    kind = f"{ID} {dict(known.dtypes)[ID]}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string, redacted string"
+    return known.mapInArrow(lambda batches: _found(batches, shared.value), kind)
