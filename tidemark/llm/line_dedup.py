@@ -8,10 +8,11 @@ copies and links the first line stays, by doc_id and then by place; all others g
 Every distinct line of a task gives ``BANDS`` band keys of ``ROWS`` min-hashes each: a pair at the similarity asked for meets with 98%,
 one at 0.9 with 99.98%. Keys travel as packed arrays in buckets of bounded size. A bucket gives each of its groups a leader and one
 candidate pair per other member, never all pairs; candidates' texts are fetched by a scan that a Bloom filter of fixed size thins (its
-false positives cost time, not results), and pairs are verified exactly. Only a group of which some members fail their leader, and that
-holds three lines or more, is compared further, with its texts: in one task up to ``TOGETHER`` lines; a larger one is first parted by its
-lines' rarest shingles (similar lines share one of them: prefix filtering, which loses no pair), and what is still too large is compared
-in pairs of parts, so no task holds more than two parts. Lines are known by a 64-bit hash.
+false positives cost time, not results), and pairs are verified exactly. What these links connect, in whichever band, is one label; only a
+group of several labels, and that holds three lines or more, is compared further, with its texts, and only lines of different labels, by exact bounds from
+hashes first: in one task up to ``TOGETHER`` lines; a larger one is dealt into parts, and each two parts are a task; one of more than
+``MOST_PARTS`` parts is first parted by its lines' rarest shingles (similar lines share one of them: prefix filtering, which loses no
+pair), and what is still too large is compared in pairs of parts, so no task holds more than two parts. Lines are known by a 64-bit hash.
 
 Null and empty texts have no lines and are returned as they are (null: empty). Repeated rows of one doc_id count as copies of each
 other: their lines share a place, and are kept or dropped alike. An empty table gives an empty result.
@@ -32,28 +33,28 @@ from .common import ID, TEXT, components
 
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS, SEED = 8, 4, 7
-BLANKS = re.compile("[ \t\r\v\f]+")
+BLANKS = re.compile(b"[ \t\r\v\f]+")
 #: Packed entries (16 bytes each) of a bucket; bits of the Bloom filter; characters hashed at a time.
 BUCKET_ENTRIES, BLOOM_BITS, BLOCK = 1_000_000, 1 << 26, 250_000
-#: Lines of an open group that one task compares; lines from which on sketches save comparisons; characters from which on a set is numbers.
-TOGETHER, SKETCHED, LONG_LINE = 2000, 8, 1000
+#: Lines of an open group that one task compares; lines from which on sketches save comparisons; parts of a group up to which each two parts are compared.
+TOGETHER, SKETCHED, MOST_PARTS = 2000, 8, 16
 
 
-def form(line: str) -> str:
-    return " ".join(x for x in BLANKS.split(line.encode().lower().decode()) if x)
+def byte_forms(text: str) -> list[bytes]:
+    """The form of every line of a text, as UTF-8; most texts need nothing but lower-casing."""
+    raw = text.encode().lower()
+    if b"  " in raw or b"\t" in raw or b"\r" in raw or b"\v" in raw or b"\f" in raw:
+        return [b" ".join(x for x in BLANKS.split(line) if x) for line in raw.split(b"\n")]
+    return [x.strip(b" ") for x in raw.split(b"\n")]
 
 
 def forms_of(text: str) -> list[str]:
-    """The form of every line of a text; most texts need nothing but lower-casing."""
-    lines = text.encode().lower().decode().split("\n")
-    if "  " in text or "\t" in text or "\r" in text or "\v" in text or "\f" in text:
-        return [form(x) for x in lines]
-    return [x.strip(" ") for x in lines]
+    return [x.decode() for x in byte_forms(text)]
 
 
-def line_ids(forms: list[str]) -> list[int | None]:
-    """Signed 64-bit ids of forms (none for the empty one)."""
-    return [int.from_bytes(xxhash.xxh3_64_digest(f.encode()), "big", signed=True) if f else None for f in forms]
+def line_ids(forms: list[bytes]) -> np.ndarray:
+    """Signed 64-bit ids of forms."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, forms), np.uint64, len(forms)).view(np.int64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -87,11 +88,12 @@ def band_keys(forms: list[str]) -> np.ndarray:
     """``len(forms) x BANDS`` 64-bit keys. A min-hash orders shingles by an odd multiple of their hash, modulo 2**32."""
     h, begins = shingle_hashes(forms)
     turns = np.random.default_rng(SEED).integers(0, 1 << 32, (BANDS, ROWS, 2), np.uint32)
-    key = np.empty((len(forms), BANDS), np.uint64)
+    key, at = np.empty((len(forms), BANDS), np.uint64), np.empty_like(h)
     for b in range(BANDS):
         k = np.full(len(forms), b + 1, np.uint64)
         for turn, odd in turns[b]:
-            k = (k ^ np.minimum.reduceat((h ^ turn) * (odd | np.uint32(1)), begins)) * np.uint64(0x9E3779B97F4A7C15)
+            np.multiply(np.bitwise_xor(h, turn, out=at), odd | np.uint32(1), out=at)
+            k = (k ^ np.minimum.reduceat(at, begins)) * np.uint64(0x9E3779B97F4A7C15)
             k ^= k >> np.uint64(29)
         key[:, b] = k
     return key
@@ -101,15 +103,36 @@ def shingles(f: str, k: int = SHINGLE) -> set[str]:
     return {f[i:i + k] for i in range(max(1, len(f) - k + 1))}
 
 
-def compact(f: str, least: int = LONG_LINE) -> "set[str] | np.ndarray":
-    """A form's shingles; for long forms of one-byte characters as sorted numbers, for eight such characters are just a 64-bit number."""
+def _windows(raw: np.ndarray, at: int, n: int) -> np.ndarray:
+    """The distinct runs of eight of ``n`` bytes from a place on, as sorted numbers."""
+    return np.unique(np.ndarray((n - 7,), np.uint64, raw, at, (1,)))
+
+
+def compact(f: str, least: int = SHINGLE) -> "set[str] | np.ndarray":
+    """A form's shingles; from ``least`` one-byte characters on as sorted numbers, for eight such characters are just a 64-bit number."""
     if len(f) < max(least, SHINGLE):
         return shingles(f)
     try:
         raw = np.frombuffer(f.encode("latin-1"), np.uint8)
     except UnicodeEncodeError:
         return shingles(f)
-    return np.unique(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)).view(np.uint64).ravel())
+    return _windows(raw, 0, len(raw))
+
+
+def numbered(forms: list[str]) -> list[np.ndarray]:
+    """The shingles of a group's forms as sorted numbers, equal where shingles are. Up to 255 characters in a group, its forms are bytes, of which no window
+    holds a zero and a short form's only number does; beyond, shingles are numbered as they are met."""
+    codes = np.frombuffer("".join(forms).encode("utf-32-le"), np.uint32)
+    used = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    used[codes] = True
+    if used.sum() > 255:
+        known: dict[str, int] = {}
+        return [np.unique(np.array([known.setdefault(s, len(known)) for s in shingles(f)], np.uint64)) for f in forms]
+    raw, out, at = np.cumsum(used).astype(np.uint8)[codes], [], 0
+    for f in forms:
+        out.append(_windows(raw, at, len(f)) if len(f) >= SHINGLE else np.pad(raw[at:at + len(f)], (0, 8 - len(f))).view(np.uint64))
+        at += len(f)
+    return out
 
 
 def plain(x: "set[str] | np.ndarray") -> set[str]:
@@ -130,20 +153,31 @@ def alike(x: "set[str] | np.ndarray", y: "set[str] | np.ndarray", least: float)
     return both >= least * (len(x) + len(y) - both)
 
 
-def _near_enough(sets: list[set[str]], least: float):
-    """``near(i)``: which sets may be like set i by their sketches of 1024 bits, of which every shingle sets one: bits of x that y lacks
-    are shingles of x that y lacks, at least so many. None for few sets, where exact comparisons cost less than sketches, and for sets of both kinds."""
-    if len(sets) < SKETCHED or len({type(x) for x in sets}) > 1:
-        return None
+def _near_enough(sets: list[np.ndarray], least: float):
+    """``near(i, other)``: which of the other sets may be like set i, exact comparisons aside.
+
+    First by their sketches of 1024 bits, of which every shingle sets one: bits of x that y lacks are shingles of x that y lacks, at least so
+    many. What is left then counts the shingles of y whose 16-bit hash one of x has: at least as many as both have."""
     size = np.array([len(x) for x in sets])
+    starts = np.cumsum(size) - size
+    flat = np.concatenate(sets) * np.uint64(0x9E3779B97F4A7C15)
     bits = np.zeros((len(sets), 1024), np.uint8)
-    for row, x in zip(bits, sets):
-        row[(x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(54)).astype(np.int64) if isinstance(x, np.ndarray) else [hash(s) & 1023 for s in x]] = 1
+    bits[np.repeat(np.arange(len(sets)), size), (flat >> np.uint64(54)).astype(np.int64)] = 1
     marks = np.packbits(bits, axis=1).view(np.uint64)
-
-    def near(i: int) -> np.ndarray:
-        both = least / (1 + least) * (size[i] + size)
-        return (np.bitwise_count(marks[i] & ~marks).sum(1) <= size[i] - both + 1e-9) & (np.bitwise_count(marks & ~marks[i]).sum(1) <= size - both + 1e-9)
+    flat, held = (flat >> np.uint64(48)).astype(np.uint16), np.zeros(1 << 16, np.uint8)
+
+    def near(i: int, other: np.ndarray) -> np.ndarray:
+        j = np.flatnonzero(other & (np.minimum(size, size[i]) >= least * np.maximum(size, size[i])))
+        both = least / (1 + least) * (size[i] + size[j])
+        j = j[(np.bitwise_count(marks[i] & ~marks[j]).sum(1) <= size[i] - both + 1e-9) & (np.bitwise_count(marks[j] & ~marks[i]).sum(1) <= size[j] - both + 1e-9)]
+        if not len(j):
+            return j
+        mine = flat[starts[i]:starts[i] + size[i]]
+        held[mine] = 1
+        ends = np.cumsum(size[j])
+        hits = np.add.reduceat(held[np.concatenate([flat[a:b] for a, b in zip(starts[j].tolist(), (starts[j] + size[j]).tolist())])], ends - size[j], dtype=np.int64)
+        held[mine] = 0
+        return j[hits >= least / (1 + least) * (size[i] + size[j]) - 1e-9]
     return near
 
 
@@ -151,13 +185,15 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     """``(doc_id, place, line)`` of every line that takes part, ``place`` counted from 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, places, lines = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = [(i, x) for i, x in enumerate(line_ids(forms_of(text or ""))) if x is not None]
-                ids += [doc] * len(got)
-                places += [i for i, _ in got]
-                lines += [x for _, x in got]
-            yield pa.RecordBatch.from_pydict({ID: pa.array(ids, pa.int64()), "place": pa.array(places, pa.int32()), "line": pa.array(lines, pa.int64())})
+            forms, places, counts = [], [], []
+            for text in batch.column(1).to_pylist():
+                found = byte_forms(text or "")
+                held = [i for i, x in enumerate(found) if x]
+                forms += [found[i] for i in held]
+                places += held
+                counts.append(len(held))
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+            yield pa.RecordBatch.from_pydict({ID: ids, "place": pa.array(places, pa.int32()), "line": pa.array(line_ids(forms))})
     return docs.select(ID, TEXT).mapInArrow(run, f"{ID} bigint, place int, line bigint")
 
 
@@ -167,9 +203,9 @@ def _distinct_forms(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[
     ids, forms, size = [], [], 0
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            found = forms_of(text or "")
-            for line, i in zip(found, line_ids(found)):
-                if i is not None and i not in seen:
+            found = [x for x in byte_forms(text or "") if x]
+            for line, i in zip(found, line_ids(found).tolist()):
+                if i not in seen:
                     seen.add(i)
                     ids.append(i)
                     forms.append(line)
@@ -185,9 +221,9 @@ def _distinct_forms(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[
 
 def _block(ids, forms, wanted):
     if wanted is None:
-        return ids, forms
+        return ids, [x.decode() for x in forms]
     keep = np.flatnonzero(wanted(np.array(ids, np.int64))).tolist()
-    return [ids[i] for i in keep], [forms[i] for i in keep]
+    return [ids[i] for i in keep], [forms[i].decode() for i in keep]
 
 
 def _groups(docs: DataFrame, buckets: int) -> DataFrame:
@@ -252,19 +288,26 @@ def _similar(least: float):
 
 
 def _complete(least: float):
-    """Links of the lines of one group that failed their leader: each is compared until the group is one component or none are left.
-    Of a group with lines of two parts (column ``part``) only lines of different parts are compared."""
+    """Links of the lines of one group that are apart so far: each of a part that isn't ``ok`` is compared until the group is one component or none are left.
+    Lines of one ``label`` are connected already; without that column those that are ``ok``. Of a group with lines of two
+    parts (column ``part``) only lines of different parts are compared."""
     def run(group: pa.Table) -> pa.Table:
         ids, forms, ok, side = (group[c].to_pylist() for c in ("line", "form", "ok", "part"))
-        long = max(map(len, forms), default=0) >= LONG_LINE
-        sets, side = [compact(f, 0) if long else shingles(f) for f in forms], np.array(side)
-        part = np.array([0 if x else i + 1 for i, x in enumerate(ok)])
-        across, near, edges = len(np.unique(side)) > 1, _near_enough(sets, least), []
+        part = np.unique(group["label"].to_numpy(), return_inverse=True)[1] if "label" in group.column_names else np.array([0 if x else i + 1 for i, x in enumerate(ok)])
+        side, edges = np.array(side), []
+        if len(forms) < SKETCHED:  # exact comparisons cost less than sketches
+            sets, near = [compact(f) for f in forms], lambda i, other: np.flatnonzero(other)
+        else:
+            sets = numbered(forms)
+            near = _near_enough(sets, least)
+        across = len(np.unique(side)) > 1
         for i in (i for i, x in enumerate(ok) if not x):
             other = part != part[i]
             if across:
                 other &= side != side[i]
-            for j in np.flatnonzero(other if near is None else other & near(i)).tolist():
+            if not other.any():
+                continue
+            for j in near(i, other).tolist():
                 if part[i] != part[j] and alike(sets[i], sets[j], least):
                     edges.append((ids[i], ids[j]))
                     old, new = max(part[i], part[j]), min(part[i], part[j])
@@ -279,7 +322,7 @@ def _all_shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def _parted(rest: DataFrame, least: float, together: int) -> DataFrame:
-    """The rows ``(band, line, form, ok)`` of large groups under keys of at most about ``2 * together`` lines, ``(band, shingle, low, high, part)``.
+    """The rows ``(band, line, form, ok, label)`` of very large groups under keys of at most about ``2 * together`` lines, ``(band, shingle, low, high, part)``.
 
     Every pair of a group with a similarity of at least ``least`` shares a shingle among its rarest ``n - ceil(least * n) + 1`` of n, in
     the order of (lines of the group that have it, shingle). A shingle of too many lines gets its lines dealt into parts, and
@@ -290,8 +333,8 @@ def _parted(rest: DataFrame, least: float, together: int) -> DataFrame:
     ordered = each.join(count, ["band", "shingle"]).groupBy("band", "line").agg(F.sort_array(F.collect_list(F.struct("lines", "shingle"))).alias("all"))
     size = F.size("all")
     rare = cut_lineage(ordered.select("band", "line", F.explode(F.slice("all", F.lit(1), size - F.ceil(least * size - 1e-9).cast("int") + 1)).alias("s")).select("band", "line", "s.shingle"))
-    marked = rare.join(rest.select("band", "line", "ok"), ["band", "line"])
-    held = marked.groupBy("band", "shingle").agg(F.count("*").alias("lines"), F.min("ok").alias("settled")).where("lines > 1 and not settled")
+    marked = rare.join(rest.select("band", "line", "label"), ["band", "line"])
+    held = marked.groupBy("band", "shingle").agg(F.count("*").alias("lines"), (F.min("label") < F.max("label")).alias("apart")).where("apart").drop("apart")
     parts = F.ceil(F.col("lines") / together).cast("int")
     mine = rare.join(held, ["band", "shingle"]).select("*", parts.alias("parts"), F.pmod(F.xxhash64("line"), parts).cast("int").alias("part"))
     paired = mine.select("band", "line", "shingle", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
@@ -305,16 +348,25 @@ def links(docs: DataFrame, lines: int, least: float = SIMILARITY, together: int
     pairs = groups.where("line <> leader").select("leader", "line").distinct()
     pairs = pairs.join(texts, "line").join(texts.withColumnsRenamed({"line": "leader", "form": "other"}), "leader")
     judged = cut_lineage(pairs.select("leader", "line", _similar(least)("other", "form").alias("ok")))
-    known = groups.where("size > 2").join(judged, ["leader", "line"], "left").withColumn("ok", F.coalesce("ok", F.lit(True)))
+    direct = judged.where("ok").select(F.col("leader").alias("a"), F.col("line").alias("b"))
+    # what the links to leaders connect, in whichever band, is not compared again
+    part = components(direct)
+    known = groups.where("size > 2").join(part, F.col("line") == F.col("node"), "left").select("band", "line", "leader", F.coalesce("root", "line").alias("label"))
     # the same lines often meet in several bands: one of these is enough
-    same = known.groupBy("band").agg(F.min("leader").alias("leader"), F.count("*").alias("n"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("lines"), F.min("ok").alias("settled"))
-    open_groups = same.where("not settled").groupBy("leader", "n", "lines").agg(F.min("band").alias("band")).select("band", "n")
-    rest = known.join(open_groups, "band").join(texts, "line").select("band", "line", "form", "ok", "n", F.lit(0).alias("part"))
-    out = judged.where("ok").select(F.col("leader").alias("a"), F.col("line").alias("b")).union(
-        rest.where(F.col("n") <= together).groupBy("band").applyInArrow(_complete(least), "a bigint, b bigint"))
-    if known.where((F.col("size") > together) & ~F.col("ok")).isEmpty():
+    same = known.groupBy("band").agg(F.min("leader").alias("leader"), F.count("*").alias("n"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("lines"), (F.min("label") < F.max("label")).alias("apart"), F.mode("label").alias("most"))
+    open_groups = same.where("apart").groupBy("leader", "n", "lines").agg(F.min(F.struct("band", "most")).alias("of")).select("of.*", "n")
+    rest = cut_lineage(known.join(open_groups, "band").select("band", "line", "label", "n", (F.col("label") == F.col("most")).alias("ok")))
+    formed = rest.join(texts, "line").select("band", "line", "form", "ok", "label", "n", F.lit(0).alias("part"))
+    out = direct.union(formed.where(F.col("n") <= together).groupBy("band").applyInArrow(_complete(least), "a bigint, b bigint"))
+    parts = F.ceil(F.col("n") / together).cast("int")
+    if not rest.where(parts.between(2, MOST_PARTS)).isEmpty():
+        dealt = rest.where(parts.between(2, MOST_PARTS)).withColumn("part", F.pmod(F.xxhash64("line"), parts).cast("int"))
+        paired = dealt.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")).join(texts, "line")
+        paired = paired.select("band", "line", "form", "ok", "label", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part")
+        out = out.union(paired.groupBy("band", "low", "high").applyInArrow(_complete(least), "a bigint, b bigint"))
+    if rest.where(parts > MOST_PARTS).isEmpty():
         return out
-    large = cut_lineage(rest.where(F.col("n") > together).select("band", "line", "form", "ok"))
+    large = cut_lineage(formed.where(parts > MOST_PARTS).select("band", "line", "form", "ok", "label"))
     return out.union(_parted(large, least, together).groupBy("band", "shingle", "low", "high").applyInArrow(_complete(least), "a bigint, b bigint"))
 
 
@@ -338,9 +390,11 @@ def deduplicate(docs: DataFrame, least: float = SIMILARITY, id_col: str = ID, te
                 if g is None:
                     out.append({"text": text, "n_lines": text.count("\n") + 1, "n_dropped": 0})
                     continue
-                lines, ids = text.split("\n"), line_ids(forms_of(text))
-                go = {(x["place"], x["line"]) for x in g}
-                keep = [x for i, x in enumerate(lines) if (i, ids[i]) not in go]
+                lines, forms = text.split("\n"), byte_forms(text)
+                at = [x["place"] for x in g if x["place"] < len(forms) and forms[x["place"]]]
+                go = {(x["place"], x["line"]) for x in g}.intersection(zip(at, line_ids([forms[i] for i in at]).tolist()))
+                go = {i for i, _ in go}
+                keep = [x for i, x in enumerate(lines) if i not in go]
                 out.append({"text": "\n".join(keep), "n_lines": len(lines), "n_dropped": len(lines) - len(keep)})
             yield pa.array(out, pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())]))
 
