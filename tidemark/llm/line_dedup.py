@@ -8,7 +8,7 @@ copies and links the first line stays, by doc_id and then by place; all others g
 Every distinct line of a task gives ``BANDS`` band keys of ``ROWS`` min-hashes each: a pair at the similarity asked for meets with 98%,
 one at 0.9 with 99.98%. Keys travel as packed arrays in buckets of bounded size. A bucket gives each of its groups a leader and one
 candidate pair per other member, never all pairs; candidates' texts are fetched by a scan that a Bloom filter of fixed size thins (its
-false positives cost time, not results), and pairs are verified exactly. What these links connect, in whichever band, is one label; only a
+false positives cost time, not results), and pairs are verified exactly. What these links connect in two steps, in whichever bands, is one label; only a
 group of several labels, and that holds three lines or more, is compared further, with its texts, and only lines of different labels, by exact bounds from
 hashes first: in one task up to ``TOGETHER`` lines; a larger one is dealt into parts, and each two parts are a task; one of more than
 ``MOST_PARTS`` parts is first parted by its lines' rarest shingles (similar lines share one of them: prefix filtering, which loses no
@@ -349,9 +349,10 @@ def links(docs: DataFrame, lines: int, least: float = SIMILARITY, together: int
     pairs = pairs.join(texts, "line").join(texts.withColumnsRenamed({"line": "leader", "form": "other"}), "leader")
     judged = cut_lineage(pairs.select("leader", "line", _similar(least)("other", "form").alias("ok")))
     direct = judged.where("ok").select(F.col("leader").alias("a"), F.col("line").alias("b"))
-    # what the links to leaders connect, in whichever band, is not compared again
-    part = components(direct)
-    known = groups.where("size > 2").join(part, F.col("line") == F.col("node"), "left").select("band", "line", "leader", F.coalesce("root", "line").alias("label"))
+    # lines that the links to leaders connect in two steps, in whichever bands, have one label and are not compared again
+    up = direct.groupBy(F.col("b").alias("line")).agg(F.min("a").alias("label"))
+    up = up.join(up.select(F.col("line").alias("label"), F.col("label").alias("above")), "label", "left").select("line", F.coalesce("above", "label").alias("label"))
+    known = groups.where("size > 2").select("band", "line", "leader").join(up, "line", "left").select("band", "line", "leader", F.coalesce("label", "line").alias("label"))
     # the same lines often meet in several bands: one of these is enough
     same = known.groupBy("band").agg(F.min("leader").alias("leader"), F.count("*").alias("n"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("lines"), (F.min("label") < F.max("label")).alias("apart"), F.mode("label").alias("most"))
     open_groups = same.where("apart").groupBy("leader", "n", "lines").agg(F.min(F.struct("band", "most")).alias("of")).select("of.*", "n")
@@ -359,12 +360,13 @@ def links(docs: DataFrame, lines: int, least: float = SIMILARITY, together: int
     formed = rest.join(texts, "line").select("band", "line", "form", "ok", "label", "n", F.lit(0).alias("part"))
     out = direct.union(formed.where(F.col("n") <= together).groupBy("band").applyInArrow(_complete(least), "a bigint, b bigint"))
     parts = F.ceil(F.col("n") / together).cast("int")
-    if not rest.where(parts.between(2, MOST_PARTS)).isEmpty():
+    most = rest.agg(F.max(parts)).first()[0] or 0
+    if most > 1:
         dealt = rest.where(parts.between(2, MOST_PARTS)).withColumn("part", F.pmod(F.xxhash64("line"), parts).cast("int"))
         paired = dealt.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")).join(texts, "line")
         paired = paired.select("band", "line", "form", "ok", "label", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part")
         out = out.union(paired.groupBy("band", "low", "high").applyInArrow(_complete(least), "a bigint, b bigint"))
-    if rest.where(parts > MOST_PARTS).isEmpty():
+    if most <= MOST_PARTS:
         return out
     large = cut_lineage(formed.where(parts > MOST_PARTS).select("band", "line", "form", "ok", "label"))
     return out.union(_parted(large, least, together).groupBy("band", "shingle", "low", "high").applyInArrow(_complete(least), "a bigint, b bigint"))
